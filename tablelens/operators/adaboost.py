@@ -1,0 +1,119 @@
+"""AdaBoost.R2 regression (Drucker 1997) over MLlib trees.
+
+Each round fits one weighted tree on the whole table and re-weights the rows with a projection; the
+driver sees two numbers per round.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+from math import log
+
+from pyspark import StorageLevel, keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tablelens.session import reliable_checkpoint
+
+CHECKPOINT_ROUNDS = 5
+
+
+class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasSeed):
+    learningRate = Param(Params._dummy(), "learningRate", "shrinks each tree's say", TypeConverters.toFloat)
+    loss = Param(Params._dummy(), "loss", "linear, square or exponential", TypeConverters.toString)
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", maxIter=50,
+                 learningRate=1.0, loss="linear", maxDepth=3, seed=42):
+        super().__init__()
+        self._setDefault(maxIter=50, learningRate=1.0, loss="linear", maxDepth=3, seed=42)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> AdaBoostRegressionModel:
+        label, rate = self.getLabelCol(), self.getOrDefault(self.learningRate)
+        tree = DecisionTreeRegressor(
+            featuresCol=self.getFeaturesCol(),
+            labelCol=label,
+            weightCol="_weight",
+            maxDepth=self.getOrDefault(self.maxDepth),
+            seed=self.getSeed(),
+        )
+        rows = dataset.select(self.getFeaturesCol(), label, F.lit(1.0).alias("_weight"))
+        trees, says = [], []
+        held: DataFrame | None = None
+        for step in range(self.getMaxIter()):
+            fitted = tree.fit(rows)
+            scored = fitted.transform(rows).withColumn("_error", F.abs(F.col(label) - F.col("prediction")))
+            worst = scored.agg(F.max("_error")).first()[0]
+            if not worst:
+                trees.append(fitted)
+                says.append(1.0)
+                break
+            scored = scored.withColumn("_loss", self._losses(F.col("_error") / F.lit(worst)))
+            sums = scored.agg(F.sum(F.col("_weight") * F.col("_loss")).alias("lost"), F.sum("_weight").alias("all"), F.avg("_weight").alias("mean")).first()
+            average = sums["lost"] / sums["all"]
+            if average >= 0.5 and trees:
+                break
+            beta = max(average / (1.0 - average), 1e-12) if average < 0.5 else 1.0
+            trees.append(fitted)
+            says.append(rate * log(1.0 / beta) if beta < 1.0 else 1.0)
+            if average >= 0.5:
+                break
+            shrink = F.pow(F.lit(beta), (F.lit(1.0) - F.col("_loss")) * F.lit(rate))
+            # Dividing by the mean weight keeps the weights from vanishing over many rounds.
+            rows = scored.select(
+                self.getFeaturesCol(), label, (F.col("_weight") * shrink / F.lit(sums["mean"])).alias("_weight")
+            )
+            if (step + 1) % CHECKPOINT_ROUNDS == 0:
+                rows = reliable_checkpoint(rows)
+            kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.agg(F.sum("_weight")).first()
+            if held is not None:
+                held.unpersist()
+            held = kept
+        if held is not None:
+            held.unpersist()
+        return AdaBoostRegressionModel(trees, says, self.getFeaturesCol(), self.getPredictionCol())
+
+    def _losses(self, share: Column) -> Column:
+        kind = self.getOrDefault(self.loss)
+        if kind == "linear":
+            return share
+        if kind == "square":
+            return share * share
+        if kind == "exponential":
+            return F.lit(1.0) - F.exp(-share)
+        raise ValueError(f"unknown loss: {kind}")
+
+
+class AdaBoostRegressionModel(Model):
+    """Predicts the weighted median of its trees."""
+
+    def __init__(self, trees: list, says: list[float], features: str, prediction: str):
+        super().__init__()
+        self.trees, self.says = trees, says
+        self.features, self.prediction = features, prediction
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        names = [f"_tree{i}" for i in range(len(self.trees))]
+        scored = reduce(
+            lambda d, nt: nt[1].copy().setPredictionCol(nt[0]).transform(d), zip(names, self.trees), dataset
+        )
+        votes = F.array_sort(
+            F.array(*[F.struct(F.col(n).alias("value"), F.lit(s).alias("say")) for n, s in zip(names, self.says)])
+        )
+        half = F.lit(sum(self.says) / 2.0)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("value"))
+
+        def step(state: Column, vote: Column) -> Column:
+            total = state["sum"] + vote["say"]
+            crossed = state["value"].isNull() & (total >= half)
+            return F.struct(total.alias("sum"), F.when(crossed, vote["value"]).otherwise(state["value"]).alias("value"))
+
+        median = F.aggregate(votes, start, step, lambda state: state["value"])
+        return scored.withColumn(self.prediction, median).drop(*names)
