@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "profile_queries",
+    "cleaning_queries",
+    "chart_queries",
+    "reply_queries",
+    "source_queries",
+    "runlog_queries",
 ]
 
 

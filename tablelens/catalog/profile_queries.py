@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablelens.catalog.fixtures import GAPPY_COLUMNS, GAPPY_SQL, orders_gappy, rounded, table, union_sql
 from tablelens.operators import correlate as C
 from tablelens.operators import profile as P
@@ -28,6 +30,14 @@ def _profile(spark, sf):
     return rounded(P.column_profile(orders_gappy(spark, sf)), digits)
 
 
+def _approx_error(spark, sf):
+    """Whether each estimate is within three standard errors of the exact count."""
+    df = table(spark, sf, "lineitem")
+    exact = P.distinct_counts(df).select("position", "column_name", F.col("n_distinct").alias("exact"))
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.15 * F.col("exact")
+    return exact.join(P.approx_distinct(df).drop("column_name"), "position").select("column_name", "exact", close.alias("close"))
+
+
 QUERIES = {
     "dataset_info": lambda s, d: P.dataset_info(orders_gappy(s, d)),
     "memory_estimate": lambda s, d: rounded(P.memory_estimate(table(s, d, "documents")), {"megabytes": 8}),
@@ -43,6 +53,7 @@ QUERIES = {
     ),
     "distinct_counts": lambda s, d: P.distinct_counts(orders_gappy(s, d)),
     "distinct_counts_with_null": lambda s, d: P.distinct_counts(orders_gappy(s, d), include_null=True),
+    "approx_distinct_error": _approx_error,
     "approx_distinct": lambda s, d: P.approx_distinct(table(s, d, "lineitem")),
     "corr_adjacent": lambda s, d: rounded(C.corr_adjacent(table(s, d, "lineitem")), {"r": 6}),
     "corr_matrix": lambda s, d: rounded(C.corr_matrix(table(s, d, "lineitem")), {"r": 6}),
@@ -171,6 +182,12 @@ SQL = {
     "distinct_counts_with_null": _each(
         lambda c, k: f"count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END AS n_distinct"
     ),
+    "approx_distinct_error": union_sql(
+        [
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS close FROM lineitem"
+            for c in [*LINEITEM_NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate"]
+        ]
+    ),
     "corr_adjacent": union_sql([_corr(x, y) for x, y in zip(LINEITEM_NUMERIC, LINEITEM_NUMERIC[1:])]),
     "corr_matrix": union_sql([_corr(x, y) for x in LINEITEM_NUMERIC for y in LINEITEM_NUMERIC]),
     "column_means": f"WITH {GAPPY_SQL}\n"

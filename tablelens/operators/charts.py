@@ -123,18 +123,18 @@ def _density(binned: DataFrame, keys: list[str], span: tuple[float, float], bins
         binned.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(*keys, "point")
         .agg(F.sum(F.col("n") * kernel / (F.col("total") * F.col("bandwidth"))).alias("density"))
-        .select(*keys, "point", at.alias("at"), "density")
+        .select(*keys, "point", at.alias("value"), "density")
     )
 
 
 def kde_curve(df: DataFrame, column: str, bins: int = DENSITY_BINS, points: int = DENSITY_POINTS) -> DataFrame:
-    """Density curve over binned values with Scott's bandwidth: (point, at, density)."""
+    """Density curve over binned values with Scott's bandwidth: (point, value, density)."""
     value = number(df, column)
     row = df.agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")
     ).first()
     if row["n"] < 2 or row["low"] == row["high"]:
-        return df.sparkSession.createDataFrame([], "point int, at double, density double")
+        return df.sparkSession.createDataFrame([], "point int, value double, density double")
     span = (row["low"], row["high"])
     binned = (
         df.select(_bin(value, span, bins).alias("bin"))
@@ -150,14 +150,14 @@ def kde_curve(df: DataFrame, column: str, bins: int = DENSITY_BINS, points: int
 def violin_stats(
     df: DataFrame, x: str, y: str, bins: int = DENSITY_BINS, points: int = DENSITY_POINTS
 ) -> DataFrame:
-    """A density curve of y per group x, on one grid for all groups: (x, point, at, density).
+    """A density curve of y per group x, on one grid for all groups: (x, point, value, density).
 
     A group needs two different values for a curve.
     """
     rows = df.select(present(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")
     span = _ranges(rows, ["y"])["y"]
     if span is None or span[0] == span[1]:
-        return rows.select("x", F.lit(0).alias("point"), F.lit(0.0).alias("at"), F.lit(0.0).alias("density")).limit(0)
+        return rows.select("x", F.lit(0).alias("point"), F.lit(0.0).alias("value"), F.lit(0.0).alias("density")).limit(0)
     # Sums per (group, bin) first: what follows has at most `bins` rows per group.
     cells = rows.groupBy("x", _bin(F.col("y"), span, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("x").agg(F.count(F.lit(1)).alias("total"), F.stddev_samp("y").alias("std"))

@@ -95,18 +95,17 @@ def _split_by_form(replies: DataFrame) -> DataFrame:
 
 def _section_rows(parts: list[tuple[str, Column, Column]]) -> Column:
     """An array of (section, item, key, text) from (section, keys, texts) arrays."""
-    arrays = []
-    for section, keys, texts in parts:
-        zipped = F.arrays_zip(keys.alias("k"), texts.alias("t"))
-        arrays.append(
-            F.transform(
-                zipped,
-                lambda e, i, s=section: F.struct(
-                    F.lit(s).alias("section"), (i + 1).alias("item"), e["k"].alias("key"), e["t"].alias("text")
-                ),
+
+    def items(section: str, keys: Column, texts: Column) -> Column:
+        # Zipped first: inside the lambda the two arrays would be computed again for each item.
+        def item(pair: Column, i: Column) -> Column:
+            return F.struct(
+                F.lit(section).alias("section"), (i + 1).alias("item"), pair["k"].alias("key"), pair["t"].alias("text")
             )
-        )
-    return F.concat(*arrays)
+
+        return F.transform(F.arrays_zip(keys.alias("k"), texts.alias("t")), item)
+
+    return F.concat(*[items(*part) for part in parts])
 
 
 def parse_insights_json(replies: DataFrame) -> DataFrame:
