@@ -14,6 +14,7 @@ MODULES = [
     "reply_queries",
     "source_queries",
     "runlog_queries",
+    "training_queries",
 ]
 
 

@@ -94,23 +94,34 @@ def prepare(
     return TrainingData(problem, train, holdout, TrainingFacts(0, n_classes))
 
 
+# Tuning reads the rows many times; a task should have this many to be worth its start.
+ROWS_PER_TASK = 100_000
+
+
 @contextmanager
 def held(data: TrainingData):
     """Keep both parts in memory or on local disk while models are tuned on them, and count them.
 
-    A lost block is computed again from the source.
+    A lost block is computed again from the source. Rows that come in a few large partitions are
+    spread over the cores once.
     """
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
     holdout = data.holdout.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [train, holdout]
     try:
         row = train.agg(
             F.count(F.lit(1)).alias("n"), F.min(F.array_min(vector_to_array("features"))).alias("low")
         ).first()
         facts = TrainingFacts(row["n"], data.facts.n_classes, bool(row["low"] is not None and row["low"] < 0))
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        tasks = min(cores, row["n"] // ROWS_PER_TASK)
+        if train.rdd.getNumPartitions() < tasks:
+            train = train.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(train)
         yield TrainingData(data.problem_type, train, holdout, facts)
     finally:
-        train.unpersist()
-        holdout.unpersist()
+        for rows in kept:
+            rows.unpersist()
 
 
 def _evaluator(problem_type: str):
@@ -139,7 +150,7 @@ def tune(data: TrainingData, name: str, grid: dict[str, list], folds: int = 3, p
     fitted = cross.fit(data.train)
     scores = fitted.avgMetrics
     best = scores.index(max(scores) if cross.getEvaluator().isLargerBetter() else min(scores))
-    return fitted.bestModel, settings[best], scores[best]
+    return fitted.bestModel, settings[best], float(scores[best])
 
 
 def _changed(base, built) -> dict:
@@ -176,9 +187,11 @@ def train_all(
     models: list[str] | None = None,
     folds: int = 3,
     parallelism: int = 2,
+    grids: dict[str, dict[str, list]] | None = None,
 ) -> list[Outcome]:
-    """Train a whole line-up, 'standard' or 'wide'."""
-    grids = STANDARD_GRIDS if line_up == "standard" else WIDE_GRIDS
+    """Train a whole line-up, 'standard' or 'wide', over its grids or over given ones."""
+    if grids is None:
+        grids = STANDARD_GRIDS if line_up == "standard" else WIDE_GRIDS
     names = models or LINE_UPS[(line_up, data.problem_type)]
     return [train_one(data, n, grids.get(n, {}), folds, parallelism) for n in names]
 
@@ -227,9 +240,10 @@ def train_table(
     seed: int = 42,
     folds: int = 3,
     parallelism: int = 2,
+    grids: dict[str, dict[str, list]] | None = None,
 ) -> tuple[DataFrame, list[Outcome]]:
     """Leaderboard and fitted models for a cleaned table."""
     prepared = prepare(df, instructions, keys, train_percent, seed, folds)
     with held(prepared) as data:
-        outcomes = train_all(data, line_up, models, folds, parallelism)
+        outcomes = train_all(data, line_up, models, folds, parallelism, grids)
     return leaderboard(df.sparkSession, prepared.problem_type, outcomes), outcomes
