@@ -44,42 +44,68 @@ class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
             seed=self.getSeed(),
         )
         rows = dataset.select(self.getFeaturesCol(), label, F.lit(1.0).alias("_weight"))
-        trees, says = [], []
-        held: DataFrame | None = None
-        for step in range(self.getMaxIter()):
-            fitted = tree.fit(rows)
-            scored = fitted.transform(rows).withColumn("_error", F.abs(F.col(label) - F.col("prediction")))
-            worst = scored.agg(F.max("_error")).first()[0]
-            if not worst:
+        trees: list = []
+        says: list[float] = []
+        held: list[DataFrame] = []
+        try:
+            for step in range(self.getMaxIter()):
+                fitted = tree.fit(rows)
+                # The fit has filled the cache of these rows, so the rows before them can go.
+                while len(held) > 1:
+                    held.pop(0).unpersist()
+                scored = fitted.transform(rows).withColumn("_error", F.abs(F.col(label) - F.col("prediction")))
+                worst, average, mean_weight = self._round_sums(scored)
+                if not worst:
+                    trees.append(fitted)
+                    says.append(1.0)
+                    break
+                if average >= 0.5:
+                    # No better than chance: kept only if it is the first tree.
+                    if not trees:
+                        trees.append(fitted)
+                        says.append(1.0)
+                    break
+                beta = average / (1.0 - average)
                 trees.append(fitted)
-                says.append(1.0)
-                break
-            scored = scored.withColumn("_loss", self._losses(F.col("_error") / F.lit(worst)))
-            sums = scored.agg(F.sum(F.col("_weight") * F.col("_loss")).alias("lost"), F.sum("_weight").alias("all"), F.avg("_weight").alias("mean")).first()
-            average = sums["lost"] / sums["all"]
-            if average >= 0.5 and trees:
-                break
-            beta = max(average / (1.0 - average), 1e-12) if average < 0.5 else 1.0
-            trees.append(fitted)
-            says.append(rate * log(1.0 / beta) if beta < 1.0 else 1.0)
-            if average >= 0.5:
-                break
-            shrink = F.pow(F.lit(beta), (F.lit(1.0) - F.col("_loss")) * F.lit(rate))
-            # Dividing by the mean weight keeps the weights from vanishing over many rounds.
-            rows = scored.select(
-                self.getFeaturesCol(), label, (F.col("_weight") * shrink / F.lit(sums["mean"])).alias("_weight")
-            )
-            if (step + 1) % CHECKPOINT_ROUNDS == 0:
-                rows = reliable_checkpoint(rows)
-            kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-            kept.agg(F.sum("_weight")).first()
-            if held is not None:
-                held.unpersist()
-            held = kept
-        if held is not None:
-            held.unpersist()
+                says.append(rate * log(1.0 / beta))
+                loss = self._losses(F.col("_error") / F.lit(worst))
+                shrink = F.pow(F.lit(beta), (F.lit(1.0) - loss) * F.lit(rate))
+                # Dividing by the mean weight keeps the weights from vanishing over many rounds.
+                weight = F.col("_weight") * shrink / F.lit(mean_weight)
+                rows = scored.select(self.getFeaturesCol(), label, weight.alias("_weight"))
+                if (step + 1) % CHECKPOINT_ROUNDS == 0:
+                    rows = reliable_checkpoint(rows)
+                else:
+                    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                    held.append(rows)
+        finally:
+            for kept in held:
+                kept.unpersist()
         return AdaBoostRegressionModel(trees, says, self.getFeaturesCol(), self.getPredictionCol())
 
+    def _round_sums(self, scored: DataFrame) -> tuple[float | None, float, float]:
+        """Largest error, weighted mean loss and mean weight of a round.
+
+        The linear and square losses are sums over the errors, scaled by the largest one afterwards;
+        the exponential loss needs the largest error first.
+        """
+        power = {"linear": 1, "square": 2}.get(self.getOrDefault(self.loss))
+        weight, error = F.col("_weight"), F.col("_error")
+        sums = scored.agg(
+            F.max(error).alias("worst"),
+            F.sum(weight).alias("all"),
+            F.avg(weight).alias("mean"),
+            F.sum(weight * F.pow(error, F.lit(power or 1))).alias("powers"),
+        ).first()
+        worst = sums["worst"]
+        if not worst:
+            return None, 0.0, 1.0
+        if power:
+            lost = sums["powers"] / worst**power
+        else:
+            lost = scored.agg(F.sum(weight * self._losses(error / F.lit(worst)))).first()[0]
+        return worst, lost / sums["all"], sums["mean"]
+
     def _losses(self, share: Column) -> Column:
         kind = self.getOrDefault(self.loss)
         if kind == "linear":

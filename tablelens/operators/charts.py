@@ -63,12 +63,15 @@ def _ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]
 
 
 def _bin(value: Column, span: tuple[float, float], bins: int) -> Column:
-    """Equal-width bin number; the largest value falls into the last bin. One bin if all are equal."""
+    """Equal-width bin number; the largest value falls into the last bin. One bin if all are equal.
+
+    Null stays null, which `least` alone would not keep.
+    """
     low, high = span
     if high == low:
         return F.when(value.isNotNull(), F.lit(0).cast("bigint"))
     position = F.floor((value - F.lit(low)) / F.lit((high - low) / bins))
-    return F.least(position, F.lit(bins - 1).cast("bigint"))
+    return F.when(value.isNotNull(), F.least(position, F.lit(bins - 1).cast("bigint")))
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS) -> DataFrame:

@@ -8,12 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import number, numeric_columns, per_column, require_columns
 
-# Above ten pairs per aggregate the generated code is too large for the JVM to compile (measured).
+# With many more pairs per aggregate the generated code is too large for the JVM to compile.
 PAIRS_PER_SCAN = 10
 WIDE_TABLE = 12
 
@@ -42,11 +42,21 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None, wide_table: int
     return upper.select(F.inline(F.array_compact(both)))
 
 
+def _pearson(df: DataFrame, x: str, y: str) -> Column:
+    """Correlation over the rows where both are present; null if one of them is constant there."""
+    a, b = number(df, x), number(df, y)
+    if x == y:
+        return F.when(F.stddev_pop(a) > 0, F.lit(1.0))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def _by_aggregate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[start : start + PAIRS_PER_SCAN]
-        wide = df.agg(*[F.corr(number(df, x), number(df, y)).alias(f"r{i}") for i, (x, y) in enumerate(chunk)])
+        wide = df.agg(*[_pearson(df, x, y).alias(f"r{i}") for i, (x, y) in enumerate(chunk)])
         rows = [
             F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("r"))
             for i, (x, y) in enumerate(chunk)

@@ -293,7 +293,7 @@ def profile_alerts(
         "constant": F.col("is_constant"),
         "unique": F.col("is_unique"),
         "high_missing": F.col("missing_share") > high_missing,
-        "high_zeros": (n_present > 0) & (F.col("n_zeros") / n_present > high_zeros),
+        "high_zeros": F.col("n_zeros") > n_present * F.lit(high_zeros),
         "high_cardinality": is_text & (F.col("n_distinct") > high_cardinality),
     }
     raised = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])

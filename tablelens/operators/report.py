@@ -13,25 +13,24 @@ NO_IMAGE = "Image not available"
 def attach_images(insights: DataFrame, images: DataFrame) -> DataFrame:
     """Add `image` by file name; an insight without its image keeps its row and gets a fixed text.
 
-    Images are wide (whole files), so the join is left to the optimizer: it broadcasts the image
-    side only below its size limit, else both sides are shuffled on the name.
+    Rows of other sections get no image. Images are whole files, so the join is left to the
+    optimizer: it broadcasts the image side only below its size limit, else both sides are shuffled
+    on the name. Rows without a name get a join key of their own, so that they spread evenly
+    instead of meeting in one task.
     """
-    named = images.select(F.col("name").alias("key"), F.col("data_uri").alias("_uri"))
-    return insights.join(named, "key", "left").select(
-        *insights.columns, F.coalesce("_uri", F.lit(NO_IMAGE)).alias("image")
-    )
+    is_image = (F.col("section") == "image") & F.col("key").isNotNull()
+    own_key = F.concat(F.lit("\u0000"), F.xxhash64("response_id", "section", "item").cast("string"))
+    keyed = insights.withColumn("_key", F.when(is_image, F.col("key")).otherwise(own_key))
+    named = images.select(F.col("name").alias("_key"), F.col("data_uri").alias("_uri"))
+    image = F.when(F.col("section") == "image", F.coalesce("_uri", F.lit(NO_IMAGE)))
+    return keyed.join(named, "_key", "left").select(*insights.columns, image.alias("image"))
 
 
 def report_table(insights: DataFrame, images: DataFrame) -> DataFrame:
-    """(response_id, section_no, section, item, key, text, image) with sections in report order.
-
-    Only image rows take part in the join; overview and summary rows have no file name.
-    """
-    pictured = attach_images(insights.filter(F.col("section") == "image"), images)
-    plain = insights.filter(F.col("section") != "image").withColumn("image", F.lit(None).cast("string"))
+    """(response_id, section_no, section, item, key, text, image) with sections in report order."""
     order = F.array(*[F.lit(s) for s in SECTION_TITLES])
     titles = F.create_map(*[F.lit(v) for pair in SECTION_TITLES.items() for v in pair])
-    return pictured.unionByName(plain).select(
+    return attach_images(insights, images).select(
         "response_id",
         F.array_position(order, F.col("section")).cast("int").alias("section_no"),
         titles[F.col("section")].alias("section"),

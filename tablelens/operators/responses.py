@@ -93,27 +93,25 @@ def _split_by_form(replies: DataFrame) -> DataFrame:
     )
 
 
+def _section_item(section: str, pair: Column, i: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"), (i + 1).alias("item"), pair["k"].alias("key"), pair["t"].alias("text")
+    )
+
+
 def _section_rows(parts: list[tuple[str, Column, Column]]) -> Column:
     """An array of (section, item, key, text) from (section, keys, texts) arrays."""
 
     def items(section: str, keys: Column, texts: Column) -> Column:
         # Zipped first: inside the lambda the two arrays would be computed again for each item.
-        def item(pair: Column, i: Column) -> Column:
-            return F.struct(
-                F.lit(section).alias("section"), (i + 1).alias("item"), pair["k"].alias("key"), pair["t"].alias("text")
-            )
-
-        return F.transform(F.arrays_zip(keys.alias("k"), texts.alias("t")), item)
+        zipped = F.arrays_zip(keys.alias("k"), texts.alias("t"))
+        return F.transform(zipped, lambda pair, i: _section_item(section, pair, i))
 
     return F.concat(*[items(*part) for part in parts])
 
 
-def parse_insights_json(replies: DataFrame) -> DataFrame:
-    """(response_id, section, item, key, text) of the replies that are JSON.
-
-    Overview and summary become one row each, a line `key: text` per entry; images one row each.
-    """
-    json = _split_by_form(replies).filter("is_json")
+def _json_rows() -> Column:
+    """Section rows of a JSON reply."""
     empty = F.array().cast("array<string>")
 
     def lines(section: str) -> Column:
@@ -121,54 +119,73 @@ def parse_insights_json(replies: DataFrame) -> DataFrame:
         joined = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
         return F.when(F.size(entries) > 0, F.array(joined)).otherwise(empty)
 
-    def names(section: str) -> Column:
-        return F.transform(lines(section), lambda _: F.lit(None).cast("string"))
-
     images = F.col("json.image_insights")
-    rows = _section_rows(
+    return _section_rows(
         [
-            ("overview", names("EDA_overview"), lines("EDA_overview")),
+            ("overview", _no_names(lines("EDA_overview")), lines("EDA_overview")),
             ("image", F.coalesce(F.map_keys(images), empty), F.coalesce(F.map_values(images), empty)),
-            ("summary", names("summary"), lines("summary")),
+            ("summary", _no_names(lines("summary")), lines("summary")),
         ]
     )
-    return json.select("response_id", F.inline(rows))
+
+
+def _no_names(texts: Column) -> Column:
+    return F.transform(texts, lambda _: F.lit(None).cast("string"))
 
 
 def _braces_to_lines(block: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(block, r"""['"{}]""", ""), r"^\s+|\s+$", "")
-    return F.regexp_replace(bare, r",\s*", "\n")
+    bare = F.regexp_replace(F.regexp_replace(block, r"""['"{}]""", ""), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(bare, r"(?U),\s*", "\n")
 
 
-def parse_insights_text(replies: DataFrame) -> DataFrame:
-    """The same rows from replies that are not JSON, found by their headings and image names."""
-    free = _split_by_form(replies).filter("not is_json")
+def _text_rows() -> Column:
+    """Section rows of a free-text reply."""
     empty = F.array().cast("array<string>")
-    overview = F.regexp_extract("text", OVERVIEW_BLOCK, 1)
-    summary = F.regexp_extract("text", SUMMARY_BLOCK, 1)
-    # An image block runs up to the next image name or the summary at the start of a line.
-    image = rf"(?iU)({IMAGE_NAME})\s*([\s\S]+?)(?=\n{IMAGE_NAME}|\nsummary:|\z)"
-    names = F.regexp_extract_all("text", F.lit(image), F.lit(1))
-    texts = F.transform(
-        F.regexp_extract_all("text", F.lit(image), F.lit(2)),
-        lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+", " "),
+    # An image block runs up to the next image name or the summary at the start of a line. The
+    # blocks are found once; name and text are then cut from each block.
+    image = rf"(?iU){IMAGE_NAME}\s*[\s\S]+?(?=\n{IMAGE_NAME}|\nsummary:|\z)"
+    blocks = F.regexp_extract_all("text", F.lit(image), F.lit(0))
+    pairs = F.transform(
+        blocks,
+        lambda b: F.struct(
+            F.regexp_extract(b, rf"(?iU)^({IMAGE_NAME})", 1).alias("k"),
+            _squeezed(F.regexp_replace(b, rf"(?iU)^{IMAGE_NAME}", "")).alias("t"),
+        ),
     )
 
-    def one(block: Column) -> Column:
+    def one(pattern: str) -> Column:
+        block = F.regexp_extract("text", pattern, 1)
         return F.when(block != "", F.array(_braces_to_lines(block))).otherwise(empty)
 
-    def unnamed(block: Column) -> Column:
-        return F.transform(one(block), lambda _: F.lit(None).cast("string"))
-
-    rows = _section_rows(
-        [("overview", unnamed(overview), one(overview)), ("image", names, texts), ("summary", unnamed(summary), one(summary))]
+    overview, summary = one(OVERVIEW_BLOCK), one(SUMMARY_BLOCK)
+    return F.concat(
+        _section_rows([("overview", _no_names(overview), overview)]),
+        F.transform(pairs, lambda p, i: _section_item("image", p, i)),
+        _section_rows([("summary", _no_names(summary), summary)]),
     )
-    return free.select("response_id", F.inline(rows))
+
+
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+
+
+def parse_insights_json(replies: DataFrame) -> DataFrame:
+    """(response_id, section, item, key, text) of the replies that are JSON.
+
+    Overview and summary become one row each, a line `key: text` per entry; images one row each.
+    """
+    return _split_by_form(replies).filter("is_json").select("response_id", F.inline(_json_rows()))
+
+
+def parse_insights_text(replies: DataFrame) -> DataFrame:
+    """The same rows from replies that are not JSON, found by their headings and image names."""
+    return _split_by_form(replies).filter("not is_json").select("response_id", F.inline(_text_rows()))
 
 
 def parse_insights(replies: DataFrame) -> DataFrame:
-    """Both forms together."""
-    return parse_insights_json(replies).unionByName(parse_insights_text(replies))
+    """Both forms in one pass."""
+    rows = F.when(F.col("is_json"), _json_rows()).otherwise(_text_rows())
+    return _split_by_form(replies).select("response_id", F.inline(rows))
 
 
 def chart_file_name(chart_id: Column, chart: Column, cols: Column) -> Column:

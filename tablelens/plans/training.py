@@ -98,12 +98,23 @@ def prepare(
 ROWS_PER_TASK = 100_000
 
 
+def _fit_partitions(rows: DataFrame, n: int) -> DataFrame:
+    """Spread rows that come in too few partitions for the cores, or merge a swarm of tiny ones."""
+    worth = max(1, -(-n // ROWS_PER_TASK))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    partitions = rows.rdd.getNumPartitions()
+    if partitions > worth:
+        return rows.coalesce(worth)
+    if partitions < min(cores, worth):
+        return rows.repartition(min(cores, worth))
+    return rows
+
+
 @contextmanager
 def held(data: TrainingData):
     """Keep both parts in memory or on local disk while models are tuned on them, and count them.
 
-    A lost block is computed again from the source. Rows that come in a few large partitions are
-    spread over the cores once.
+    A lost block is computed again from the source.
     """
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
     holdout = data.holdout.persist(StorageLevel.MEMORY_AND_DISK)
@@ -113,10 +124,9 @@ def held(data: TrainingData):
             F.count(F.lit(1)).alias("n"), F.min(F.array_min(vector_to_array("features"))).alias("low")
         ).first()
         facts = TrainingFacts(row["n"], data.facts.n_classes, bool(row["low"] is not None and row["low"] < 0))
-        cores = train.sparkSession.sparkContext.defaultParallelism
-        tasks = min(cores, row["n"] // ROWS_PER_TASK)
-        if train.rdd.getNumPartitions() < tasks:
-            train = train.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        spread = _fit_partitions(train, row["n"])
+        if spread is not train:
+            train = spread.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(train)
         yield TrainingData(data.problem_type, train, holdout, facts)
     finally:

@@ -21,6 +21,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tab
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python line of each column expression costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
