@@ -61,6 +61,7 @@ QUERIES = {
     "column_modes": lambda s, d: P.column_modes(orders_gappy(s, d)),
     "value_counts": lambda s, d: P.value_counts(orders_gappy(s, d), "o_orderpriority"),
     "column_profile": _profile,
+    "column_profile_approx": lambda s, d: P.column_profile(table(s, d, "lineitem"), approx=True),
     "profile_alerts": lambda s, d: P.profile_alerts(P.column_profile(orders_gappy(s, d))),
     "select_numeric": lambda s, d: P.select_numeric(table(s, d, "orders")),
     "filter_missing": lambda s, d: P.filter_missing(orders_gappy(s, d), "o_totalprice").select(

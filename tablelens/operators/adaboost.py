@@ -17,9 +17,9 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.session import reliable_checkpoint
+from tablelens.session import cut_lineage
 
-CHECKPOINT_ROUNDS = 5
+ROUNDS_PER_CUT = 5
 
 
 class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasSeed):
@@ -73,8 +73,8 @@ class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
                 # Dividing by the mean weight keeps the weights from vanishing over many rounds.
                 weight = F.col("_weight") * shrink / F.lit(mean_weight)
                 rows = scored.select(self.getFeaturesCol(), label, weight.alias("_weight"))
-                if (step + 1) % CHECKPOINT_ROUNDS == 0:
-                    rows = reliable_checkpoint(rows)
+                if (step + 1) % ROUNDS_PER_CUT == 0:
+                    rows = cut_lineage(rows)
                 else:
                     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
                     held.append(rows)

@@ -226,44 +226,66 @@ def top_value(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), "value").limit(1)
 
 
-def column_profile(df: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def _profile_stats(df: DataFrame, c: str) -> dict[str, Column]:
+    value = _number_value(df, c)
+    is_text = isinstance(type_of(df, c), T.StringType)
+    length = F.length(quoted(c)) if is_text else _null("int")
+    return {
+        "data_type": F.first(F.lit(type_of(df, c).simpleString())),
+        "n_rows": F.count(F.lit(1)),
+        "n_missing": _count_missing(df, c),
+        "n_zeros": F.count(F.when(value == 0, F.lit(1))),
+        "n_negative": F.count(F.when(value < 0, F.lit(1))),
+        "min_number": F.min(value),
+        "max_number": F.max(value),
+        "mean": F.avg(value),
+        "std": F.stddev_samp(value),
+        "variance": F.var_samp(value),
+        "skewness": F.skewness(value),
+        "kurtosis": F.kurtosis(value),
+        "total": F.sum(value),
+        "min_length": F.min(length),
+        "mean_length": F.avg(length),
+        "max_length": F.max(length),
+    }
+
+
+def _sketch_stats(df: DataFrame, c: str) -> dict[str, Column]:
+    value = _number_value(df, c)
+    cuts = {n: F.percentile_approx(value, p, QUANTILE_ACCURACY) for n, p in PROFILE_QUANTILES.items()}
+    return {
+        "n_distinct": F.approx_count_distinct(present(df, c), DISTINCT_ERROR),
+        "top": F.first(_null("string")),
+        "top_freq": F.first(_null("bigint")),
+        **cuts,
+    }
+
+
+QUANTILE_ACCURACY = 10_000
+DISTINCT_ERROR = 0.01
+
+
+def column_profile(df: DataFrame, approx: bool = False, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """The full profile, one row per column.
 
-    One wide aggregate gives the counts and moments. One frequency table, shuffled once and used
-    twice, gives distinct counts, the top value and exact quantiles.
+    A wide aggregate gives the counts and moments. One frequency table, shuffled once and used
+    twice, gives distinct counts, the top value and exact quantiles. With `approx` sketches take its
+    place: nothing but a few sketches per task is shuffled, and the top value is left out.
     """
-
-    def stats(c: str) -> dict[str, Column]:
-        value = _number_value(df, c)
-        is_text = isinstance(type_of(df, c), T.StringType)
-        length = F.length(quoted(c)) if is_text else _null("int")
-        return {
-            "data_type": F.first(F.lit(type_of(df, c).simpleString())),
-            "n_rows": F.count(F.lit(1)),
-            "n_missing": _count_missing(df, c),
-            "n_zeros": F.count(F.when(value == 0, F.lit(1))),
-            "n_negative": F.count(F.when(value < 0, F.lit(1))),
-            "min_number": F.min(value),
-            "max_number": F.max(value),
-            "mean": F.avg(value),
-            "std": F.stddev_samp(value),
-            "variance": F.var_samp(value),
-            "skewness": F.skewness(value),
-            "kurtosis": F.kurtosis(value),
-            "total": F.sum(value),
-            "min_length": F.min(length),
-            "mean_length": F.avg(length),
-            "max_length": F.max(length),
-        }
-
-    frequencies = value_frequencies(df, df.columns).filter(is_present())
-    summary = frequency_summary(frequencies)
-    cuts = column_quantiles(df, frequencies, PROFILE_QUANTILES, single_task_rows)
-    joined = (
-        per_column(df, df.columns, stats, fields_per_stat=2)
-        .join(F.broadcast(summary), "position", "left")
-        .join(F.broadcast(cuts), "position", "left")
-    )
+    if approx:
+        joined = per_column(
+            df, df.columns, lambda c: {**_profile_stats(df, c), **_sketch_stats(df, c)}, fields_per_stat=2
+        )
+    else:
+        frequencies = value_frequencies(df, df.columns).filter(is_present())
+        summary = frequency_summary(frequencies)
+        cuts = column_quantiles(df, frequencies, PROFILE_QUANTILES, single_task_rows)
+        # One row per column on each side.
+        joined = (
+            per_column(df, df.columns, lambda c: _profile_stats(df, c), fields_per_stat=2)
+            .join(F.broadcast(summary), "position", "left")
+            .join(F.broadcast(cuts), "position", "left")
+        )
     n_present = F.col("n_rows") - F.col("n_missing")
     n_distinct = F.coalesce("n_distinct", F.lit(0)).cast("bigint")
     return (

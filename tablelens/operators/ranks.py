@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.joins import join_keeping_nulls, join_per_key_stats
-from tablelens.session import reliable_checkpoint
+from tablelens.session import cut_lineage
 
 SINGLE_TASK_ROWS = 2_000_000
 HOT_KEY_SALTS = 32
@@ -41,7 +41,7 @@ def running_totals(
 
     # A row must fall into the same range in both uses below, so the ranges are written once.
     by = [F.col(k) for k in keys] + order
-    ranged = reliable_checkpoint(
+    ranged = cut_lineage(
         rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
     )
     # One row per (range, key): few per key, whatever the size of the key.

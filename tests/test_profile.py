@@ -135,3 +135,15 @@ def test_wide_tables_are_split_into_several_aggregates(spark):
     df = spark.range(50).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(70)])
     means = P.column_means(df).orderBy("position").collect()
     assert [r["mean"] for r in means] == [24.5 * i for i in range(70)]
+
+
+def test_approximate_profile_is_close(spark, folder):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").drop("l_shipdate")
+    exact, approx = by_name(P.column_profile(df)), by_name(P.column_profile(df, approx=True))
+    for name, row in exact.items():
+        near = approx[name]
+        assert near["n_distinct"] == pytest.approx(row["n_distinct"], rel=0.05)
+        assert near["mean"] == row["mean"] and near["top"] is None
+        if row["p50"] is not None:
+            width = row["max_number"] - row["min_number"]
+            assert abs(near["p50"] - row["p50"]) <= 0.01 * width
