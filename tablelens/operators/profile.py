@@ -250,21 +250,21 @@ def _profile_stats(df: DataFrame, c: str) -> dict[str, Column]:
     }
 
 
+QUANTILE_ACCURACY = 10_000
+DISTINCT_LOG_SIZE = 14  # a standard error below one percent
+
+
 def _sketch_stats(df: DataFrame, c: str) -> dict[str, Column]:
-    value = _number_value(df, c)
-    cuts = {n: F.percentile_approx(value, p, QUANTILE_ACCURACY) for n, p in PROFILE_QUANTILES.items()}
+    value = present(df, c)
+    cuts = F.array(*[F.lit(p) for p in PROFILE_QUANTILES.values()])
+    # A sketch keeps its state in one binary field, while approx_count_distinct spreads it over hundreds.
+    hashed = F.when(value.isNotNull(), F.xxhash64(value))
     return {
-        "n_distinct": F.approx_count_distinct(present(df, c), DISTINCT_ERROR),
-        "top": F.first(_null("string")),
-        "top_freq": F.first(_null("bigint")),
-        **cuts,
+        "n_distinct": F.hll_sketch_estimate(F.hll_sketch_agg(hashed, DISTINCT_LOG_SIZE)),
+        "cuts": F.percentile_approx(_number_value(df, c), cuts, QUANTILE_ACCURACY),
     }
 
 
-QUANTILE_ACCURACY = 10_000
-DISTINCT_ERROR = 0.01
-
-
 def column_profile(df: DataFrame, approx: bool = False, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """The full profile, one row per column.
 
@@ -273,8 +273,15 @@ def column_profile(df: DataFrame, approx: bool = False, single_task_rows: int =
     place: nothing but a few sketches per task is shuffled, and the top value is left out.
     """
     if approx:
-        joined = per_column(
-            df, df.columns, lambda c: {**_profile_stats(df, c), **_sketch_stats(df, c)}, fields_per_stat=2
+        sketched = per_column(df, df.columns, lambda c: _sketch_stats(df, c), fields_per_stat=2).select(
+            "position",
+            "n_distinct",
+            _null("string").alias("top"),
+            _null("bigint").alias("top_freq"),
+            *[F.get("cuts", F.lit(i)).alias(p) for i, p in enumerate(PROFILE_QUANTILES)],
+        )
+        joined = per_column(df, df.columns, lambda c: _profile_stats(df, c), fields_per_stat=2).join(
+            F.broadcast(sketched), "position", "left"
         )
     else:
         frequencies = value_frequencies(df, df.columns).filter(is_present())

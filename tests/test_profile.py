@@ -145,5 +145,5 @@ def test_approximate_profile_is_close(spark, folder):
         assert near["n_distinct"] == pytest.approx(row["n_distinct"], rel=0.05)
         assert near["mean"] == row["mean"] and near["top"] is None
         if row["p50"] is not None:
-            width = row["max_number"] - row["min_number"]
-            assert abs(near["p50"] - row["p50"]) <= 0.01 * width
+            below, upto = df.agg(F.avg((F.col(name) < near["p50"]).cast("int")), F.avg((F.col(name) <= near["p50"]).cast("int"))).first()
+            assert below <= 0.51 and upto >= 0.49
