@@ -59,7 +59,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"unknown columns: {unknown}")
 
 
-FIELDS_PER_AGGREGATE = 40
+FIELDS_PER_AGGREGATE = 60
 
 
 def per_column(

@@ -238,9 +238,7 @@ def _profile_stats(df: DataFrame, c: str) -> dict[str, Column]:
         "n_negative": F.count(F.when(value < 0, F.lit(1))),
         "min_number": F.min(value),
         "max_number": F.max(value),
-        "mean": F.avg(value),
         "std": F.stddev_samp(value),
-        "variance": F.var_samp(value),
         "skewness": F.skewness(value),
         "kurtosis": F.kurtosis(value),
         "total": F.sum(value),
@@ -297,6 +295,8 @@ def column_profile(df: DataFrame, approx: bool = False, single_task_rows: int =
     n_distinct = F.coalesce("n_distinct", F.lit(0)).cast("bigint")
     return (
         joined.withColumn("n_distinct", n_distinct)
+        .withColumn("mean", F.when(n_present > 0, F.col("total") / n_present))
+        .withColumn("variance", F.col("std") * F.col("std"))
         .withColumn("missing_share", _share("n_missing", F.col("n_rows")))
         .withColumn("distinct_share", _share("n_distinct", n_present))
         .withColumn("is_unique", (n_present > 0) & (F.col("n_distinct") == n_present))
