@@ -122,7 +122,7 @@ QUERIES = {
     "reg_forest": _one("RandomForestRegressor", PRICE, {"numTrees": [20], "maxDepth": [5, 10]}),
     "reg_gbt": _one("GBTRegressor", PRICE, {"maxDepth": [3], "maxIter": [20]}),
     "reg_gbt_grid": _one("CatBoostingRegressor", PRICE, {"maxDepth": [6], "stepSize": [0.05, 0.1], "maxIter": [8]}),
-    "reg_adaboost": _one("AdaBoostRegressor", PRICE, {"loss": ["linear", "square"], "maxIter": [8]}),
+    "reg_adaboost": _one("AdaBoostRegressor", PRICE, {"loss": ["linear", "square"], "maxIter": [5]}),
     "cv_folds": _folds,
     "predict_holdout": _holdout,
     "best_params": _params,

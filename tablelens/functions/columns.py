@@ -97,4 +97,6 @@ def per_column(
             fields.append(F.col(key).alias(stat))
         rows.append(F.struct(*fields))
     flush()
+    if not parts:
+        return df.sparkSession.createDataFrame([], "position int, column_name string")
     return reduce(DataFrame.unionByName, parts)

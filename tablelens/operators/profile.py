@@ -192,7 +192,11 @@ def approx_distinct(df: DataFrame, rsd: float = 0.05) -> DataFrame:
 
 
 def column_means(df: DataFrame) -> DataFrame:
-    return per_column(df, numeric_columns(df), lambda c: {"mean": F.avg(number(df, c))})
+    """Means of the numeric columns; no rows if there are none."""
+    columns = numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "position int, column_name string, mean double")
+    return per_column(df, columns, lambda c: {"mean": F.avg(number(df, c))})
 
 
 def column_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from tablelens.session import cut_lineage
 
 SINGLE_TASK_ROWS = 2_000_000
 HOT_KEY_SALTS = 32
+ROWS_PER_RANGE = 2_000_000
+MAX_RANGES = 100_000
 
 
 def running_totals(
@@ -42,7 +44,7 @@ def running_totals(
     # A row must fall into the same range in both uses below, so the ranges are written once.
     by = [F.col(k) for k in keys] + order
     ranged = cut_lineage(
-        rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+        rows.repartitionByRange(_ranges(rows, row_bound), *by).withColumn("_range", F.spark_partition_id())
     )
     # One row per (range, key): few per key, whatever the size of the key.
     sums = ranged.groupBy("_range", *keys).agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
@@ -66,6 +68,12 @@ def running_totals(
     )
 
 
+def _ranges(rows: DataFrame, row_bound: int) -> int:
+    """As many ranges as a shuffle has partitions, more if one key alone would overfill them."""
+    shuffle = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, min(MAX_RANGES, row_bound // ROWS_PER_RANGE))
+
+
 def quantiles(totals: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key from running counts (`n`, `run_n`, `all_n`).
 

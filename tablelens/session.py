@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder of its own: there, driver and
     executors are one process. On a cluster an unset folder is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tablelens-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tablelens-"))
+    return context.getCheckpointDir()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -147,3 +147,9 @@ def test_approximate_profile_is_close(spark, folder):
         if row["p50"] is not None:
             below, upto = df.agg(F.avg((F.col(name) < near["p50"]).cast("int")), F.avg((F.col(name) <= near["p50"]).cast("int"))).first()
             assert below <= 0.51 and upto >= 0.49
+
+
+def test_no_numeric_columns(spark):
+    df = spark.createDataFrame([("a",)], "s string")
+    assert P.column_means(df).count() == 0 and C.corr_matrix(df).count() == 0
+    assert by_name(P.column_profile(df))["s"]["is_unique"]
