@@ -113,7 +113,7 @@ QUERIES = {
     "clf_gbt": _one("GBTClassifier", FLAG, {"maxDepth": [3], "maxIter": [20]}),
     "clf_gbt_three_classes": _standard("GBTClassifier", THREE),
     "clf_naive_bayes": _standard("NaiveBayes", FLAG),
-    "clf_linear_svm": _one("LinearSVM", FLAG, {"C": [0.1, 1]}),
+    "clf_linear_svm": _one("LinearSVM", FLAG, {"C": [0.1]}),
     "clf_linear_svm_three_classes": _one("LinearSVM", THREE, {"C": [1]}),
     "reg_linear": _line,
     "reg_linear_grid": _standard("LinearRegression", PRICE),

@@ -68,6 +68,8 @@ class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
                 beta = average / (1.0 - average)
                 trees.append(fitted)
                 says.append(rate * log(1.0 / beta))
+                if step + 1 == self.getMaxIter():
+                    break
                 loss = self._losses(F.col("_error") / F.lit(worst))
                 shrink = F.pow(F.lit(beta), (F.lit(1.0) - loss) * F.lit(rate))
                 # Dividing by the mean weight keeps the weights from vanishing over many rounds.
