@@ -13,16 +13,17 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers, and words of one text taken at a time.
-REMEMBERED, WINDOW = 400_000, 500_000
+REMEMBERED, WINDOW = 200_000, 500_000
+#: Rows returned at a time.
+ROWS = 256
 #: Unicode white space, as `\\s` in the pattern means it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -85,13 +86,13 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class _Words(dict):
-    """Ids by word, worked out when a word is first asked for."""
+    """Ids by word, as bytes, worked out when a word is first asked for."""
 
     def __init__(self, ids_of):
         super().__init__()
         self.ids_of = ids_of
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self[word] = self.ids_of(word)
         return ids
 
@@ -119,13 +120,14 @@ class Codec:
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.known = _Words(self.ids_of)
 
-    def ids_of(self, word: str) -> tuple[int, ...]:
+    def ids_of(self, word: str) -> bytes:
+        """The ids as four bytes each: remembered and joined without a number object for each."""
         ids: list[int] = []
         for raw in map(str.encode, self.pretokens(word)):
             # a pre-token that is a token needs no merges, also if no merges would lead to it
             at = self.whole.get(raw)
             ids += self.processor.encode(raw.decode("latin-1").translate(self.table)) if at is None else (at,)
-        return tuple(ids)
+        return np.array(ids, np.int32).tobytes()
 
     def _windows(self, text: str) -> Iterator[list[str]]:
         if len(text) <= WINDOW:
@@ -141,8 +143,8 @@ class Codec:
             if len(self.known) > REMEMBERED:  # the first to come are the frequent ones
                 for word in list(islice(self.known, REMEMBERED // 2, None)):
                     del self.known[word]
-            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, window)), np.int32))
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+            parts.append(b"".join(map(self.known.__getitem__, window)))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, [] if ids is None else ids))
@@ -158,34 +160,51 @@ def tokenizer(path: str, pattern: str) -> tuple[bytes, str]:
     return serialise(read_ranks(path)), pattern
 
 
-def encode(text: Column, with_: tuple[bytes, str]) -> Column:
-    """Ids of a text, as array<int>. Null and empty texts give an empty array."""
+def _added(docs: DataFrame, fields: list[T.StructField], columns) -> DataFrame:
+    """docs with columns made by `columns(batch) -> arrays`, a few rows at a time so that memory stays small."""
+    names = {f.name for f in fields}
+    kept = [c for c in docs.columns if c not in names]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(*with_)
-        for texts in batches:
-            yield pd.Series([codec.encode(t) for t in texts], index=texts.index, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                arrays = [batch.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays(arrays + columns(batch), [*kept, *(f.name for f in fields)])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
 
-    return F.pandas_udf(run, T.ArrayType(T.IntegerType(), False))(text)
 
+def encode_documents(docs: DataFrame, with_: tuple[bytes, str], text: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns of docs with `ids` (array<int>) added or replaced, and if asked `decoded` (binary) from them.
 
-def decode(ids: Column, with_: tuple[bytes, str]) -> Column:
-    """The bytes that ids stand for. Null and empty arrays give empty bytes."""
+    One pass without a shuffle. Null and empty texts give no ids. Each row stands alone, so repeated rows
+    give repeated results and an empty table an empty one. Texts of any length are encoded whole, a window
+    of words at a time. docs must not have two columns of one name.
+    """
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
+    fields += [T.StructField("decoded", T.BinaryType(), False)] * decoded
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(*with_)
-        for arrays in batches:
-            yield pd.Series([codec.decode(x) for x in arrays], index=arrays.index, dtype=object)
+        ids = [codec.encode(t) for t in batch.column(text).to_pylist()]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        flat = pa.array(np.concatenate(ids))
+        item = pa.field("element", pa.int32(), nullable=False)
+        arrays = [pa.ListArray.from_arrays(pa.array(offsets), flat, type=pa.list_(item))]
+        return arrays + [pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())] * decoded
 
-    return F.pandas_udf(run, T.BinaryType())(ids)
+    return _added(docs, fields, columns)
 
 
-def encode_documents(docs: DataFrame, with_: tuple[bytes, str], text: str = "text") -> DataFrame:
-    """All columns of docs with `ids` (array<int>) and `decoded` (binary) added or replaced.
+def decode_documents(docs: DataFrame, with_: tuple[bytes, str], ids: str = "ids") -> DataFrame:
+    """All columns of docs with `decoded` (binary) added or replaced: the bytes that ids stand for.
 
-    One pass without a shuffle; each row stands alone, so repeated rows give repeated results and an
-    empty table gives an empty one. Texts of any length are encoded whole, a window of pre-tokens at a
-    time.
+    Null and empty arrays give empty bytes; bytes that are no UTF-8 stay as they are.
     """
-    encoded = docs.withColumn("ids", encode(F.col(text).cast("string"), with_))
-    return encoded.withColumn("decoded", decode(F.col("ids"), with_))
+
+    def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = _codec(*with_)
+        return [pa.array([codec.decode(x) for x in batch.column(ids).to_pylist()], pa.binary())]
+
+    return _added(docs, [T.StructField("decoded", T.BinaryType(), False)], columns)

@@ -36,7 +36,8 @@ def public_tokenizer() -> tuple[bytes, str]:
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from tablelens.llm.bpe import encode_documents
 
-    encoded = encode_documents(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizer())
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs, public_tokenizer(), decoded=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -51,3 +52,81 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
     found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.merkle import fingerprints, likeness
+
+    rows = fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+    tree, edited, after = F.col("tree"), F.col("edited_tree"), F.col("next_tree")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        tree["root"].alias("fingerprint"),
+        edited["root"].alias("edited_fingerprint"),
+        likeness(tree, edited).alias("near_edited"),
+        likeness(tree, after).alias("near_next"),
+    )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.lines import dedup_lines
+
+    done = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.mixing import mix
+
+    mixed = mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", F.round("weight", 6).alias("weight"), "copies")
+
+
+SQL["op10_mixing"] = r"""
+WITH RECURSIVE counted AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \n\t\r]+')) AS tokens,
+           md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+    FROM documents
+),
+totals AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM counted GROUP BY source),
+shares AS (SELECT tokens / (SELECT sum(tokens) FROM totals) AS share FROM totals WHERE tokens > 0),
+ends AS (SELECT min(share) AS least, max(share) AS most FROM shares),
+search(n, low, high) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+    UNION ALL
+    SELECT n + 1,
+           CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 1.5 THEN low ELSE (low + high) / 2 END,
+           CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 1.5 THEN (low + high) / 2 ELSE high END
+    FROM search, ends WHERE n < 45
+),
+exponent AS (SELECT high AS a FROM search WHERE n = 45),
+norm AS (SELECT sum(pow(share, a)) AS z FROM shares, exponent),
+budgets AS (
+    SELECT source, docs, tokens,
+           CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM totals), a) / z ELSE 0.0 END AS weight,
+           CASE WHEN tokens > 0 THEN round(pow(tokens / (SELECT sum(tokens) FROM totals), a) / z
+                * ((SELECT max(tokens) FROM totals) * z / pow(most, a)) / tokens, 9) ELSE 1.0 END AS passes
+    FROM totals, exponent, norm, ends
+),
+dealt AS (
+    SELECT c.*, b.passes, b.tokens AS total, b.weight,
+           floor(('0x' || substr(place, 1, 8))::BIGINT / 4294967296.0 * ceil(b.docs / 256.0)) AS block
+    FROM counted c JOIN budgets b ON c.source IS NOT DISTINCT FROM b.source
+),
+sums AS (
+    SELECT source, block, place, sum(tokens) AS tokens FROM dealt GROUP BY source, block, place
+),
+run AS (
+    SELECT source, place,
+           sum(tokens) OVER (PARTITION BY source ORDER BY block, place) - tokens AS ahead
+    FROM sums
+)
+SELECT d.doc_id, d.source, round(d.weight, 6) AS weight,
+       CAST(floor(d.passes) + CASE WHEN r.ahead < (d.passes - floor(d.passes)) * d.total THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM dealt d JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place
+"""
