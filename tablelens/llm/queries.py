@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import importable, table
+from tablelens.llm.common import held_out, importable, learning_labels, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,82 @@ SELECT d.doc_id, d.source, round(d.weight, 6) AS weight,
        CAST(floor(d.passes) + CASE WHEN r.ahead < (d.passes - floor(d.passes)) * d.total THEN 1 ELSE 0 END AS INTEGER) AS copies
 FROM dealt d JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place
 """
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.langid import identify
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return identify(docs).select("doc_id", "language", F.round("probability", 6).alias("probability"), "accepted")
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm import toxicity as T
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = learning_labels(table(spark, folder, "labels"), "toxic", 5, 0, T.ROWS)
+    lexicon = T.learn(docs.join(F.broadcast(drawn), "doc_id"))  # T.ROWS rows, about
+    scored = docs.withColumn("score", T.toxicity(F.col("text"), lexicon))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm import quality as Q
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = learning_labels(table(spark, folder, "labels"), "quality", 4, 2, Q.ROWS)
+    net = Q.learn(docs.join(F.broadcast(drawn), "doc_id"))  # Q.ROWS rows, about
+    scored = docs.withColumn("score", Q.quality(F.col("text"), net))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.topk import scaled, search
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("vector"))
+    return search(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
+SQL["op7_topk"] = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (SELECT vec_id, len(v) AS size, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM parts q JOIN parts c ON q.i = c.i AND q.size = c.size AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+    GROUP BY q.vec_id, c.vec_id
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.pii import KINDS, find_documents
+
+    found = find_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in KINDS),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
