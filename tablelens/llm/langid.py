@@ -139,7 +139,7 @@ def _tables(counted: DataFrame, n: int) -> dict[str, DataFrame]:
 def identify(
     docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", least: float = 0.5
 ) -> DataFrame:
-    """All columns of docs with `language`, `probability` and `accepted`.
+    """All columns of docs with `language`, `probability` and `accepted`, which replace columns of these names.
 
     `declared` is the language that markup or metadata state, `address` a URL or host name; either may be
     null. A text without letters (null and empty ones too) has language `und`, probability 0, and is not
@@ -149,10 +149,10 @@ def identify(
     choice by size; otherwise it is joined by host, and AQE splits the hot ones.
     """
     model = learn(docs, text, declared)
-    n, names = len(model.languages), docs.columns
+    n, names = len(model.languages), [c for c in docs.columns if c not in ("language", "probability", "accepted")]
     if n == 0:
         empty = {"language": F.lit(UNKNOWN), "probability": F.lit(0.0), "accepted": F.lit(False)}
-        return docs.withColumns(empty)
+        return docs.select(*names).withColumns(empty)
     marks = {"declared": F.lower(F.trim(F.coalesce(F.col(declared), F.lit("")))), **_address(F.col(address))}
     seen = docs.select(*(c.alias(f"_{k}") for k, c in marks.items()), *names)
     seen = seen.withColumn("_says", text_evidence(F.col(text), model))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import let, whole_text
 
 KEY = ["doc_id", "digest"]
+#: Columns added by `dedup_lines`; columns of these names are replaced.
+RESULTS = ("kept", "n_lines", "n_copies", "n_near", "_")
 
 
 def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -111,7 +113,7 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
-    """doc_id, text as given, `kept` (text without the lines that go), n_lines, n_copies, n_near.
+    """The columns of docs with `kept` (text without the lines that go), n_lines, n_copies, n_near.
 
     Earlier means smaller doc_id (null first), then place in the text. n_copies lines equal an earlier
     one, n_near others lie within `edits` edits of an earlier one. Blank lines stay and count in n_lines
@@ -121,14 +123,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     if least <= 2 * edits:
         raise ValueError("lines must be longer than twice the number of edits")
     # texts move once, to the key of their document; places of lines meet them there
-    texts = docs.select("doc_id", whole_text(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    others = F.struct(*(c for c in docs.columns if c not in RESULTS), F.lit(0).alias("_")).alias("row")
+    texts = docs.select("doc_id", whole_text(text).alias("text"), others).withColumn("digest", F.xxhash64("text"))
     lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = F.struct(*KEY, "place").alias("at")
     hashed = lines.filter(~_blank(F.col("line"))).select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
     firsts = hashed.groupBy("id", "more").agg(F.min("at").alias("at")).select("id", "at")
     placed = firsts.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("first"))
     once = W.partitionBy(*KEY).orderBy(*KEY)
-    fresh = _with_places(texts, placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1")
+    fresh = _with_places(texts.drop("row"), placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1")
     fresh = fresh.select(F.explode(_picked(F.col("first"))).alias("line")).filter(F.length("line") >= least)
     pairs = near_links(fresh.select(F.xxhash64("line").alias("id"), "line"), edits)
     near = _verified(pairs, firsts, texts, edits)
@@ -147,7 +150,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
             F.size("near").alias("n_near"),
         )
 
-    return told.select("doc_id", "text", let(F.split("text", "\n"), result).alias("x")).select("doc_id", "text", "x.*")
+    told = told.select("row", let(F.split("text", "\n"), result).alias("x"))
+    return told.select("row.*", "x.*").drop("_")
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -158,7 +162,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int)
     wanted = located.select("at_a", "at_b", F.explode(sides).alias("x")).select("at_a", "at_b", "x.side", "x.at.*")
     wanted = wanted.withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    found = texts.join(wanted, same).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
+    found = texts.drop("row").join(wanted, same).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
     lines = found.groupBy("at_a", "at_b").agg(*(F.max(F.when(F.col("side") == x, F.col("line"))).alias(x) for x in "ab"))
     close = F.abs(F.length("a") - F.length("b")) <= edits
     near = lines.filter(F.when(close, banded_distance(F.col("a"), F.col("b"), edits) <= edits).otherwise(False))

@@ -128,6 +128,8 @@ def mix(
 ) -> DataFrame:
     """Each row of docs with `weight` (of its source) and `copies`: how often the mixture takes it.
 
+    Columns of docs of these names are replaced.
+
     docs holds doc_id, source and text. The exponent is the largest change towards equal shares that
     repeats no source more than `repeats` times as often as the largest one, or, if `entropy` is given,
     the smallest that reaches that entropy (in nats). `budget` is the number of tokens of the mixture; by
@@ -140,12 +142,13 @@ def mix(
             raise ValueError("give repeats or entropy")
         repeats = None
     sources = cut_lineage(plan(docs, repeats, entropy, budget, seed)).withColumnsRenamed({"source": "of", "docs": "docs_of"})
-    names = docs.columns
-    joined = docs.withColumn("place", place(seed)).join(sources, F.col("source").eqNullSafe(F.col("of")))
+    others = F.struct(*(c for c in docs.columns if c not in ("weight", "copies")), F.lit(0).alias("_")).alias("row")
+    placed = docs.select("source", others, place(seed).alias("place"))
+    joined = placed.join(sources, F.col("source").eqNullSafe(F.col("of")))
     block = _block(F.col("docs_of"))
     in_cut = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (F.col("place") <= F.col("cut_place")))
     copies = F.col("whole") + F.when(F.coalesce(in_cut, F.lit(False)), 1).otherwise(0)
-    return joined.select(*names, "weight", copies.cast("int").alias("copies"))
+    return joined.select("row.*", "weight", copies.cast("int").alias("copies")).drop("_")
 
 
 def mixture(docs: DataFrame, **target) -> DataFrame:

@@ -15,11 +15,13 @@ are linked to the least of them, which gives the same components for 2 bits in l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablelens.llm import golay
@@ -30,35 +32,38 @@ from tablelens.session import cut_lineage
 SEGMENTS = (22, 21, 21)
 #: Shingles of one text hashed at a time.
 WINDOW = 1 << 18
-#: Fingerprints under one key beyond which they are linked by the words between them.
-CROWD = 32
+#: Fingerprints under one key beyond which no pairs of them are made, and members of a block of such a key.
+CROWD, MEETING = 32, 2048
+#: Fingerprint words where similarity is estimated rather than given in bits.
+PARTS = 3
 
 
-def fingerprint_of(text: str | None, shingle: int) -> int:
-    """The majority of each bit over XXH64 (seed 42) of the word shingles; 0 without words."""
+def fingerprint_of(text: str | None, shingle: int, parts: int = 1) -> list[int]:
+    """For each part the majority of each bit over XXH64 (seed 42, 43, ...) of the word shingles; 0 without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for start in range(0, n, WINDOW):
+    ones = np.zeros((parts, 64), np.int64)
+    for start in range(0, n if words else 0, WINDOW):
         part = words[start : min(start + WINDOW, n) + shingle - 1]
         rows = zip(*(part[i:] for i in range(shingle)), strict=False) if len(part) >= shingle else [part]
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(r), 42) for r in rows), ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+        joined = list(map(b" ".join, rows))
+        for p in range(parts):
+            hashes = np.fromiter((xxh64_intdigest(x, 42 + p) for x in joined), ">u8", len(joined))
+            ones[p] += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1).view(">i8")[:, 0].tolist()
 
 
-def fingerprint(text: Column, shingle: int = 3) -> Column:
-    """64-bit fingerprint as a long, from whole texts of any length."""
+def fingerprint(text: Column, shingle: int = 3, parts: int = 1) -> Column:
+    """Fingerprint as an array of `parts` longs of 64 bits, from whole texts of any length."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint_of(t, shingle) for t in texts], index=texts.index, dtype="int64")
+            made = [np.array(fingerprint_of(t, shingle, parts), np.int64) for t in texts]
+            yield pd.Series(made, index=texts.index, dtype=object)
 
-    return F.pandas_udf(run, "long")(text)
+    return F.pandas_udf(run, "array<long>")(text)
 
 
 def hex_of(fp: Column) -> Column:
@@ -74,72 +79,122 @@ def _split(fps: np.ndarray) -> list[np.ndarray]:
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of each row, with their row numbers."""
+    """The distinct values of each row in six columns, as a word never has more, and which of them count."""
     keys = np.sort(keys, axis=1)
     fresh = np.ones(keys.shape, bool)
     fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    return np.nonzero(fresh)[0], keys[fresh]
+    row, column = np.nonzero(fresh)
+    at = np.cumsum(fresh, axis=1)[row, column] - 1
+    out, held = np.zeros((len(keys), 6), np.int64), np.zeros((len(keys), 6), bool)
+    out[row, at], held[row, at] = keys[fresh], True
+    return out, held
 
 
 def _keys_of(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): key = number of the segment, then the equal segment or its Golay index, then a Golay index."""
     words = _split(fps)
-    balls = [golay.ball_indexes(w, width) for w, width in zip(words, SEGMENTS, strict=True)]
+    balls = [_distinct(golay.ball_indexes(w, width)) for w, width in zip(words, SEGMENTS, strict=True)]
     rows, keys = [], []
     for i in range(3):
-        j = (i + 1) % 3
+        second, counts = balls[(i + 1) % 3]
         if bits <= 2:
-            both = words[i][:, None] << 12 | balls[j]
+            both, held = words[i][:, None] << 12 | second, counts
         else:
-            first, second = ([_distinct(b[r : r + 1])[1] for r in range(len(fps))] for b in (balls[i], balls[j]))
-            for r in range(len(fps)):
-                pairs = (first[r][:, None] << 12 | second[r][None, :]).ravel()
-                rows.append(np.full(len(pairs), r))
-                keys.append(pairs | i << 40)
-            continue
-        row, key = _distinct(both)
-        rows.append(row)
-        keys.append(key | i << 40)
+            both = (balls[i][0][:, :, None] << 12 | second[:, None, :]).reshape(len(fps), -1)
+            held = (balls[i][1][:, :, None] & counts[:, None, :]).reshape(len(fps), -1)
+        rows.append(np.nonzero(held)[0])
+        keys.append(both[held] | i << 40)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def golay_keys(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """(fp) -> (key, fp): all keys of each fingerprint, about 13 for 2 bits."""
+def golay_keys(nodes: DataFrame, bits: int = 2) -> DataFrame:
+    """(node, words) -> (key, node): keys of each word of a fingerprint, about 13 for 2 bits and 80 for 5."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch["fp"].to_numpy(np.int64)[start : start + 4096]
-                row, key = _keys_of(part, bits)
-                yield pd.DataFrame({"key": key, "fp": part[row]})
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start : start + 2048]
+                own, words = part["node"].to_numpy(np.int64), np.stack(part["words"]).astype(np.int64)
+                for p in range(words.shape[1]):
+                    row, key = _keys_of(np.ascontiguousarray(words[:, p]), bits)
+                    yield pd.DataFrame({"key": key | p << 44, "node": own[row]})
 
-    return fps.select("fp").mapInPandas(run, "key long, fp long")
+    return nodes.select("node", "words").mapInPandas(run, "key long, node long")
 
 
-def fingerprint_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) with the components of "differ in two bits at most".
+def _shared(nodes: DataFrame, bits: int) -> DataFrame:
+    """(key, node, n) of keys with n > 1 nodes, written out; keys move once."""
+    counted = golay_keys(nodes, bits).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    return cut_lineage(counted.filter("n > 1"))
 
-    Every link joins fingerprints at two bits or fewer. Under keys with up to `crowd` members all such
-    pairs are given; under fuller keys each member is linked to the least one that shares a word at one
-    bit from both.
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes (a, b), a < b, that share a key."""
+    left, right = shared.select("key", F.col("node").alias("a")), shared.select("key", F.col("node").alias("b"))
+    return left.join(right, "key").filter("a < b").select("a", "b").distinct()
+
+
+def fingerprint_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Distinct fingerprints (node = the fingerprint, words = it alone) -> links (a, b) at two bits or fewer.
+
+    The links have the components of "differ in two bits at most". Under keys with up to `crowd` members
+    all such pairs are given; under fuller keys each member is linked to the least one that shares a word
+    at one bit from both.
     """
-    keyed = golay_keys(fps)
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut_lineage(keyed.join(crowds, "key"))
+    shared = _shared(nodes, 2)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    few = shared.filter(F.col("n") <= crowd)
-    pairs = (
-        few.select("key", F.col("fp").alias("a"))
-        .join(few.select("key", F.col("fp").alias("b")), "key")
-        .filter((F.col("a") < F.col("b")) & near)
-        .select("a", "b")
-    )
+    pairs = _pairs(shared.filter(F.col("n") <= crowd)).filter(near)
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
-    many = shared.filter(F.col("n") > crowd).select("fp").distinct()
-    words = many.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("word"))
-    least = words.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    stars = words.join(least.select("word", "b"), "word").filter("fp > b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
-    return pairs.union(stars.filter(near)).distinct()
+    many = shared.filter(F.col("n") > crowd).select("node").distinct()
+    words = many.select("node", F.explode(F.transform(flips, lambda x: F.col("node").bitwiseXOR(x))).alias("word"))
+    least = words.groupBy("word").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    stars = words.join(least.select("word", "least"), "word").filter("node > least")
+    return pairs.union(stars.select(F.col("least").alias("a"), F.col("node").alias("b")).filter(near)).distinct()
+
+
+def similar_links(nodes: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
+    """(node, words) -> links (a, b) of nodes whose words differ in `most` bits at most and share a key.
+
+    Nodes with a word that differs in five bits or fewer always share a key. Under keys with more than
+    `crowd` members, members meet in blocks, all pairs of blocks, and each meeting gives a spanning forest
+    of its links: the components stay whole, and no meeting gives more links than it has members.
+    """
+    shared = _shared(nodes, 5)
+    held = nodes.select("node", "words")
+    pairs = _pairs(shared.filter(F.col("n") <= crowd))
+    for x in "ab":
+        pairs = pairs.join(held.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")), x)
+    parts = F.zip_with("words_a", "words_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    near = pairs.filter(F.aggregate(parts, F.lit(0), lambda s, n: s + n) <= most).select("a", "b")
+    blocks = F.ceil(F.col("n") / MEETING).cast("int")
+    many = shared.filter(F.col("n") > crowd).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = many.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node")
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("node")
+        own, words = group["node"].to_numpy(), np.stack(group["words"]).astype(np.int64).view(np.uint64)
+        left, found = np.arange(len(own)), []
+        while len(left):  # grow a tree from the least member that is left
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                apart = np.bitwise_count(words[left] ^ words[front[0]]).sum(axis=1, dtype=np.int64)
+                hit = left[apart <= most]
+                found += [(own[front[0]], own[i]) for i in hit]
+                left, front = left[apart > most], np.append(front[1:], hit)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    trees = met.join(held, "node").groupBy("key", "x", "y").applyInPandas(forest, "a long, b long")
+    return near.union(trees).distinct()
+
+
+def _grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, node, component_id: the smallest doc_id of the nodes that links lead to."""
+    linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    grouped = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    labels = grouped.join(smallest, "component").select("node", "component_id")
+    return marked.join(labels, "node").select("doc_id", "node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -150,11 +205,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> Da
     fingerprint are one node, so copies make no pairs however many there are. An empty table gives an
     empty one; other columns are ignored.
     """
-    marked = cut_lineage(docs.select("doc_id", fingerprint(F.col(text).cast("string"), shingle).alias("fp")))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(fingerprint_links(nodes).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    grouped = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "fp"))
-    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = grouped.join(smallest, "component").select("fp", "component_id")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    words = docs.select("doc_id", fingerprint(F.col(text).cast("string"), shingle).alias("words"))
+    marked = cut_lineage(words.select("doc_id", F.col("words")[0].alias("node")))
+    nodes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
+    links = fingerprint_links(nodes.select("node", F.array("node").alias("words")))
+    return _grouped(marked, nodes, links).withColumnRenamed("node", "fp")
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints differ on average if their shingle sets have that Jaccard similarity."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(
+    docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, parts: int = PARTS
+) -> DataFrame:
+    """doc_id, node, component_id for the similarity of shingle sets that longer fingerprints estimate.
+
+    Documents are linked if their `parts` * 64 bits differ in no more than they do on average at
+    `similarity` and they share a Golay key; that they share one is certain if one of the parts differs in
+    five bits or fewer. Rows, nulls and empty tables are treated as by `near_duplicates`. `node` is a hash
+    of the fingerprint.
+    """
+    words = docs.select("doc_id", fingerprint(F.col(text).cast("string"), shingle, parts).alias("words"))
+    marked = cut_lineage(words.withColumn("node", F.xxhash64("words")))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("words").alias("words"))
+    nodes = cut_lineage(nodes)
+    return _grouped(marked.select("doc_id", "node"), nodes, similar_links(nodes, bits_at(similarity, 64 * parts)))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group of similar documents.
+
+    Rows with the same doc_id are one document and stay or go together; so are rows without one if their
+    texts have the same fingerprint, and they go if a document with a doc_id is in their group.
+    """
+    found = similar_documents(docs.select("doc_id", "text"), **how)
+    later = found.filter("component_id < doc_id or (doc_id is null and component_id is not null)")
+    gone = later.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if later.filter("doc_id is null").isEmpty():
+        return kept
+    nameless = cut_lineage(later.filter("doc_id is null").select("node").distinct())
+    words = fingerprint(F.col("text").cast("string"), how.get("shingle", 5), how.get("parts", PARTS))
+    of = docs.filter("doc_id is null").withColumn("_node", F.xxhash64(words))
+    stays = of.join(nameless, F.col("_node") == F.col("node"), "left_anti").select(*docs.columns)
+    return kept.filter("doc_id is not null").union(stays)
