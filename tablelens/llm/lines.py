@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import let, whole_text
 
-KEY = ["doc_id", "digest"]
+#: A document: its doc_id, null as the least number there is, and the hash of its text.
+KEY = ["doc", "digest"]
+NAMELESS = -(1 << 63)
 #: Columns added by `dedup_lines`; columns of these names are replaced.
 RESULTS = ("kept", "n_lines", "n_copies", "n_near", "_")
 
@@ -35,16 +37,15 @@ def _key(i: int, length: Column, part: Column) -> Column:
     return F.xxhash64(F.lit(i), length.cast("int"), part)
 
 
-def segments(line: Column, edits: int) -> Column:
-    """Keys of a line's own segments: number, the line's length, and the segment."""
-    n = F.length(line)
+def segments(line: Column, n: Column, edits: int) -> Column:
+    """Keys of the segments of a line of n characters: number, the line's length, and the segment."""
     cuts = [_cut(n, i, edits) for i in range(edits + 1)]
     return F.array(*(_key(i, n, F.substr(line, start, size)) for i, (start, size) in enumerate(cuts)))
 
 
-def probes(line: Column, edits: int) -> Column:
-    """Keys of the substrings that can meet a segment of a line as long or up to `edits` shorter."""
-    n, keys = F.length(line), []
+def probes(line: Column, n: Column, edits: int) -> Column:
+    """Keys of the substrings of a line of n characters that can meet a segment of one as long or up to `edits` shorter."""
+    keys = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             start, size = _cut(n - less, i, edits)
@@ -105,9 +106,10 @@ def _blank(line: Column) -> Column:
 
 
 def near_links(lines: DataFrame, edits: int) -> DataFrame:
-    """(id, line) of distinct lines -> distinct candidate pairs of ids (a, b), a < b."""
-    owned = lines.select(F.col("id").alias("a"), F.explode(segments(F.col("line"), edits)).alias("key"))
-    asked = lines.select(F.col("id").alias("b"), F.explode(probes(F.col("line"), edits)).alias("key"))
+    """(id, line, n) of distinct lines of n characters -> distinct candidate pairs of ids (a, b), a < b."""
+    line, n = F.col("line"), F.col("n")
+    owned = lines.select(F.col("id").alias("a"), F.explode(segments(line, n, edits)).alias("key"))
+    asked = lines.select(F.col("id").alias("b"), F.explode(probes(line, n, edits)).alias("key"))
     met = owned.join(asked, "key").filter("a != b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -124,7 +126,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
         raise ValueError("lines must be longer than twice the number of edits")
     # texts move once, to the key of their document; places of lines meet them there
     others = F.struct(*(c for c in docs.columns if c not in RESULTS), F.lit(0).alias("_")).alias("row")
-    texts = docs.select("doc_id", whole_text(text).alias("text"), others).withColumn("digest", F.xxhash64("text"))
+    doc = F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc")
+    texts = docs.select(doc, whole_text(text).alias("text"), others).withColumn("digest", F.xxhash64("text"))
     lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = F.struct(*KEY, "place").alias("at")
     hashed = lines.filter(~_blank(F.col("line"))).select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
@@ -132,8 +135,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     placed = firsts.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("first"))
     once = W.partitionBy(*KEY).orderBy(*KEY)
     fresh = _with_places(texts.drop("row"), placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1")
-    fresh = fresh.select(F.explode(_picked(F.col("first"))).alias("line")).filter(F.length("line") >= least)
-    pairs = near_links(fresh.select(F.xxhash64("line").alias("id"), "line"), edits)
+    fresh = fresh.select(F.explode(_picked(F.col("first"))).alias("line")).withColumn("n", F.length("line"))
+    pairs = near_links(fresh.filter(F.col("n") >= least).select(F.xxhash64("line").alias("id"), "line", "n"), edits)
     near = _verified(pairs, firsts, texts, edits)
     late = near.select("late.*").distinct().groupBy(*KEY).agg(F.collect_list("place").alias("near"))
     nothing = F.array().cast("array<int>")
@@ -160,9 +163,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int)
     located = pairs.join(a, "a").join(b, "b").select("at_a", "at_b")
     sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"at_{x}").alias("at")) for x in "ab"))
     wanted = located.select("at_a", "at_b", F.explode(sides).alias("x")).select("at_a", "at_b", "x.side", "x.at.*")
-    wanted = wanted.withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    found = texts.drop("row").join(wanted, same).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
+    found = texts.drop("row").join(wanted, KEY).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
     lines = found.groupBy("at_a", "at_b").agg(*(F.max(F.when(F.col("side") == x, F.col("line"))).alias(x) for x in "ab"))
     close = F.abs(F.length("a") - F.length("b")) <= edits
     near = lines.filter(F.when(close, banded_distance(F.col("a"), F.col("b"), edits) <= edits).otherwise(False))
@@ -171,9 +172,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int)
 
 def _with_places(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """texts with the array of places of their document, null if it has none."""
-    places = places.select(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest"), name)
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    return texts.join(places, same, "left").drop("of", "of_digest")
+    return texts.join(places.select(*KEY, name), KEY, "left")
 
 
 def _picked(places: Column) -> Column:
