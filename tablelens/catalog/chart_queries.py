@@ -30,6 +30,15 @@ def _error():
     return F.col("event_type") == "error"
 
 
+def _many_labels(s, d):
+    """What a matrix of more than a thousand labels adds up to, label by label."""
+    label, guess = F.col("l_partkey") % 1201, (F.col("l_partkey") + F.col("l_suppkey") % 3) % 1201
+    cells = M.confusion_matrix(table(s, d, "lineitem").select(label.alias("label"), guess.alias("guess")), "label", "guess")
+    return cells.groupBy("label").agg(
+        F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("prediction") + 1)).alias("mix")
+    )
+
+
 QUERIES = {
     "pie_chart": lambda s, d: rounded(V.pie_chart(orders_gappy(s, d), "o_orderpriority"), {"share": 6}),
     "pie_chart_many_levels": lambda s, d: rounded(V.pie_chart(table(s, d, "lineitem"), "l_suppkey"), {"share": 6}),
@@ -52,6 +61,7 @@ QUERIES = {
     "heatmap": lambda s, d: rounded(V.heatmap(_lineitem(s, d), HEATMAP_COLUMNS), {"r": 6}),
     "pair_grid": lambda s, d: V.pair_grid(_lineitem(s, d), PAIR_COLUMNS),
     "confusion_matrix": lambda s, d: M.confusion_matrix(_guessed(s, d), "l_returnflag", "guess"),
+    "confusion_matrix_many": _many_labels,
     "roc_curve": lambda s, d: rounded(M.roc_curve(table(s, d, "events"), _error(), "value"), {"tpr": 6, "fpr": 6}),
     "roc_auc": lambda s, d: rounded(M.roc_auc(table(s, d, "events"), _error(), "value"), {"auc": 6}),
     "clf_metrics": lambda s, d: rounded(
@@ -164,6 +174,10 @@ SQL = {
     "confusion_matrix": f"""WITH {_GUESSED}, l AS (SELECT label AS v FROM g UNION SELECT prediction FROM g)
 SELECT a.v AS label, b.v AS prediction, count(g.label) AS n FROM l a CROSS JOIN l b
 LEFT JOIN g ON g.label = a.v AND g.prediction = b.v GROUP BY 1, 2""",
+    "confusion_matrix_many": """WITH g AS (SELECT l_partkey % 1201 AS label, (l_partkey + l_suppkey % 3) % 1201 AS guess FROM lineitem),
+l AS (SELECT label AS v FROM g UNION SELECT guess FROM g)
+SELECT v AS label, (SELECT count(*) FROM l) AS cells, count(guess) AS n, CAST(coalesce(sum(guess + 1), 0) AS BIGINT) AS mix
+FROM l LEFT JOIN g ON label = v GROUP BY v""",
     "roc_curve": f"""WITH {_ROC}
 SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / CAST(p AS DOUBLE), 6) AS tpr,
        round(fp / CAST(n AS DOUBLE), 6) AS fpr FROM c

@@ -114,6 +114,10 @@ QUERIES = {
     "label_index": lambda s, d: E.label_index(
         orders_gappy(s, d).select("o_orderkey", "o_orderpriority"), "o_orderpriority"
     ),
+    "label_index_many": lambda s, d: E.label_index(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"),
+    "label_encode_many": lambda s, d: E.label_encode(
+        table(s, d, "documents").select("doc_id", "text", "lang", "source"), ["text", "lang", "source"]
+    ),
 }
 
 
@@ -174,4 +178,14 @@ SELECT round((k - (SELECT avg(k) FROM filled)) / (SELECT stddev_pop(k) FROM fill
     "label_index": f"""WITH {GAPPY_SQL}
 SELECT o_orderkey, o_orderpriority, CAST(p.code AS DOUBLE) AS label FROM known
 JOIN {_codes('o_orderpriority', 'count(*) DESC, o_orderpriority')} p ON o_orderpriority = p.v""",
+    "label_index_many": """WITH c AS (SELECT o_orderkey AS v, row_number() OVER (ORDER BY count(*) DESC, CAST(o_orderkey AS VARCHAR)) - 1 AS code
+  FROM orders GROUP BY o_orderkey)
+SELECT o_orderkey, o_custkey, CAST(code AS DOUBLE) AS label FROM orders JOIN c ON o_orderkey = v""",
+    "label_encode_many": "WITH "
+    + ", ".join(
+        f"c_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS code FROM documents GROUP BY {c})"
+        for c in ("text", "lang", "source")
+    )
+    + """ SELECT doc_id, c_text.code AS text, c_lang.code AS lang, c_source.code AS source FROM documents
+JOIN c_text ON text = c_text.v JOIN c_lang ON lang = c_lang.v JOIN c_source ON source = c_source.v""",
 }

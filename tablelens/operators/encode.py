@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import is_numeric, present, quoted, require_columns
 from tablelens.operators.ranks import SINGLE_TASK_ROWS, running_totals
 
-# A label table of up to this many rows is broadcast.
-BROADCAST_LABELS = 100_000
-# Beyond that, labels holding more than one row in HOT_SHARE are joined apart: HOT_SHARE at most.
-HOT_SHARE = 1_000
-MAX_CLASSES = 10_000
-
-
 @dataclass
 class LabelTable:
     """Rows (label, n, code) of one column, and their number."""
@@ -57,26 +50,15 @@ def fit_labels(
     return LabelTable(codes, size["labels"], size["rows"] or 0)
 
 
-def attach_codes(
-    df: DataFrame,
-    column: str,
-    labels: LabelTable,
-    missing_text: str | None = None,
-    broadcast_labels: int = BROADCAST_LABELS,
-) -> DataFrame:
-    """Replace a column by its codes; a value without a code gets the next free one."""
+def attach_codes(df: DataFrame, column: str, labels: LabelTable, missing_text: str | None = None) -> DataFrame:
+    """Replace a column by its codes; a value without a code gets the next free one.
+
+    One join of all rows: Spark sends the labels to all tasks if they are small by their bytes, and
+    otherwise splits the partitions of hot labels and of missing values at run time.
+    """
     keyed = df.withColumn("_label", _label_text(df, column, missing_text))
-    codes = labels.rows.select(F.col("label").alias("_label"), F.col("code").alias("_code"), "n")
-    if labels.n_labels <= broadcast_labels:
-        joined = keyed.join(F.broadcast(codes.drop("n")), "_label", "left")
-    else:
-        # Hot labels and missing values never enter the shuffle join.
-        hot = F.broadcast(codes.filter(F.col("n") > labels.n_rows / HOT_SHARE).drop("n"))
-        marked = keyed.join(hot.withColumnRenamed("_code", "_hot"), "_label", "left")
-        done = F.col("_hot").isNotNull() | F.col("_label").isNull()
-        easy = marked.filter(done).withColumnRenamed("_hot", "_code")
-        rest = marked.filter(~done).drop("_hot").join(codes.drop("n"), "_label", "left")
-        joined = easy.unionByName(rest)
+    codes = labels.rows.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+    joined = keyed.join(codes, "_label", "left")
     code = F.coalesce(F.col("_code"), F.lit(labels.n_labels).cast("bigint"))
     return joined.select(*[code.alias(c) if c == column else quoted(c) for c in df.columns])
 
@@ -84,9 +66,13 @@ def attach_codes(
 def label_encode(
     df: DataFrame, columns: list[str], order: str = "frequency", missing_text: str | None = None
 ) -> DataFrame:
-    """Encode the listed columns in place; unknown names are ignored."""
-    for column in [c for c in columns if c in df.columns]:
-        df = attach_codes(df, column, fit_labels(df, column, order, missing_text), missing_text)
+    """Encode the listed columns in place; unknown names are ignored.
+
+    Every column is fitted on the table as given, so the plan grows by one scan a column.
+    """
+    fitted = {c: fit_labels(df, c, order, missing_text) for c in columns if c in df.columns}
+    for column, labels in fitted.items():
+        df = attach_codes(df, column, labels, missing_text)
     return df
 
 
@@ -109,16 +95,10 @@ def assemble_features(df: DataFrame, columns: list[str], output: str = "features
 
 
 def label_index(df: DataFrame, target: str, output: str = "label") -> DataFrame:
-    """Add the class number of the target, most frequent first; rows without a target are left out.
-
-    The class list is held by the driver, so the number of classes is checked first.
-    """
+    """Add the class number of the target, most frequent first; rows without a target are left out."""
     known = df.filter(present(df, target).isNotNull())
-    classes = known.agg(F.approx_count_distinct(quoted(target))).first()[0]
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{target} has about {classes} values: not a class label")
-    indexer = StringIndexer(inputCol=target, outputCol=output, handleInvalid="error")
-    return indexer.fit(known).transform(known)
+    numbered = attach_codes(known.withColumn(output, quoted(target)), output, fit_labels(known, target))
+    return numbered.withColumn(output, F.col(f"`{output}`").cast("double"))
 
 
 def _bucket(columns: list[str], seed: int, buckets: int) -> Column:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import number, present, quoted, require_columns
 from tablelens.operators.ranks import SINGLE_TASK_ROWS, running_totals
 
-MAX_DENSE_LABELS = 1_000
-
 
 def _counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     require_columns(df, [label, prediction])
@@ -23,22 +21,22 @@ def _counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, label: str, prediction: str, labels: list | None = None) -> DataFrame:
     """Rows (label, prediction, n) for all combinations of the labels, zero counts included.
 
-    Without a label list the labels are those that occur. Beyond MAX_DENSE_LABELS of them only the
-    combinations that occur are listed, as the full table would be mostly zeros.
+    Without a label list the labels are those that occur, however many. The table of labels stays
+    distributed; the driver sees their number.
     """
     counted = _counts(df, label, prediction)
-    if labels is None:
-        seen = counted.select(F.explode(F.array("label", "prediction")).alias("v")).distinct()
-        labels = sorted(r["v"] for r in seen.limit(MAX_DENSE_LABELS + 1).collect())
-        if len(labels) > MAX_DENSE_LABELS:
-            return counted
     kind = counted.schema["label"].dataType
-    listed = F.array(*[F.lit(v).cast(kind) for v in labels])
-    every = (
-        df.sparkSession.range(1)
-        .select(F.explode(listed).alias("label"))
-        .select("label", F.explode(listed).alias("prediction"))
-    )
+    if labels is None:
+        named = counted.select(F.explode(F.array("label", "prediction")).alias("v")).distinct()
+    else:
+        named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in labels])).alias("v"))
+    size = named.count()
+    if not size:
+        return counted
+    one = named.withColumn("one", F.lit(1).cast("bigint"))
+    numbered = running_totals(one, [], [F.asc("v")], ["one"], size).select("v", F.col("run_one").alias("i"))
+    each = numbered.select(F.col("v").alias("label"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(size).cast("bigint"))).alias("i"))
+    every = each.join(numbered, "i").select("label", F.col("v").alias("prediction"))
     return every.join(counted, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )

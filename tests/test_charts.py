@@ -117,3 +117,10 @@ def test_dispatch_goes_on_after_a_bad_spec(points):
     assert {r["file_name"] for r in rows if r["chart"] == "pie"} == {"3_pie_no_cols.png"}
     box = {r["measure"]: r["value"] for r in rows if r["chart"] == "box"}
     assert box["n"] == 6 and not math.isnan(box["p50"])
+
+
+@pytest.mark.parametrize("labels", [1000, 1001])
+def test_confusion_matrix_has_one_form_for_every_size(spark, labels):
+    df = spark.range(labels).select(F.col("id").alias("y"), F.col("id").alias("p"))
+    cells = M.confusion_matrix(df, "y", "p")
+    assert cells.count() == labels**2 and cells.filter("n > 0").count() == labels

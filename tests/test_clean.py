@@ -83,7 +83,7 @@ def test_labels_are_the_same_on_all_paths(hot, order):
     small = E.fit_labels(hot, "s", order)
     ranged = E.fit_labels(hot, "s", order, single_task_rows=0)
     a = E.attach_codes(hot, "s", small).orderBy("id").collect()
-    b = E.attach_codes(hot, "s", ranged, broadcast_labels=0).orderBy("id").collect()
+    b = E.attach_codes(hot, "s", ranged).orderBy("id").collect()
     assert a == b and len(a) == 4000
     codes = {r["id"]: r["s"] for r in a}
     assert codes[13] == small.n_labels
@@ -116,3 +116,17 @@ def test_feature_checks(gappy):
         E.features_target(gappy, "nope", "regression")
     with pytest.raises(ValueError):
         E.features_target(gappy, "n", "clustering")
+
+
+def test_encoding_reads_the_table_once_a_column_and_once_more(spark, tmp_path):
+    spark.range(50).selectExpr("cast(id % 7 as string) a", "cast(id % 5 as string) b", "cast(id % 3 as string) c").write.parquet(
+        str(tmp_path / "t")
+    )
+    table = spark.read.parquet(str(tmp_path / "t"))
+    plan = E.label_encode(table, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4
+
+
+def test_more_classes_than_a_driver_should_list(spark):
+    rows = spark.range(12_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("s"))
+    assert E.label_index(rows, "s").filter("label != cast(substr(s, 2) as double)").count() == 0

@@ -93,3 +93,13 @@ def test_csv_round_trip_and_none(spark, tmp_path):
     assert not (tmp_path / "none").exists()
     landed = tables.land_table(df, str(tmp_path / "lake"))
     assert tables.land_table(df.limit(1), str(tmp_path / "lake")).count() == 1 and landed.columns == df.columns
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["", None, " a ", 'say "x"', "a\\", "\\", "one\ntwo\r\nthree", ",", "'", "#c", "\ttab", "null", "\\N", '"', '""', "\r"]
+    df = spark.createDataFrame([(i, t, float(i), None) for i, t in enumerate(texts)], "k int, `s t` string, d double, n string")
+    tables.save_csv(df.repartition(3), str(tmp_path / "t"))
+    back = tables.scan_csv(spark, str(tmp_path / "t"), df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    inferred = tables.scan_csv(spark, str(tmp_path / "t"))
+    assert dict(inferred.dtypes)["k"] == "int" and inferred.count() == len(texts)
