@@ -39,7 +39,7 @@ def labelled(spark):
         if toxic:
             words[3] = ("scumbag", "idiots", "m0ron")[i // 6 % 3]
             words[9] = ("scumbags", "idiotic")[i // 6 % 2]
-        elif i % 50 == 1:
+        elif i % 100 == 1:
             words[5:7] = ["moron", "river"]
         rows.append((" ".join(words), int(toxic)))
     return spark.createDataFrame(rows, "text string, label int")
