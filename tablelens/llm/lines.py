@@ -22,7 +22,7 @@ from tablelens.llm.common import let, whole_text
 KEY = ["doc", "digest"]
 NAMELESS = -(1 << 63)
 #: Columns added by `dedup_lines`; columns of these names are replaced.
-RESULTS = ("kept", "n_lines", "n_copies", "n_near", "_")
+RESULTS = ("kept", "n_lines", "n_copies", "n_near")
 
 
 def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -125,22 +125,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     if least <= 2 * edits:
         raise ValueError("lines must be longer than twice the number of edits")
     # texts move once, to the key of their document; places of lines meet them there
-    others = F.struct(*(c for c in docs.columns if c not in RESULTS), F.lit(0).alias("_")).alias("row")
     doc = F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc")
-    texts = docs.select(doc, whole_text(text).alias("text"), others).withColumn("digest", F.xxhash64("text"))
+    texts = docs.select(doc, whole_text(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = F.struct(*KEY, "place").alias("at")
     hashed = lines.filter(~_blank(F.col("line"))).select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
     firsts = hashed.groupBy("id", "more").agg(F.min("at").alias("at")).select("id", "at")
     placed = firsts.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("first"))
     once = W.partitionBy(*KEY).orderBy(*KEY)
-    fresh = _with_places(texts.drop("row"), placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1")
-    fresh = fresh.select(F.explode(_picked(F.col("first"))).alias("line")).withColumn("n", F.length("line"))
+    single = _with_places(texts, placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
+    fresh = single.select(F.explode(_picked(F.col("first"))).alias("line")).withColumn("n", F.length("line"))
     pairs = near_links(fresh.filter(F.col("n") >= least).select(F.xxhash64("line").alias("id"), "line", "n"), edits)
     near = _verified(pairs, firsts, texts, edits)
     late = near.select("late.*").distinct().groupBy(*KEY).agg(F.collect_list("place").alias("near"))
     nothing = F.array().cast("array<int>")
-    told = _with_places(_with_places(texts, placed, "first"), late, "near")
+    told = _with_places(single, late, "near")
     told = told.withColumns({"first": F.coalesce("first", nothing), "near": F.coalesce("near", nothing)})
 
     def result(own: Column) -> Column:
@@ -153,8 +152,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
             F.size("near").alias("n_near"),
         )
 
-    told = told.select("row", let(F.split("text", "\n"), result).alias("x"))
-    return told.select("row.*", "x.*").drop("_")
+    told = told.select(*KEY, "text", let(F.split("text", "\n"), result).alias("x"))
+    # the other columns go without the text, which is the same for all rows of a document
+    others = F.struct(*(c for c in docs.columns if c not in (*RESULTS, text)), F.col(text).isNull().alias("_")).alias("row")
+    rows = docs.select(doc, F.xxhash64(whole_text(text)).alias("digest"), others).join(told, KEY)
+    given = F.when(~F.col("row")["_"], F.col("text")).alias(text)
+    kept = [given if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in RESULTS]
+    return rows.select(*kept, "x.*")
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -163,7 +167,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int)
     located = pairs.join(a, "a").join(b, "b").select("at_a", "at_b")
     sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"at_{x}").alias("at")) for x in "ab"))
     wanted = located.select("at_a", "at_b", F.explode(sides).alias("x")).select("at_a", "at_b", "x.side", "x.at.*")
-    found = texts.drop("row").join(wanted, KEY).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
+    found = texts.join(wanted, KEY).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
     lines = found.groupBy("at_a", "at_b").agg(*(F.max(F.when(F.col("side") == x, F.col("line"))).alias(x) for x in "ab"))
     close = F.abs(F.length("a") - F.length("b")) <= edits
     near = lines.filter(F.when(close, banded_distance(F.col("a"), F.col("b"), edits) <= edits).otherwise(False))
