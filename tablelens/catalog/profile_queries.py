@@ -38,6 +38,16 @@ def _approx_error(spark, sf):
     return exact.join(P.approx_distinct(df).drop("column_name"), "position").select("column_name", "exact", close.alias("close"))
 
 
+WIDE_NUMERIC = [*LINEITEM_NUMERIC, "o_custkey", "o_totalprice", "p_size", "p_retailprice", "o_orderkey"]
+
+
+def _wide_matrix(s, d):
+    """Thirteen columns of three tables, one of them twice."""
+    lines, orders, parts = (table(s, d, n) for n in ("lineitem", "orders", "part"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(C.corr_matrix(joined, WIDE_NUMERIC), {"r": 6})
+
+
 QUERIES = {
     "dataset_info": lambda s, d: P.dataset_info(orders_gappy(s, d)),
     "memory_estimate": lambda s, d: rounded(P.memory_estimate(table(s, d, "documents")), {"megabytes": 8}),
@@ -57,6 +67,7 @@ QUERIES = {
     "approx_distinct": lambda s, d: P.approx_distinct(table(s, d, "lineitem")),
     "corr_adjacent": lambda s, d: rounded(C.corr_adjacent(table(s, d, "lineitem")), {"r": 6}),
     "corr_matrix": lambda s, d: rounded(C.corr_matrix(table(s, d, "lineitem")), {"r": 6}),
+    "corr_matrix_wide": _wide_matrix,
     "column_means": lambda s, d: rounded(P.column_means(orders_gappy(s, d)), {"mean": 6}),
     "column_modes": lambda s, d: P.column_modes(orders_gappy(s, d)),
     "value_counts": lambda s, d: P.value_counts(orders_gappy(s, d), "o_orderpriority"),
@@ -191,6 +202,14 @@ SQL = {
     ),
     "corr_adjacent": union_sql([_corr(x, y) for x, y in zip(LINEITEM_NUMERIC, LINEITEM_NUMERIC[1:])]),
     "corr_matrix": union_sql([_corr(x, y) for x in LINEITEM_NUMERIC for y in LINEITEM_NUMERIC]),
+    "corr_matrix_wide": union_sql(
+        [
+            f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+            "JOIN part ON l_partkey = p_partkey"
+            for x in WIDE_NUMERIC
+            for y in WIDE_NUMERIC
+        ]
+    ),
     "column_means": f"WITH {GAPPY_SQL}\n"
     + union_sql(
         [

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from tablelens.functions.columns import number, numeric_columns, per_column, req
 
 # With many more pairs per aggregate the generated code is too large for the JVM to compile.
 PAIRS_PER_SCAN = 10
-WIDE_TABLE = 12
 
 
 def corr_adjacent(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -26,27 +24,20 @@ def corr_adjacent(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _by_aggregate(df, list(zip(chosen, chosen[1:])))
 
 
-def corr_matrix(df: DataFrame, columns: list[str] | None = None, wide_table: int = WIDE_TABLE) -> DataFrame:
-    """The full matrix in long form (x, y, r), both triangles and the diagonal."""
+def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The full matrix in long form (x, y, r), both triangles and the diagonal, for any number of columns.
+
+    All pairs are listed. r is null if one of the two is constant or infinite over the rows where both are
+    present, or if there are none; else it is 1 on the diagonal. Two scans: means, then products.
+    """
     chosen = columns or numeric_columns(df)
     require_columns(df, chosen)
-    if not chosen:
-        return _no_pairs(df)
-    if len(chosen) > wide_table:
-        return _by_block_products(df, chosen)
-    upper = _by_aggregate(df, [(c, c) for c in chosen] + list(combinations(chosen, 2)))
-    both = F.array(
-        F.struct("x", "y", "r"),
-        F.when(F.col("x") != F.col("y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")),
-    )
-    return upper.select(F.inline(F.array_compact(both)))
+    return _by_block_products(df, chosen) if chosen else _no_pairs(df)
 
 
 def _pearson(df: DataFrame, x: str, y: str) -> Column:
     """Correlation over the rows where both are present; null if one of them is constant there."""
     a, b = number(df, x), number(df, y)
-    if x == y:
-        return F.when(F.stddev_pop(a) > 0, F.lit(1.0))
     both = a.isNotNull() & b.isNotNull()
     spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
     return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
@@ -66,15 +57,37 @@ def _by_aggregate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def _by_block_products(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For wide tables: each task multiplies its blocks of rows, and the products are summed.
+    """Each task multiplies its batches of rows and gives one row with all sums; these are added in two steps.
 
-    A task emits columns x columns rows, whatever the number of its table rows. Values are centred on
-    the column means first, so that the sums of squares do not cancel.
+    Values are centred on the column means first, so that the sums of squares do not cancel.
     """
-    means = [r["mean"] or 0.0 for r in per_column(df, columns, lambda c: {"mean": F.avg(number(df, c))}).orderBy("position").collect()]
-    centred = df.select(*[(number(df, c) - F.lit(m)).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, means))])
+    means = per_column(df, columns, lambda c: {"mean": F.avg(number(df, c))}).orderBy("position").collect()
+    centre = np.array([m["mean"] if m["mean"] is not None else 0.0 for m in means])
+    centred = df.select(*[(number(df, c) - F.lit(float(m))).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, centre))])
     k = len(columns)
 
+    # Defined here, so that tasks need not import this package.
+    def packed(sums: np.ndarray) -> pa.RecordBatch:
+        flat = pa.ListArray.from_arrays(pa.array([0, sums.size], pa.int32()), pa.array(sums.ravel()))
+        return pa.RecordBatch.from_arrays([flat], names=["sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros(4 * k * k)
+        for batch in batches:
+            sums += batch.column(0).flatten().to_numpy().reshape(-1, sums.size).sum(axis=0)
+        return sums.reshape(4, k, k)
+
+    def coefficients(sums: np.ndarray) -> np.ndarray:
+        """Correlations from counts and sums over the rows of each pair; NaN where there is none."""
+        n, sx, sxx, sxy = sums
+        with np.errstate(all="ignore"):
+            spread = n * sxx - sx * sx
+            # what rounding leaves of a constant column is no spread
+            spread = np.where(spread > (1e-12 * n * centre[:, None]) ** 2, spread, np.nan)
+            r = (n * sxy - sx * sx.T) / (np.sqrt(spread) * np.sqrt(spread.T))
+        r[np.diag_indices(len(r))] = np.where(np.isfinite(np.diag(r)), 1.0, np.nan)
+        return np.where(np.isfinite(r), np.clip(r, -1.0, 1.0), np.nan)
+
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, k, k))
         for batch in batches:
@@ -83,27 +96,24 @@ def _by_block_products(df: DataFrame, columns: list[str]) -> DataFrame:
             x = np.where(here, x, 0.0)
             seen = here.astype(float)
             sums += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+        yield packed(sums)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(total(batches))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = coefficients(total(batches))
         i, j = np.indices((k, k))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), *[pa.array(s.ravel()) for s in sums]],
-            names=["i", "j", "n", "sx", "sxx", "sxy"],
+            [pa.array(np.array(columns)[i.ravel()]), pa.array(np.array(columns)[j.ravel()]), pa.array(r.ravel(), from_pandas=True)],
+            names=["x", "y", "r"],
         )
 
-    partial = centred.mapInArrow(products, "i int, j int, n double, sx double, sxx double, sxy double")
-    total = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
-    # The sums of y over the rows of the pair (i, j) are the sums of x of the pair (j, i).
-    mirror = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
-    n = F.col("n")
-    spread_x = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    spread_y = n * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.when(
-        (spread_x > 0) & (spread_y > 0),
-        (n * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(spread_x) * F.sqrt(spread_y)),
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    return total.join(mirror, ["i", "j"]).select(
-        F.element_at(names, F.col("i") + 1).alias("x"), F.element_at(names, F.col("j") + 1).alias("y"), r.alias("r")
-    )
+    kind = "sums array<double>"
+    nothing = df.sparkSession.range(1).select(F.array_repeat(F.lit(0.0), 4 * k * k).alias("sums"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = centred.mapInArrow(products, kind).repartition(tasks).mapInArrow(added, kind)
+    return partial.union(nothing).repartition(1).mapInArrow(finished, "x string, y string, r double")
 
 
 def _no_pairs(df: DataFrame) -> DataFrame:

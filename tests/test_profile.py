@@ -85,24 +85,22 @@ def test_correlation_needs_two_columns(spark, edges):
     assert C.corr_adjacent(edges.select("same", "s")).count() == 0
 
 
-def test_correlation_is_pairwise_complete_on_both_paths(spark):
+def test_correlation_is_pairwise_complete_for_all_pairs(spark):
     df = spark.range(500).select(
         F.when(F.col("id") % 3 != 0, F.sin("id")).alias("a"),
         F.when(F.col("id") % 5 == 0, NAN).otherwise(F.cos("id") + F.sin("id")).alias("b"),
         (F.col("id") * 1e6 + 1e12).alias("c"),
         F.lit(3.0).alias("d"),
     )
-    narrow = {(r["x"], r["y"]): r["r"] for r in C.corr_matrix(df).collect()}
-    wide = {(r["x"], r["y"]): r["r"] for r in C.corr_matrix(df, wide_table=1).collect()}
+    found = {(r["x"], r["y"]): r["r"] for r in C.corr_matrix(df).collect()}
+    assert len(found) == 16
     pdf = df.toPandas().corr()
-    for key, value in narrow.items():
+    for key, value in found.items():
         expected = pdf.loc[key]
         if math.isnan(expected):
-            assert value is None or math.isnan(value)
-            assert wide[key] is None
+            assert value is None
         else:
             assert value == pytest.approx(expected, abs=1e-9)
-            assert wide[key] == pytest.approx(expected, abs=1e-9)
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
@@ -153,3 +151,14 @@ def test_no_numeric_columns(spark):
     df = spark.createDataFrame([("a",)], "s string")
     assert P.column_means(df).count() == 0 and C.corr_matrix(df).count() == 0
     assert by_name(P.column_profile(df))["s"]["is_unique"]
+
+
+@pytest.mark.parametrize("width", [2, 12, 13, 40])
+def test_correlation_has_one_form_for_every_width(spark, width):
+    df = spark.range(20).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(width - 1)], F.lit(0.1).alias("k"))
+    endless = df.withColumn("c0", F.when(F.col("c0") > 0.9, float("inf")).otherwise(F.col("c0")))
+    for table, dead in ((df, {"k"}), (endless, {"k", "c0"}), (df.limit(0), set(df.columns))):
+        found = {(r["x"], r["y"]): r["r"] for r in C.corr_matrix(table).collect()}
+        assert len(found) == width**2
+        assert all((found[x, y] is None) == (x in dead or y in dead) for x, y in found)
+        assert all(found[x, x] in (1.0, None) for x in table.columns)
