@@ -41,6 +41,13 @@ def _approx_error(spark, sf):
 WIDE_NUMERIC = [*LINEITEM_NUMERIC, "o_custkey", "o_totalprice", "p_size", "p_retailprice", "o_orderkey"]
 
 
+DECIMALS = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+def _decimals(s, d):
+    return table(s, d, "lineitem").select(*[F.col(c).cast("decimal(14,2)").alias(c) for c in DECIMALS])
+
+
 def _wide_matrix(s, d):
     """Thirteen columns of three tables, one of them twice."""
     lines, orders, parts = (table(s, d, n) for n in ("lineitem", "orders", "part"))
@@ -68,6 +75,8 @@ QUERIES = {
     "corr_adjacent": lambda s, d: rounded(C.corr_adjacent(table(s, d, "lineitem")), {"r": 6}),
     "corr_matrix": lambda s, d: rounded(C.corr_matrix(table(s, d, "lineitem")), {"r": 6}),
     "corr_matrix_wide": _wide_matrix,
+    "column_modes_decimal": lambda s, d: P.column_modes(_decimals(s, d)),
+    "distinct_counts_decimal": lambda s, d: P.distinct_counts(_decimals(s, d)),
     "column_means": lambda s, d: rounded(P.column_means(orders_gappy(s, d)), {"mean": 6}),
     "column_modes": lambda s, d: P.column_modes(orders_gappy(s, d)),
     "value_counts": lambda s, d: P.value_counts(orders_gappy(s, d), "o_orderpriority"),
@@ -202,6 +211,19 @@ SQL = {
     ),
     "corr_adjacent": union_sql([_corr(x, y) for x, y in zip(LINEITEM_NUMERIC, LINEITEM_NUMERIC[1:])]),
     "corr_matrix": union_sql([_corr(x, y) for x in LINEITEM_NUMERIC for y in LINEITEM_NUMERIC]),
+    "column_modes_decimal": union_sql(
+        [
+            f"(SELECT {i} AS position, '{c}' AS column_name, CAST(CAST({c} AS DECIMAL(14,2)) AS VARCHAR) AS mode, count(*) AS n "
+            "FROM lineitem GROUP BY CAST({0} AS DECIMAL(14,2)) ORDER BY count(*) DESC, CAST({0} AS DECIMAL(14,2)) LIMIT 1)".format(c)
+            for i, c in enumerate(DECIMALS)
+        ]
+    ),
+    "distinct_counts_decimal": union_sql(
+        [
+            f"SELECT {i} AS position, '{c}' AS column_name, count(DISTINCT CAST({c} AS DECIMAL(14,2))) AS n_distinct FROM lineitem"
+            for i, c in enumerate(DECIMALS)
+        ]
+    ),
     "corr_matrix_wide": union_sql(
         [
             f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey "

@@ -12,7 +12,7 @@ _SLOTS = ("whole", "real", "text")
 
 
 def _slots(df: DataFrame, name: str) -> Column:
-    """One value in the slot of its kind; the other slots are null.
+    """One value in the slot of its kind (a decimal in two); the other slots are null.
 
     The row width stays the same however many columns the table has.
     """
@@ -22,6 +22,9 @@ def _slots(df: DataFrame, name: str) -> Column:
         filled = {"whole": value.cast("bigint")}
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         filled = {"real": value.cast("double")}
+    elif isinstance(kind, T.DecimalType):
+        # ordered as a number, told apart and shown by its exact digits
+        filled = {"real": value.cast("double"), "text": value.cast("string")}
     else:
         filled = {"text": value.cast("string")}
     types = {"whole": "bigint", "real": "double", "text": "string"}
@@ -49,7 +52,7 @@ def is_present() -> Column:
 
 
 def value_text() -> Column:
-    return F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text"))
+    return F.coalesce(F.col("whole").cast("string"), F.col("text"), F.col("real").cast("string"))
 
 
 def frequency_summary(frequencies: DataFrame) -> DataFrame:

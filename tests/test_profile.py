@@ -162,3 +162,11 @@ def test_correlation_has_one_form_for_every_width(spark, width):
         assert len(found) == width**2
         assert all((found[x, y] is None) == (x in dead or y in dead) for x, y in found)
         assert all(found[x, x] in (1.0, None) for x in table.columns)
+
+
+def test_decimals_are_numbers(spark):
+    df = spark.sql("SELECT cast(v AS decimal(8,2)) AS v FROM VALUES (10), (9), (10), (9), (2.5), (NULL) t(v)")
+    assert P.column_modes(df).first()["mode"] == "9.00"
+    full = P.describe_full(df).first()
+    assert (full["p25"], full["p50"], full["p75"]) == (9.0, 9.0, 10.0)
+    assert P.column_profile(df).first()["p50"] == 9.0
