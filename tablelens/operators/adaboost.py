@@ -55,7 +55,7 @@ class AdaBoostRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
                     held.pop(0).unpersist()
                 scored = fitted.transform(rows).withColumn("_error", F.abs(F.col(label) - F.col("prediction")))
                 worst, average, mean_weight = self._round_sums(scored)
-                if not worst:
+                if not worst or not average:  # no error, or only on rows that no longer weigh anything
                     trees.append(fitted)
                     says.append(1.0)
                     break

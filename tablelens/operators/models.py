@@ -83,10 +83,10 @@ class ModelSpec:
 
 
 def _penalty(setting: dict, facts: TrainingFacts) -> dict:
-    """An inverse penalty C on summed losses is a penalty 1 / (C n) on their mean."""
+    """An inverse penalty C on summed losses is a penalty 1 / (C n) on their mean, of coefficients as they are."""
     rest = {k: v for k, v in setting.items() if k != "C"}
     if "C" in setting:
-        rest["regParam"] = 1.0 / (setting["C"] * max(facts.n_rows, 1))
+        rest |= {"regParam": 1.0 / (setting["C"] * max(facts.n_rows, 1)), "standardization": False}
     return rest
 
 
@@ -131,8 +131,9 @@ SPECS: dict[str, ModelSpec] = {
     "DecisionTreeRegressor": ModelSpec(lambda s, f: DecisionTreeRegressor(seed=42, **s)),
     "RandomForestRegressor": ModelSpec(lambda s, f: RandomForestRegressor(seed=42, **s)),
     "GBTRegressor": ModelSpec(_boosted),
-    "GradientBoostingRegressor": ModelSpec(_boosted),
-    "XGBRegressor": ModelSpec(_boosted),
+    # The depths these have where nothing is said.
+    "GradientBoostingRegressor": ModelSpec(lambda s, f: _boosted({"maxDepth": 3} | s, f)),
+    "XGBRegressor": ModelSpec(lambda s, f: _boosted({"maxDepth": 6} | s, f)),
     "CatBoostingRegressor": ModelSpec(_boosted),
     "AdaBoostRegressor": ModelSpec(lambda s, f: AdaBoostRegressor(**s)),
 }
