@@ -3,8 +3,8 @@
 A line goes if it, or a line within `edits` edits of it, stands earlier in the corpus. Lines of at least
 `least` characters are compared: each is cut into edits + 1 segments, of which two lines within that
 distance have one in common, and each looks up, for every length it may be compared with, those of its
-substrings that can meet a segment of that length. Candidates are verified by edit distance, with a band
-of 2 * edits + 1 cells kept in the bits of a number and moved along the diagonal.
+substrings that can meet a segment of that length. Candidates whose letters allow it are verified by edit
+distance, with a band of 2 * edits + 1 cells kept in the bits of a number and moved along the diagonal.
 
 What moves are hashes, places and, once, the texts: places of lines, segments and candidates are joined
 back to the texts by document.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import let, whole_text
 
+#: Letters counted to tell lines apart early.
+LETTERS = "etaonirshd"
 #: A document: its doc_id, null as the least number there is, and the hash of its text.
 KEY = ["doc", "digest"]
 NAMELESS = -(1 << 63)
@@ -105,12 +107,33 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
+def line_id(line: Column) -> Column:
+    """A long for a line: in the low bits how often each of LETTERS stands in it, modulo 8, above them a hash."""
+    n = F.length(line)
+    counts = [(n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8 * (1 << 3 * i) for i, c in enumerate(LETTERS)]
+    bag = sum(counts[1:], counts[0]).cast("long")
+    return F.xxhash64(line).bitwiseAND(F.lit(-(1 << 3 * len(LETTERS)))).bitwiseOR(bag)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """By how much the letters of the lines of two ids differ at least; an edit changes that by two at most."""
+    gaps = []
+    for i in range(len(LETTERS)):
+        gap = (F.shiftright(a, 3 * i).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * i)).bitwiseAND(F.lit(7))
+        gaps.append(F.least(gap, 8 - gap))
+    return sum(gaps[1:], gaps[0])
+
+
 def near_links(lines: DataFrame, edits: int) -> DataFrame:
-    """(id, line, n) of distinct lines of n characters -> distinct candidate pairs of ids (a, b), a < b."""
+    """(id, line, n) of distinct lines of n characters -> distinct candidate pairs of ids (a, b), a < b.
+
+    Lines that share a segment but differ too much in their letters are told apart within the join.
+    """
     line, n = F.col("line"), F.col("n")
     owned = lines.select(F.col("id").alias("a"), F.explode(segments(line, n, edits)).alias("key"))
-    asked = lines.select(F.col("id").alias("b"), F.explode(probes(line, n, edits)).alias("key"))
-    met = owned.join(asked, "key").filter("a != b")
+    asked = lines.select(F.col("id").alias("b"), F.explode(probes(line, n, edits)).alias("key_b"))
+    like = (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= 2 * edits)
+    met = owned.join(asked, (F.col("key") == F.col("key_b")) & like)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -129,13 +152,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     texts = docs.select(doc, whole_text(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = F.struct(*KEY, "place").alias("at")
-    hashed = lines.filter(~_blank(F.col("line"))).select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
+    hashed = lines.filter(~_blank(F.col("line"))).select(line_id(F.col("line")).alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
     firsts = hashed.groupBy("id", "more").agg(F.min("at").alias("at")).select("id", "at")
     placed = firsts.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("first"))
     once = W.partitionBy(*KEY).orderBy(*KEY)
     single = _with_places(texts, placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
     fresh = single.select(F.explode(_picked(F.col("first"))).alias("line")).withColumn("n", F.length("line"))
-    pairs = near_links(fresh.filter(F.col("n") >= least).select(F.xxhash64("line").alias("id"), "line", "n"), edits)
+    pairs = near_links(fresh.filter(F.col("n") >= least).select(line_id(F.col("line")).alias("id"), "line", "n"), edits)
     near = _verified(pairs, firsts, texts, edits)
     late = near.select("late.*").distinct().groupBy(*KEY).agg(F.collect_list("place").alias("near"))
     nothing = F.array().cast("array<int>")
