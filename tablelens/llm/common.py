@@ -46,8 +46,14 @@ def held_out(folds: int, kept_out: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == kept_out
 
 
+#: Rows that a Python worker gets at a time, as texts can be long.
+BATCH_ROWS = 500
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it, if it is not installed there."""
+    """Let Python workers find this package where the driver found it, and give them small batches of rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -246,8 +246,8 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if later.filter("doc_id is null").isEmpty():
         return kept
-    nameless = cut_lineage(later.filter("doc_id is null").select("node").distinct())
+    nameless = cut_lineage(later.filter("doc_id is null").select(F.col("node").alias("_nameless")).distinct())
     words = fingerprint(F.col("text").cast("string"), how.get("shingle", 5), how.get("parts", PARTS))
     of = docs.filter("doc_id is null").withColumn("_node", F.xxhash64(words))
-    stays = of.join(nameless, F.col("_node") == F.col("node"), "left_anti").select(*docs.columns)
+    stays = of.join(nameless, F.col("_node") == F.col("_nameless"), "left_anti").select(*docs.columns)
     return kept.filter("doc_id is not null").union(stays)

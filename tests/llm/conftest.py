@@ -28,18 +28,3 @@ def documents(spark):
 def odd(documents):
     rows = list(enumerate(ODD)) + [(None, "no id"), (None, None), (5, "a")]
     return documents(rows)
-
-
-def groups_of(links, nodes):
-    """node -> least node it is linked with, by plain union."""
-    parent = {n: n for n in nodes}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}

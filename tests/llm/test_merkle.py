@@ -60,7 +60,7 @@ def test_edits_are_located(spark):
 def test_odd_rows(odd):
     rows = M.fingerprints(odd).collect()
     assert len(rows) == odd.count()
-    assert all(len(r["edited"]) == len(r["text"]) for r in rows)
+    assert all(len(r["text"]) // 2 <= len(r["edited"]) <= len(r["text"]) for r in rows)
     assert M.fingerprints(odd.limit(0)).count() == 0
     assert [r["next_text"] for r in M.with_next(odd.limit(1).select("doc_id", F.lit("x").alias("text"))).collect()] == ["x"]
 

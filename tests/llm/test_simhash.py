@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from conftest import groups_of
+from plain import groups_of
 from tablelens.llm import golay
 from tablelens.llm import simhash as S
 from tablelens.llm.common import table

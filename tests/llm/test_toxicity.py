@@ -35,7 +35,7 @@ def labelled(spark):
     rows = []
     for i in range(600):
         toxic = i % 6 == 0
-        words = [f"w{(i * j) % 97}x" for j in range(1, 30)]
+        words = [f"w{(i * j) % 97}x" for j in range(1, 30)] + [f"n{i}"]
         if toxic:
             words[3] = ("scumbag", "idiots", "m0ron")[i // 6 % 3]
             words[9] = ("scumbags", "idiotic")[i // 6 % 2]
