@@ -11,11 +11,13 @@ errors are spread over the segments, and the pigeonhole principle says what the
 Fingerprints that share a key are joined and their bits compared. A key with many fingerprints makes no
 pairs: its members are written out with all words at one bit, and those that have such a word in common
 are linked to the least of them, which gives the same components for 2 bits in linear work.
+
+Where similarity is given as the Jaccard similarity of shingle sets rather than in bits, bits tell too
+little: sets that share a band of MinHash values are compared themselves.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +36,31 @@ SEGMENTS = (22, 21, 21)
 WINDOW = 1 << 18
 #: Fingerprints under one key beyond which no pairs of them are made, and members of a block of such a key.
 CROWD, MEETING = 32, 2048
-#: Fingerprint words where similarity is estimated rather than given in bits.
-PARTS = 3
+#: Bands of MinHash values, and values in each: of pairs at similarity 0.8 three in a million share no band.
+BANDS, VALUES = 32, 5
+#: Shingle sets under one band beyond which not all pairs are made, and shingles in a block of such a band.
+FEW, WEIGHT = 8, 1 << 21
 
+_DRAWN = np.random.default_rng(8).integers(0, 1 << 64, (3, BANDS * VALUES), dtype=np.uint64)
 
-def fingerprint_of(text: str | None, shingle: int, parts: int = 1) -> list[int]:
-    """For each part the majority of each bit over XXH64 (seed 42, 43, ...) of the word shingles; 0 without words."""
-    from xxhash import xxh64_intdigest
 
+def _shingles(text: str | None, shingle: int) -> Iterator[list[bytes]]:
+    """The word shingles in lists of limited length; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros((parts, 64), np.int64)
     for start in range(0, n if words else 0, WINDOW):
         part = words[start : min(start + WINDOW, n) + shingle - 1]
         rows = zip(*(part[i:] for i in range(shingle)), strict=False) if len(part) >= shingle else [part]
-        joined = list(map(b" ".join, rows))
+        yield list(map(b" ".join, rows))
+
+
+def fingerprint_of(text: str | None, shingle: int, parts: int = 1) -> list[int]:
+    """For each part the majority of each bit over XXH64 (seed 42, 43, ...) of the word shingles; 0 without words."""
+    from xxhash import xxh64_intdigest
+
+    n, ones = 0, np.zeros((parts, 64), np.int64)
+    for joined in _shingles(text, shingle):
+        n += len(joined)
         for p in range(parts):
             hashes = np.fromiter((xxh64_intdigest(x, 42 + p) for x in joined), ">u8", len(joined))
             ones[p] += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -212,26 +224,131 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> Da
     return _grouped(marked, nodes, links).withColumnRenamed("node", "fp")
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints differ on average if their shingle sets have that Jaccard similarity."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set_of(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, each once, sorted as longs."""
+    from xxhash import xxh64_intdigest
+
+    parts = [np.zeros(0, np.uint64)]
+    for joined in _shingles(text, shingle):
+        parts.append(np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in joined), np.uint64, len(joined))))
+    return np.unique(np.concatenate(parts).view(np.int64))
+
+
+def bands_of(held: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of its MinHash values. An empty set has none."""
+    if not len(held):
+        return held
+    factors, added, mixed = _DRAWN
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    for start in range(0, len(held), 1024):
+        part = held[start : start + 1024].view(np.uint64)
+        np.minimum(least, ((factors | np.uint64(1))[:, None] * part + added[:, None]).min(axis=1), out=least)
+    return (least * (mixed | np.uint64(1))).reshape(BANDS, VALUES).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(text: Column, shingle: int) -> Column:
+    """struct<words, keys>: the set of hashed shingles of the whole text, and its bands."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set_of(t, shingle) for t in texts]
+            yield pd.DataFrame({"words": sets, "keys": [bands_of(x) for x in sets]})
+
+    return F.pandas_udf(run, "words array<long>, keys array<long>")(text)
+
+
+def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose sets have that similarity, by their sets."""
+    for x in "ba":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")), x)
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    pairs = pairs.select("a", "b", common.alias("i"), (F.size("words_a") + F.size("words_b")).alias("n"))
+    return pairs.filter(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("a", "b")
+
+
+def _meetings(crowds: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a crowded band whom the links so far leave in different components.
+
+    Members meet in blocks, all pairs of blocks; a meeting gives no more links than it has members.
+    """
+    of_key = W.partitionBy("key")
+    named = crowds.join(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    parted = named.withColumns({"low": F.min("component").over(of_key), "high": F.max("component").over(of_key)})
+    parted = parted.filter("low != high").withColumn("weight", F.sum("size").over(of_key))
+    blocks = F.greatest(F.ceil(F.col("n") / MEETING), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    many = parted.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = many.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component")
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("node")
+        own, component, sizes = group["node"].to_numpy(), group["component"].to_numpy(), group["words"].map(len).to_numpy()
+        values, codes = np.unique(np.concatenate(group["words"].tolist()), return_inverse=True)
+        ends = np.cumsum(sizes)
+        alive, found = np.ones(len(own), bool), []
+        while alive.any():  # grow a tree from the component of the least member that is left
+            front = np.nonzero(alive & (component == component[alive][0]))[0].tolist()
+            alive[front] = False
+            while front and alive.any():
+                at = front.pop()
+                marks = np.zeros(len(values), np.int64)
+                marks[codes[ends[at] - sizes[at] : ends[at]]] = 1
+                common = np.add.reduceat(marks[codes], ends - sizes)
+                hit = alive & (common / (sizes + sizes[at] - common) >= similarity)
+                found += [(own[at], own[i]) for i in np.nonzero(hit)[0]]
+                joined = alive & np.isin(component, component[hit])
+                alive &= ~joined
+                front += np.nonzero(joined)[0].tolist()
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return met.join(sets, "node").groupBy("key", "x", "y").applyInPandas(forest, "a long, b long")
 
-def similar_documents(
-    docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, parts: int = PARTS
-) -> DataFrame:
-    """doc_id, node, component_id for the similarity of shingle sets that longer fingerprints estimate.
 
-    Documents are linked if their `parts` * 64 bits differ in no more than they do on average at
-    `similarity` and they share a Golay key; that they share one is certain if one of the parts differs in
-    five bits or fewer. Rows, nulls and empty tables are treated as by `near_duplicates`. `node` is a hash
-    of the fingerprint.
+def jaccard_links(nodes: DataFrame, sets: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+    """Links (a, b) with the components of "sets have that Jaccard similarity", among pairs that share a band.
+
+    nodes: (node, size, row, keys), one for each set; sets: (row, words). Each link is verified by the sets
+    themselves. Under bands with up to `few` members all pairs are; under fuller ones the least member and
+    each other, and then those in different components meet.
+    """
+    of_key = W.partitionBy("key")
+    spread = nodes.select("node", "size", "row", F.explode("keys").alias("key"))
+    counted = spread.withColumns(
+        {"n": F.count("*").over(of_key), "least": F.min(F.struct("node", "size")).over(of_key)}
+    )
+    shared = cut_lineage(counted.filter("n > 1"))
+    wanted = shared.select("row", "node").distinct()
+    held = cut_lineage(wanted.join(sets, "row").select("node", "words"))
+    small, crowds = shared.filter(F.col("n") <= few), shared.filter(F.col("n") > few)
+    left = small.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
+    right = small.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    pairs = left.join(right, "key").filter("a < b").select("a", "size_a", "b", "size_b")
+    stars = crowds.select(F.col("least.node").alias("a"), F.col("least.size").alias("size_a"), F.col("node").alias("b"), F.col("size").alias("size_b"))
+    pairs = pairs.union(stars.filter("a < b"))
+    # sets of too different sizes cannot be that similar
+    pairs = pairs.filter(F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity)
+    links = cut_lineage(_jaccard(pairs.select("a", "b").distinct(), held, similarity))
+    if crowds.isEmpty():
+        return links
+    return links.union(_meetings(crowds, links, held, similarity)).distinct()
+
+
+def similar_documents(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, node, component_id: the smallest doc_id that links of similar shingle sets lead to.
+
+    Documents are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more
+    and they share a band of MinHash values, as nearly all pairs at 0.8 do. Rows, nulls and empty tables are
+    treated as by `near_duplicates`. `node` is a hash of the set.
     """
-    words = docs.select("doc_id", fingerprint(F.col(text).cast("string"), shingle, parts).alias("words"))
-    marked = cut_lineage(words.withColumn("node", F.xxhash64("words")))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("words").alias("words"))
-    nodes = cut_lineage(nodes)
-    return _grouped(marked.select("doc_id", "node"), nodes, similar_links(nodes, bits_at(similarity, 64 * parts)))
+    made = docs.select("doc_id", shingle_sets(F.col(text).cast("string"), shingle).alias("made"))
+    made = made.select("doc_id", "made.*").withColumns({"node": F.xxhash64("words"), "row": F.monotonically_increasing_id()})
+    marked = cut_lineage(made)
+    one = F.min_by(F.struct("row", F.size("words").alias("size"), "keys"), "row").alias("one")
+    nodes = marked.select("doc_id", "node", "row", "words", "keys").groupBy("node").agg(F.min("doc_id").alias("first"), one)
+    nodes = cut_lineage(nodes.select("node", "first", "one.*"))
+    links = jaccard_links(nodes, marked.select("row", "words"), similarity)
+    return _grouped(marked.select("doc_id", "node"), nodes.select("node", "first"), links)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -247,7 +364,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     if later.filter("doc_id is null").isEmpty():
         return kept
     nameless = cut_lineage(later.filter("doc_id is null").select(F.col("node").alias("_nameless")).distinct())
-    words = fingerprint(F.col("text").cast("string"), how.get("shingle", 5), how.get("parts", PARTS))
+    words = shingle_sets(F.col("text").cast("string"), how.get("shingle", 5))["words"]
     of = docs.filter("doc_id is null").withColumn("_node", F.xxhash64(words))
     stays = of.join(nameless, F.col("_node") == F.col("_nameless"), "left_anti").select(*docs.columns)
     return kept.filter("doc_id is not null").union(stays)

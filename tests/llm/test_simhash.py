@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -106,3 +107,68 @@ def test_one_of_each_group_stays(documents):
     assert kept.columns == rows.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 3), (False, 4), (True, 0)]
     assert S.one_of_each(rows.limit(0)).count() == 0
+
+
+def plain_set(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or ({tuple(words)} if words else set())
+
+
+def jaccard_pairs(texts, least):
+    """All pairs at that similarity, by counting the shingles they have in common."""
+    sets, held, common = {i: plain_set(t) for i, t in texts.items()}, {}, Counter()
+    for i in sorted(sets):
+        for s in sets[i]:
+            common.update((j, i) for j in held.setdefault(s, []))
+            held[s].append(i)
+    empty = [i for i in sorted(sets) if not sets[i]]
+    near = [p for p, n in common.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= least]
+    return near + list(zip(empty, empty[1:], strict=False))
+
+
+def similar_texts(rng, groups, lengths=(60, 120, 300)):
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(5000)}" for _ in range(rng.choice(lengths))]
+        texts.append(" ".join(base))
+        for edits in rng.sample(range(1, max(3, len(base) // 20)), 2):
+            words = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                words[at] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+    return dict(enumerate(texts))
+
+
+def components_found(docs):
+    return {r["doc_id"]: r["component_id"] for r in S.similar_documents(docs).collect()}
+
+
+def test_similar_documents_equal_brute_force(documents):
+    texts = similar_texts(random.Random(11), 250)
+    near = jaccard_pairs(texts, 0.8)
+    assert len(near) > 100 and len(jaccard_pairs(texts, 0.7)) > len(near) + 20
+    assert components_found(documents(list(texts.items()))) == groups_of(near, texts)
+
+
+def test_similar_documents_of_the_tables_equal_brute_force(spark, folder):
+    docs = table(spark, folder, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert components_found(docs) == groups_of(jaccard_pairs(texts, 0.8), texts)
+
+
+def test_crowded_bands_give_the_same_components(documents, monkeypatch):
+    rng = random.Random(12)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(60):  # near one another at all grades, so that chains run through the crowd
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 12)):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    texts = dict(enumerate(texts))
+    want = groups_of(jaccard_pairs(texts, 0.8), texts)
+    assert len(set(want.values())) > 1
+    for few, meeting, weight in ((1, 8, 1 << 20), (1, 2048, 1500), (8, 2048, 1 << 21), (1000, 2048, 1 << 21)):
+        monkeypatch.setattr(S.jaccard_links, "__defaults__", (few,))
+        monkeypatch.setattr(S, "MEETING", meeting)
+        monkeypatch.setattr(S, "WEIGHT", weight)
+        assert components_found(documents(list(texts.items()))) == want
