@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelens.catalog.fixtures import rounded, table
 from tablelens.operators.encode import assemble_features
-from tablelens.operators.models import SPECS, STANDARD_GRIDS, TrainingFacts
+from tablelens.operators.models import SPECS, STANDARD_GRIDS, WIDE_GRIDS, TrainingFacts
 from tablelens.plans import training as T
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -17,21 +17,6 @@ PRICE = {"problem_type": ["regression"], "target_column": ["l_extendedprice"], "
 
 # Settings trained at once.
 PARALLEL = 8
-TWO_MODELS = {"LogisticRegression": STANDARD_GRIDS["LogisticRegression"], "NaiveBayes": {}}
-# Every model of the standard line-ups, over a part of its grid.
-ALL_MODELS = {
-    "LogisticRegression": {"regParam": [0.01, 0.1]},
-    "DecisionTreeClassifier": {"maxDepth": [5, 10]},
-    "RandomForestClassifier": {"numTrees": [20], "maxDepth": [5]},
-    "GBTClassifier": {"maxDepth": [3], "maxIter": [20]},
-    "NaiveBayes": {},
-}
-ALL_REGRESSORS = {
-    "LinearRegression": {"regParam": [0.0, 0.1]},
-    "DecisionTreeRegressor": {"maxDepth": [5, 10]},
-    "RandomForestRegressor": {"numTrees": [20], "maxDepth": [5]},
-    "GBTRegressor": {"maxDepth": [3], "maxIter": [20]},
-}
 
 
 def _rows(s, d, instructions):
@@ -64,23 +49,26 @@ def _standard(name, instructions):
     return _one(name, instructions, STANDARD_GRIDS[name])
 
 
-def _board(instructions, grids):
+def _wide(name, instructions):
+    return _one(name, instructions, WIDE_GRIDS[name])
+
+
+def _board(instructions):
+    """Every model of the standard line-up over its whole grid."""
+
     def run(s, d):
-        rows = _rows(s, d, instructions)
-        board, _ = T.train_table(rows, instructions, KEYS, models=list(grids), grids=grids, parallelism=PARALLEL)
+        board, _ = T.train_table(_rows(s, d, instructions), instructions, KEYS, parallelism=PARALLEL)
         return board
 
     return run
 
 
 def _best(s, d):
-    return T.best_model(_board(FLAG, TWO_MODELS)(s, d))
+    return T.best_model(_board(FLAG)(s, d))
 
 
 def _params(s, d):
-    _, outcomes = T.train_table(
-        _rows(s, d, FLAG), FLAG, KEYS, models=list(TWO_MODELS), grids=TWO_MODELS, parallelism=PARALLEL
-    )
+    _, outcomes = T.train_table(_rows(s, d, FLAG), FLAG, KEYS, parallelism=PARALLEL)
     return T.best_params(s, outcomes)
 
 
@@ -109,26 +97,26 @@ def _line(s, d):
 QUERIES = {
     "clf_logistic": _standard("LogisticRegression", FLAG),
     "clf_tree": _standard("DecisionTreeClassifier", FLAG),
-    "clf_forest": _one("RandomForestClassifier", FLAG, {"numTrees": [20], "maxDepth": [5, 10]}),
-    "clf_gbt": _one("GBTClassifier", FLAG, {"maxDepth": [3], "maxIter": [20]}),
+    "clf_forest": _standard("RandomForestClassifier", FLAG),
+    "clf_gbt": _standard("GBTClassifier", FLAG),
     "clf_gbt_three_classes": _standard("GBTClassifier", THREE),
     "clf_naive_bayes": _standard("NaiveBayes", FLAG),
-    "clf_linear_svm": _one("LinearSVM", FLAG, {"C": [0.1]}),
-    "clf_linear_svm_three_classes": _one("LinearSVM", THREE, {"C": [1]}),
+    "clf_linear_svm": _wide("LinearSVM", FLAG),
+    "clf_linear_svm_three_classes": _wide("LinearSVM", THREE),
     "reg_linear": _line,
     "reg_linear_grid": _standard("LinearRegression", PRICE),
-    "reg_lasso": _one("Lasso", PRICE, {"alpha": [0.1, 1.0, 10]}),
+    "reg_lasso": _wide("Lasso", PRICE),
     "reg_tree": _standard("DecisionTreeRegressor", PRICE),
-    "reg_forest": _one("RandomForestRegressor", PRICE, {"numTrees": [20], "maxDepth": [5, 10]}),
-    "reg_gbt": _one("GBTRegressor", PRICE, {"maxDepth": [3], "maxIter": [20]}),
-    "reg_gbt_grid": _one("CatBoostingRegressor", PRICE, {"maxDepth": [6], "stepSize": [0.05, 0.1], "maxIter": [8]}),
-    "reg_adaboost": _one("AdaBoostRegressor", PRICE, {"loss": ["linear", "square"], "maxIter": [5]}),
+    "reg_forest": _standard("RandomForestRegressor", PRICE),
+    "reg_gbt": _standard("GBTRegressor", PRICE),
+    "reg_gbt_grid": _wide("CatBoostingRegressor", PRICE),
+    "reg_adaboost": _wide("AdaBoostRegressor", PRICE),
     "cv_folds": _folds,
     "predict_holdout": _holdout,
     "best_params": _params,
     "best_model": _best,
-    "train_leaderboard": _board(FLAG, ALL_MODELS),
-    "train_leaderboard_regression": _board(PRICE, ALL_REGRESSORS),
+    "train_leaderboard": _board(FLAG),
+    "train_leaderboard_regression": _board(PRICE),
 }
 
 SQL = {
