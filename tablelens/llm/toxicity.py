@@ -173,6 +173,8 @@ def _count(rows: DataFrame, features, least: int) -> pd.DataFrame:
                 for text, label in zip(part["text"], part["label"], strict=True):
                     counts[label > 0].update(features(text))
                 both = list(counts[0].keys() | counts[1].keys())
+                if not both:  # a slice in which no text has a feature
+                    continue
                 yield pd.DataFrame({"feature": both, "toxic": [counts[1][f] for f in both], "clean": [counts[0][f] for f in both]})
 
     counted = rows.mapInPandas(run, "feature string, toxic long, clean long").groupBy("feature")
