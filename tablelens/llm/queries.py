@@ -209,3 +209,67 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
+
+
+@query
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+SQL["op13_phrases"] = r"""
+WITH pieces AS (
+    SELECT doc_id, lang, unnest(parts) AS piece, generate_subscripts(parts, 1) AS place
+    FROM (
+        SELECT row_number() OVER () AS doc_id, coalesce(lang, 'und') AS lang,
+               regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]') AS parts
+        FROM documents
+    )
+),
+words AS (
+    SELECT doc_id, lang, place, unnest(own) AS w, generate_subscripts(own, 1) AS i
+    FROM (SELECT doc_id, lang, place, regexp_extract_all(piece, '[^\x20\x09]+') AS own FROM pieces)
+),
+suffixes AS (
+    SELECT lang, w AS x, lead(w) OVER following AS y, lead(w, 2) OVER following AS z
+    FROM words WINDOW following AS (PARTITION BY doc_id, place ORDER BY i)
+),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+ones AS (SELECT lang, x, count(*) AS f FROM suffixes GROUP BY ALL),
+twos AS (SELECT lang, x, y, count(*) AS f FROM suffixes WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+threes AS (SELECT lang, x, y, z, count(*) AS f FROM suffixes WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+    SELECT t.lang, 2 AS size, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, l.f AS l, r.f AS r
+    FROM twos t JOIN ones l ON t.lang = l.lang AND t.x = l.x JOIN ones r ON t.lang = r.lang AND t.y = r.x
+    UNION ALL
+    SELECT t.lang, 3, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, l.f, r.f
+    FROM threes t JOIN ones l ON t.lang = l.lang AND t.x = l.x
+    JOIN twos r ON t.lang = r.lang AND t.y = r.x AND t.z = r.y
+    UNION ALL
+    SELECT t.lang, 3, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, l.f, r.f
+    FROM threes t JOIN twos l ON t.lang = l.lang AND t.x = l.x AND t.y = l.y
+    JOIN ones r ON t.lang = r.lang AND t.z = r.x
+),
+scored AS (
+    SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+),
+worst AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+longer AS (
+    SELECT lang, phrase, max(f) AS f FROM (
+        SELECT lang, x || ' ' || y AS phrase, f FROM threes UNION ALL SELECT lang, y || ' ' || z, f FROM threes
+    ) GROUP BY ALL
+),
+kept AS (
+    SELECT w.* FROM worst w LEFT JOIN longer g ON w.size = 2 AND w.lang = g.lang AND w.phrase = g.phrase
+    WHERE g.f IS NULL OR 100 * g.f < 50 * w.a
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
+FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
