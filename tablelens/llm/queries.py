@@ -273,3 +273,11 @@ ranked AS (
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
 FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
 """
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from tablelens.llm.whitening import whiten, whole_vector
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", whole_vector(F.col("embedding")).alias("vector"))
+    return whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
