@@ -25,8 +25,8 @@ from tablelens.session import cut_lineage
 DEPTH = 3
 #: Suffixes that one subtree may hold, and suffixes that a task merges before it hands them on.
 BUDGET, MERGED = 1_000_000, 1_500_000
-#: Words of one text taken at a time.
-SLICE = 500_000
+#: Words of one text taken at a time, and slots told in one row.
+SLICE, TOLD = 500_000, 64
 
 _BREAKS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" " + b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,7 +129,10 @@ def _flushes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Suffixes]]:
 
 
 def prefix_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """(level, slot, lang, n): suffixes of each slot of prefixes, and at level 0 the words of each language."""
+    """(level, block, lang, counts): suffixes of TOLD slots of prefixes side by side; at level 0 the words of each language.
+
+    Counts of slots are added up as arrays, as each task has nearly all slots.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((DEPTH, 1 << bits), np.int64)
@@ -139,12 +142,14 @@ def prefix_counts(texts: DataFrame, bits: int) -> DataFrame:
             rows, counts = own.merged()
             for level, slot in enumerate(slots_of(rows, own.hashes(), bits)):
                 np.add.at(total[level], slot, counts)
-        level, slot = np.nonzero(total)
-        yield pd.DataFrame({"level": level.astype(np.int32) + 1, "slot": slot.astype(np.int32), "lang": None, "n": total[level, slot]}).astype({"lang": object})
-        yield pd.DataFrame({"level": np.int32(0), "slot": np.int32(0), "lang": list(words), "n": list(words.values())}).astype({"level": np.int32, "slot": np.int32, "lang": object, "n": np.int64})
+        made = [(level + 1, block, None, part) for level, own in enumerate(total) for block, part in enumerate(own.reshape(-1, TOLD)) if part.any()]
+        made += [(0, 0, lang, np.array([n] + [0] * (TOLD - 1))) for lang, n in words.items()]
+        if made:
+            yield pd.DataFrame(made, columns=["level", "block", "lang", "counts"])
 
-    counted = texts.mapInPandas(run, "level int, slot int, lang string, n long")
-    return counted.groupBy("level", "slot", "lang").agg(F.sum("n").alias("n"))
+    counted = texts.mapInPandas(run, "level int, block int, lang string, counts array<long>")
+    added = F.array(*(F.sum(F.col("counts")[i]) for i in range(TOLD)))
+    return counted.groupBy("level", "block", "lang").agg(added.alias("counts"))
 
 
 def groups_of(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -268,9 +273,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     bits = max(10, (16 * max(parts, expected // budget)).bit_length())
     counted = cut_lineage(prefix_counts(texts, bits))
     table = np.zeros((DEPTH, 1 << bits), np.int64)
-    sizes = counted.filter("level > 0").select("level", "slot", "n").toPandas()
-    table[sizes["level"] - 1, sizes["slot"]] = sizes["n"]
-    words = counted.filter("level = 0").select("lang", "n")
+    for r in counted.filter("level > 0").select("level", "block", "counts").toLocalIterator():
+        table[r["level"] - 1, r["block"] * TOLD : (r["block"] + 1) * TOLD] = r["counts"]
+    words = counted.filter("level = 0").select("lang", F.col("counts")[0].alias("n"))
     capacity = max(1, min(budget, int(table[0].sum()) // parts))
     groups, _ = groups_of(table, capacity)
     found = subtree_counts(partial_subtrees(texts, groups, bits), groups, bits, least)
