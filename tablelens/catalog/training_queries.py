@@ -111,6 +111,8 @@ QUERIES = {
     "reg_gbt": _standard("GBTRegressor", PRICE),
     "reg_gbt_grid": _wide("CatBoostingRegressor", PRICE),
     "reg_adaboost": _wide("AdaBoostRegressor", PRICE),
+    "reg_gradient_boosting_grid": _wide("GradientBoostingRegressor", PRICE),
+    "reg_xgb_grid": _wide("XGBRegressor", PRICE),
     "cv_folds": _folds,
     "predict_holdout": _holdout,
     "best_params": _params,

@@ -23,7 +23,7 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 
-from tablelens.operators.adaboost import AdaBoostRegressor
+from tablelens.operators.boosted import BoostedRegressor, Plan
 
 # The standard grids.
 STANDARD_GRIDS: dict[str, dict[str, list]] = {
@@ -38,8 +38,7 @@ STANDARD_GRIDS: dict[str, dict[str, list]] = {
     "GBTRegressor": {"maxDepth": [3, 5], "maxIter": [20, 50]},
 }
 
-# The wide grids, under MLlib's parameter names. `C` is the inverse penalty. The boosted
-# families of other libraries are trained as MLlib boosted trees over the same settings.
+# The wide grids, under MLlib's parameter names. `C` is the inverse penalty.
 WIDE_GRIDS: dict[str, dict[str, list]] = {
     "LogisticRegression": {"C": [0.1, 1, 10]},
     "RandomForestClassifier": {
@@ -80,6 +79,8 @@ class ModelSpec:
 
     build: Callable[[dict, TrainingFacts], Estimator]
     refuse: Callable[[TrainingFacts], str | None] = lambda facts: None
+    #: For families whose settings and folds are trained together: the plan of a setting.
+    plan: Callable[[dict], Plan] | None = None
 
 
 def _penalty(setting: dict, facts: TrainingFacts) -> dict:
@@ -112,8 +113,14 @@ def _lasso(setting: dict, facts: TrainingFacts) -> Estimator:
     return LinearRegression(regParam=float(setting.get("alpha", 1.0)), elasticNetParam=1.0, standardization=False, **rest)
 
 
-def _boosted(setting: dict, facts: TrainingFacts) -> Estimator:
-    return GBTRegressor(seed=42, **setting)
+def _together(**usual) -> ModelSpec:
+    """A boosted family: what holds where a setting says nothing, under the names of the grids."""
+    names = {"maxDepth": "depth", "stepSize": "rate", "learningRate": "rate", "maxIter": "rounds", "loss": "loss"}
+
+    def plan(setting: dict) -> Plan:
+        return Plan(**usual | {names[k]: v for k, v in setting.items()})
+
+    return ModelSpec(lambda s, f: BoostedRegressor(plan(s)), plan=plan)
 
 
 SPECS: dict[str, ModelSpec] = {
@@ -130,12 +137,13 @@ SPECS: dict[str, ModelSpec] = {
     "Lasso": ModelSpec(_lasso),
     "DecisionTreeRegressor": ModelSpec(lambda s, f: DecisionTreeRegressor(seed=42, **s)),
     "RandomForestRegressor": ModelSpec(lambda s, f: RandomForestRegressor(seed=42, **s)),
-    "GBTRegressor": ModelSpec(_boosted),
-    # The depths these have where nothing is said.
-    "GradientBoostingRegressor": ModelSpec(lambda s, f: _boosted({"maxDepth": 3} | s, f)),
-    "XGBRegressor": ModelSpec(lambda s, f: _boosted({"maxDepth": 6} | s, f)),
-    "CatBoostingRegressor": ModelSpec(_boosted),
-    "AdaBoostRegressor": ModelSpec(lambda s, f: AdaBoostRegressor(**s)),
+    "GBTRegressor": ModelSpec(lambda s, f: GBTRegressor(seed=42, **s)),
+    "GradientBoostingRegressor": _together(depth=3, rate=0.1, rounds=100),
+    # by gradient and curvature, with a penalty on leaves and a learned side for missing values
+    "XGBRegressor": _together(depth=6, rate=0.3, rounds=100, penalty=1.0, least_weight=1.0),
+    # one cut a level, residuals from earlier rows only
+    "CatBoostingRegressor": _together(depth=6, rate=0.03, rounds=100, penalty=3.0, alike=True, ordered=True),
+    "AdaBoostRegressor": _together(kind="adaboost", depth=3, rate=1.0, rounds=50),
 }
 
 # The model line-ups. A model without a grid is fitted once.

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import quoted
+from tablelens.operators import boosted
 from tablelens.operators.encode import (
     assemble_features,
     attach_codes,
@@ -141,10 +142,14 @@ def _evaluator(problem_type: str):
 def tune(data: TrainingData, name: str, grid: dict[str, list], folds: int = 3, parallelism: int = 2) -> tuple[Model, dict, float | None]:
     """Fit the best setting of a grid by cross-validation; with nothing to tune, fit once.
 
-    Folds come from the key hash, so the same rows meet in each run.
+    Folds come from the key hash, so the same rows meet in each run. Boosted families train all settings
+    and folds in the same passes.
     """
     settings = settings_of(grid)
     spec = SPECS[name]
+    if spec.plan:
+        model, best, score = boosted.tune(data.train, [spec.plan(s) for s in settings], folds)
+        return model, settings[best], score
     if len(settings) == 1:
         return spec.build(settings[0], data.facts).fit(data.train), settings[0], None
     estimators = [spec.build(s, data.facts) for s in settings]

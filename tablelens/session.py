@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tab
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it; on a cluster ship or install it."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators.adaboost import AdaBoostRegressor
+from tablelens.operators.boosted import BoostedRegressor, Plan
 from tablelens.operators.encode import assemble_features
 from tablelens.operators.evaluate import regression_metrics
 from tablelens.operators.models import LINE_UPS, SPECS, STANDARD_GRIDS, WIDE_GRIDS, settings_of
@@ -103,28 +103,18 @@ def test_bad_instructions_are_errors(known):
 def test_adaboost_beats_one_tree(known, loss):
     rows = assemble_features(known.withColumnRenamed("price", "label"), ["a", "b"]).select("features", "label").cache()
     one = SPECS["DecisionTreeRegressor"].build({"maxDepth": 3}, None).fit(rows).transform(rows)
-    many = AdaBoostRegressor(maxIter=6, loss=loss).fit(rows)
+    many = BoostedRegressor(Plan("adaboost", 3, 6, 1.0, loss)).fit(rows)
     predicted = many.transform(rows)
     assert predicted.columns == ["features", "label", "prediction"]
     assert regression_metrics(predicted, "label", "prediction").first()["rmse"] < regression_metrics(one, "label", "prediction").first()["rmse"]
 
 
-def test_adaboost_first_round_by_hand(spark):
-    """Two leaves, one round: the prediction is the leaf mean, the say is the log of the odds."""
-    rows = assemble_features(
-        spark.createDataFrame([(0.0, 1.0), (0.0, 3.0), (1.0, 10.0), (1.0, 10.0)], "x double, label double"), ["x"]
-    )
-    model = AdaBoostRegressor(maxIter=1, maxDepth=1).fit(rows)
-    # Errors 1, 1, 0, 0: losses average one half of the largest, which ends the boosting.
-    assert len(model.trees) == 1 and model.says == [1.0]
-    assert sorted(r["prediction"] for r in model.transform(rows).collect()) == [2.0, 2.0, 10.0, 10.0]
-
-
-def test_adaboost_on_a_perfect_fit(spark):
-    rows = assemble_features(spark.createDataFrame([(0.0, 1.0), (1.0, 2.0)], "x double, label double"), ["x"])
-    model = AdaBoostRegressor(maxIter=5).fit(rows)
-    assert len(model.trees) == 1
-    assert [r["prediction"] for r in model.transform(rows).orderBy("x").collect()] == [1.0, 2.0]
+@pytest.mark.parametrize("name", ["GradientBoostingRegressor", "XGBRegressor", "CatBoostingRegressor"])
+def test_boosted_families_learn(known, name):
+    data = T.prepare(known.select("id", "a", "b", "kind", "price"), instructions("regression", "price"), ["id"])
+    outcome = T.train_one(data, name, {"stepSize": [0.01, 0.3], "maxIter": [5, 40]})
+    assert outcome.status == "trained" and outcome.setting == {"stepSize": 0.3, "maxIter": 40}
+    assert outcome.metrics["r2"] > 0.9 and outcome.cv_score == pytest.approx(outcome.metrics["rmse"], rel=0.5)
 
 
 def test_line_ups_are_known_models():

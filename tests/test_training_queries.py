@@ -15,6 +15,8 @@ ONE = {
     "reg_gbt": ("GBTRegressor", STANDARD_GRIDS),
     "reg_gbt_grid": ("CatBoostingRegressor", WIDE_GRIDS),
     "reg_adaboost": ("AdaBoostRegressor", WIDE_GRIDS),
+    "reg_gradient_boosting_grid": ("GradientBoostingRegressor", WIDE_GRIDS),
+    "reg_xgb_grid": ("XGBRegressor", WIDE_GRIDS),
 }
 ALL = {
     "train_leaderboard": "classification",
