@@ -97,6 +97,7 @@ def _line(s, d):
 QUERIES = {
     "clf_logistic": _standard("LogisticRegression", FLAG),
     "clf_tree": _standard("DecisionTreeClassifier", FLAG),
+    "clf_tree_wide": _wide("DecisionTreeClassifier", FLAG),
     "clf_forest": _standard("RandomForestClassifier", FLAG),
     "clf_gbt": _standard("GBTClassifier", FLAG),
     "clf_gbt_three_classes": _standard("GBTClassifier", THREE),

@@ -24,6 +24,8 @@ from pyspark.ml.regression import (
 )
 
 from tablelens.operators.boosted import BoostedRegressor, Plan
+from tablelens.operators.classtrees import ClassTreeClassifier, TreePlan
+from tablelens.operators.gramians import Penalty
 
 # The standard grids.
 STANDARD_GRIDS: dict[str, dict[str, list]] = {
@@ -49,6 +51,7 @@ WIDE_GRIDS: dict[str, dict[str, list]] = {
     "DecisionTreeClassifier": {
         "impurity": ["gini", "entropy"],
         "featureSubsetStrategy": ["sqrt", "log2", "all"],
+        "splitter": ["best", "random"],
     },
     "LinearSVM": {"C": [0.1, 1, 10]},
     "LinearRegression": {},
@@ -81,6 +84,10 @@ class ModelSpec:
     refuse: Callable[[TrainingFacts], str | None] = lambda facts: None
     #: For families whose settings and folds are trained together: the plan of a setting.
     plan: Callable[[dict], Plan] | None = None
+    #: For single trees that are trained together: the plan of a setting, none if it is not of that kind.
+    tree: Callable[[dict], TreePlan | None] | None = None
+    #: For linear families, whose settings and folds are scored from sums of products: the penalty of a setting.
+    penalty: Callable[[dict], Penalty] | None = None
 
 
 def _penalty(setting: dict, facts: TrainingFacts) -> dict:
@@ -91,11 +98,16 @@ def _penalty(setting: dict, facts: TrainingFacts) -> dict:
     return rest
 
 
+def _tree_plan(setting: dict) -> TreePlan | None:
+    """The plan of a tree that looks at some columns a node or draws its cuts; of other trees none."""
+    names = {"impurity": "impurity", "featureSubsetStrategy": "subset", "splitter": "splitter", "maxDepth": "depth"}
+    wide = "featureSubsetStrategy" in setting or "splitter" in setting
+    return TreePlan(**{names[k]: v for k, v in setting.items()}) if wide else None
+
+
 def _single_tree(setting: dict, facts: TrainingFacts) -> Estimator:
-    """A tree that tries a subset of the columns per split is a forest of one, on all rows."""
-    if "featureSubsetStrategy" in setting:
-        return RandomForestClassifier(numTrees=1, bootstrap=False, seed=42, **setting)
-    return DecisionTreeClassifier(seed=42, **setting)
+    plan = _tree_plan(setting)
+    return ClassTreeClassifier(plan) if plan else DecisionTreeClassifier(seed=42, **setting)
 
 
 def _linear_svm(setting: dict, facts: TrainingFacts) -> Estimator:
@@ -125,7 +137,7 @@ def _together(**usual) -> ModelSpec:
 
 SPECS: dict[str, ModelSpec] = {
     "LogisticRegression": ModelSpec(lambda s, f: LogisticRegression(maxIter=100 if "C" not in s else 2000, **_penalty(s, f))),
-    "DecisionTreeClassifier": ModelSpec(_single_tree),
+    "DecisionTreeClassifier": ModelSpec(_single_tree, tree=_tree_plan),
     "RandomForestClassifier": ModelSpec(lambda s, f: RandomForestClassifier(seed=42, **s)),
     "GBTClassifier": ModelSpec(
         lambda s, f: GBTClassifier(seed=42, **s),
@@ -133,8 +145,10 @@ SPECS: dict[str, ModelSpec] = {
     ),
     "NaiveBayes": ModelSpec(_naive_bayes),
     "LinearSVM": ModelSpec(_linear_svm),
-    "LinearRegression": ModelSpec(lambda s, f: LinearRegression(**s)),
-    "Lasso": ModelSpec(_lasso),
+    "LinearRegression": ModelSpec(
+        lambda s, f: LinearRegression(**s), penalty=lambda s: Penalty(s.get("regParam", 0.0), s.get("elasticNetParam", 0.0))
+    ),
+    "Lasso": ModelSpec(_lasso, penalty=lambda s: Penalty(float(s.get("alpha", 1.0)), 1.0, standard=False)),
     "DecisionTreeRegressor": ModelSpec(lambda s, f: DecisionTreeRegressor(seed=42, **s)),
     "RandomForestRegressor": ModelSpec(lambda s, f: RandomForestRegressor(seed=42, **s)),
     "GBTRegressor": ModelSpec(lambda s, f: GBTRegressor(seed=42, **s)),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import quoted
-from tablelens.operators import boosted
+from tablelens.operators import boosted, classtrees
 from tablelens.operators.encode import (
     assemble_features,
     attach_codes,
@@ -25,6 +25,7 @@ from tablelens.operators.encode import (
     with_fold,
 )
 from tablelens.operators.evaluate import classification_metrics, regression_metrics
+from tablelens.operators.gramians import cross_validated
 from tablelens.operators.models import LINE_UPS, SPECS, STANDARD_GRIDS, WIDE_GRIDS, TrainingFacts, settings_of
 
 CLASSIFICATION_METRICS = ["accuracy", "f1", "weightedPrecision", "weightedRecall"]
@@ -142,14 +143,21 @@ def _evaluator(problem_type: str):
 def tune(data: TrainingData, name: str, grid: dict[str, list], folds: int = 3, parallelism: int = 2) -> tuple[Model, dict, float | None]:
     """Fit the best setting of a grid by cross-validation; with nothing to tune, fit once.
 
-    Folds come from the key hash, so the same rows meet in each run. Boosted families train all settings
-    and folds in the same passes.
+    Folds come from the key hash, so the same rows meet in each run. Boosted families and trees with drawn cuts
+    or columns train all settings and folds in the same passes; linear ones are scored from sums of products by fold, in one scan.
     """
     settings = settings_of(grid)
     spec = SPECS[name]
     if spec.plan:
         model, best, score = boosted.tune(data.train, [spec.plan(s) for s in settings], folds)
         return model, settings[best], score
+    if spec.tree and all(spec.tree(s) for s in settings):
+        model, best, score = classtrees.tune(data.train, [spec.tree(s) for s in settings], folds)
+        return model, settings[best], score
+    if spec.penalty and len(settings) > 1:
+        scores = cross_validated(data.train, [spec.penalty(s) for s in settings], folds)
+        best = scores.index(min(scores))
+        return spec.build(settings[best], data.facts).fit(data.train), settings[best], scores[best]
     if len(settings) == 1:
         return spec.build(settings[0], data.facts).fit(data.train), settings[0], None
     estimators = [spec.build(s, data.facts) for s in settings]

@@ -8,6 +8,7 @@ from tablelens.plans import training as T
 
 ONE = {
     "clf_forest": ("RandomForestClassifier", STANDARD_GRIDS),
+    "clf_tree_wide": ("DecisionTreeClassifier", WIDE_GRIDS),
     "clf_gbt": ("GBTClassifier", STANDARD_GRIDS),
     "clf_linear_svm": ("LinearSVM", WIDE_GRIDS),
     "clf_linear_svm_three_classes": ("LinearSVM", WIDE_GRIDS),
