@@ -10,6 +10,7 @@ from tablelens.operators import evaluate as M
 
 HEATMAP_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PAIR_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
 BOX = {"p25": 4, "p50": 4, "p75": 4}
 
 
@@ -48,6 +49,12 @@ QUERIES = {
     "line_chart": lambda s, d: rounded(
         V.line_chart(_lineitem(s, d), "l_quantity", "l_extendedprice"), {"mean": 4, "low": 4, "high": 4}
     ),
+    "bar_chart_resampled": lambda s, d: rounded(
+        V.bar_chart_resampled(_lineitem(s, d), "l_returnflag", "l_extendedprice", LINE_KEYS), {"mean": 4, "low": 4, "high": 4}
+    ),
+    "line_chart_resampled": lambda s, d: rounded(
+        V.line_chart_resampled(_lineitem(s, d), "l_quantity", "l_extendedprice", LINE_KEYS), {"mean": 4, "low": 4, "high": 4}
+    ),
     "scatter_points": lambda s, d: V.scatter_points(_lineitem(s, d), "l_quantity", "l_extendedprice"),
     "scatter_grid": lambda s, d: V.scatter_grid(_lineitem(s, d), "l_quantity", "l_extendedprice"),
     "histogram": lambda s, d: rounded(V.histogram(_lineitem(s, d), "l_extendedprice"), {"bin_start": 4, "bin_end": 4}),
@@ -111,6 +118,19 @@ SELECT {x}point, round(v, 4) AS value,
 FROM a CROSS JOIN c GROUP BY {x}point, v"""
 
 
+def _resampled_sql(x: str, y: str) -> str:
+    """200 replicates: a row counts as often as four hex digits of md5(keys:hash) say by the Poisson distribution."""
+    return f"""drawn AS (SELECT {x} AS x, {y} AS y, part, i,
+  substr(md5(l_orderkey || ':' || l_linenumber || ':' || part), CAST(4 * i + 1 AS INTEGER), 4) AS digits
+  FROM lineitem, range(25) AS p(part), range(8) AS q(i)),
+counted AS (SELECT x, y, part, i, CASE WHEN digits < '5e2d' THEN 0 WHEN digits < 'bc5a' THEN 1 WHEN digits < 'eb71' THEN 2
+  WHEN digits < 'fb23' THEN 3 WHEN digits < 'ff10' THEN 4 WHEN digits < 'ffd9' THEN 5 WHEN digits < 'fffa' THEN 6 ELSE 7 END AS times FROM drawn),
+means AS (SELECT x, sum(times * y) / sum(times) AS mean FROM counted GROUP BY x, part, i HAVING sum(times) > 0),
+bounds AS (SELECT x, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY x)
+SELECT l.{x} AS x, count(*) AS n, round(avg(l.{y}), 4) AS mean, round(any_value(b.low), 4) AS low, round(any_value(b.high), 4) AS high
+FROM lineitem l JOIN bounds b ON l.{x} = b.x GROUP BY 1"""
+
+
 def _box_sql(source: str, x: str, y: str) -> str:
     return f"""q AS (SELECT {x} AS x, quantile_cont({y}, 0.25) AS p25, quantile_cont({y}, 0.5) AS p50,
   quantile_cont({y}, 0.75) AS p75 FROM {source} WHERE {y} IS NOT NULL GROUP BY 1),
@@ -152,6 +172,8 @@ SQL = {
     "pie_chart_many_levels": "WITH " + _pie_sql("CAST(l_suppkey AS VARCHAR)", "lineitem"),
     "bar_chart": _bar_sql("l_returnflag", "l_extendedprice"),
     "line_chart": _bar_sql("l_quantity", "l_extendedprice"),
+    "bar_chart_resampled": "WITH " + _resampled_sql("l_returnflag", "l_extendedprice"),
+    "line_chart_resampled": "WITH " + _resampled_sql("l_quantity", "l_extendedprice"),
     "scatter_points": "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem",
     "scatter_grid": f"SELECT {bin_sql('l_quantity')} AS x_bin, {bin_sql('l_extendedprice')} AS y_bin, count(*) AS n "
     "FROM lineitem GROUP BY 1, 2",

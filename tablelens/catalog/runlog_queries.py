@@ -55,6 +55,8 @@ def _events(s, d):
     return run_events(s, d).withColumn("raw", F.lit(None).cast("string"))
 
 
+# Longer than the log, so that no run is forgotten within it.
+LOG_SPAN = "60 days"
 COLUMNS = ["run_id", "seq", "process", "response", "effect", "action"]
 
 
@@ -90,6 +92,17 @@ def _stream_edges(s, d):
     return L.edge_state_of(s.read.parquet(out))
 
 
+def _stream_final(s, d):
+    """The log in two parts, the second appended after the first has been followed to its end."""
+    folder, out, state = work_dir(s, "run-log"), work_dir(s, "final-marks"), work_dir(s, "final-marks-state")
+    events = run_events(s, d)
+    middle = events.agg(F.avg("seq")).first()[0]
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        G.log_append(events.filter(part), folder)
+        L.stream_marks(L.node_marks_final(L.tail_log(s, folder), LOG_SPAN), out, state).awaitTermination()
+    return L.last_states(s.read.parquet(out))
+
+
 def _status(s, d):
     status = F.create_map(
         *[F.lit(v) for pair in {"signup": "uploaded", "click": "processing", "error": "error", "purchase": "completed"}.items() for v in pair]
@@ -108,6 +121,9 @@ QUERIES = {
     "log_classify": lambda s, d: L.log_classify(_events(s, d)).select("run_id", "seq", "kind"),
     "node_state": lambda s, d: L.node_state(_events(s, d)),
     "node_state_stream": _stream_nodes,
+    "node_state_final": lambda s, d: L.node_state_final(_events(s, d)),
+    "edge_state_final": lambda s, d: L.edge_state_final(_events(s, d)),
+    "node_state_final_stream": _stream_final,
     "edge_state": lambda s, d: L.edge_state(_events(s, d)),
     "edge_state_stream": _stream_edges,
     "run_finished": lambda s, d: L.run_finished(_events(s, d)),
@@ -146,6 +162,11 @@ _EDGES = f"""WITH {_RUN} SELECT run_id, process AS from_node, response AS to_nod
   CASE arg_max(action, seq) WHEN 'setConnectionGreen' THEN 'done' ELSE 'active' END AS state, max(seq) AS seq
 FROM log WHERE action LIKE 'setConnection%' GROUP BY 1, 2, 3"""
 
+# The same, of the events up to the first final one of the run.
+_TO_FINAL = """log AS (SELECT a.* FROM all_log a LEFT JOIN (SELECT run_id, min(seq) AS last FROM all_log WHERE effect = 'final' GROUP BY 1) f
+  ON a.run_id = f.run_id WHERE f.last IS NULL OR a.seq <= f.last)"""
+_RUN_TO_FINAL = f"{_RUN.replace('log AS (', 'all_log AS (', 1)}, {_TO_FINAL}"
+
 _LINE = """'{"' || process || '":["Process : Starting task...","print entirely","' || replace(response, '"', '\\"') ||
   '","' || effect || '","' || action || '","print entirely"]}'"""
 
@@ -164,6 +185,9 @@ SQL = {
     "node_state_stream": _NODES,
     "edge_state": _EDGES,
     "edge_state_stream": _EDGES,
+    "node_state_final": _NODES.replace(_RUN, _RUN_TO_FINAL),
+    "edge_state_final": _EDGES.replace(_RUN, _RUN_TO_FINAL),
+    "node_state_final_stream": _NODES.replace(_RUN, _RUN_TO_FINAL),
     "run_finished": f"WITH {_RUN} SELECT run_id, bool_or(effect = 'final') AS finished FROM log GROUP BY 1",
     "run_status": """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq,
   CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'error'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,52 @@ def line_chart(df: DataFrame, x: str, y: str) -> DataFrame:
     return bar_chart(df, x, y).orderBy("x")
 
 
+# How often a Poisson number of mean 1 is at most 0, 1, 2, ..., in 65,536ths as four hex digits, written down
+# from the distribution: a draw of four digits is 0 below the first, 1 below the second and so on.
+_POISSON = [f"{int(65536 * sum(exp(-1) / factorial(k) for k in range(n + 1))):04x}" for n in range(7)]
+_DRAWS = 8
+
+
+def resampled_means(df: DataFrame, x: str, y: str, keys: list[str], replicates: int = 200, percent: float = 95.0) -> DataFrame:
+    """Mean of y per x with a bootstrap interval: (x, n, mean, low, high).
+
+    Each row counts a Poisson number of times in each replicate, from a hash of its keys and the number of
+    the replicate, so one scan adds up all of them, combined before the shuffle, and a row counts the same
+    whatever the partitioning. Rows with equal keys are drawn together. The bounds are quantiles of the
+    replicates' means; a replicate in which a group has no row gives it none. `replicates` is rounded up to
+    a multiple of 8, the draws of one hash.
+    """
+    require_columns(df, [x, y, *keys])
+    key = F.concat_ws(":", *(F.coalesce(quoted(k).cast("string"), F.lit("")) for k in keys))
+    known = df.select(present(df, x).alias("x"), number(df, y).alias("y"), key.alias("key"))
+    known = known.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    hashes = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // _DRAWS) - 1))).alias("part")
+    drawn = known.select("x", "y", "key", hashes).withColumn("draw", F.md5(F.concat_ws(":", "key", "part").cast("binary")))
+    sums = []
+    for i in range(_DRAWS):
+        digits = F.substring("draw", 4 * i + 1, 4)
+        times = F.lit(len(_POISSON))
+        for n, bound in reversed(list(enumerate(_POISSON))):
+            times = F.when(digits < bound, n).otherwise(times)
+        sums += [F.sum(times).alias(f"n{i}"), F.sum(times * F.col("y")).alias(f"s{i}")]
+    parts = drawn.groupBy("x", "part").agg(*sums)
+    means = parts.select("x", F.explode(F.array(*(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")) for i in range(_DRAWS)))).alias("mean"))
+    tail = (100.0 - percent) / 200.0
+    bounds = means.groupBy("x").agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("bounds"))
+    whole = known.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    return whole.join(bounds, "x").select("x", "n", "mean", F.col("bounds")[0].alias("low"), F.col("bounds")[1].alias("high"))
+
+
+def bar_chart_resampled(df: DataFrame, x: str, y: str, keys: list[str], **how) -> DataFrame:
+    """The bar chart with bootstrap intervals."""
+    return resampled_means(df, x, y, keys, **how)
+
+
+def line_chart_resampled(df: DataFrame, x: str, y: str, keys: list[str], **how) -> DataFrame:
+    """The same in the order of x."""
+    return resampled_means(df, x, y, keys, **how).orderBy("x")
+
+
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
     """All complete (x, y) pairs."""
     require_columns(df, [x, y])

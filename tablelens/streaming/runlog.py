@@ -6,9 +6,13 @@ busy run is combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablelens.sources.runlog import FINAL_EFFECT, FUNCTION_EFFECT, parse_lines
 
@@ -111,6 +115,89 @@ def run_finished(events: DataFrame) -> DataFrame:
     )
 
 
+def until_final(events: DataFrame) -> DataFrame:
+    """The events of each run up to its first final event; whatever comes later does not change a state.
+
+    The position of the final event is one row a run, combined before the shuffle. Runs without one keep all
+    their events; so do events without a number, and lines that are no event.
+    """
+    ends = log_classify(events).filter("kind = 'final'").groupBy("run_id").agg(F.min("seq").alias("last"))
+    ends = ends.select(F.col("run_id").alias("of"), "last")
+    kept = events.join(ends, F.col("run_id").eqNullSafe(F.col("of")), "left")
+    return kept.filter(F.col("last").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("last"))).drop("of", "last")
+
+
+def node_state_final(events: DataFrame) -> DataFrame:
+    return node_state(until_final(events))
+
+
+def edge_state_final(events: DataFrame) -> DataFrame:
+    return edge_state(until_final(events))
+
+
+#: Nodes or connections of a run, each as its action marks.
+_RUN_STATE = "last long, open array<struct<call: string, node: string, seq: long>>"
+
+
+def node_marks_final(events: DataFrame, forget_after: str = "1 hour") -> DataFrame:
+    """A stream of (run_id, node, state, seq, late, closed): the nodes that a step has changed, in update mode.
+
+    The state of a run is its nodes' marks and, once it has come, the number of its final event: the marks are
+    dropped then and only that number stays, to tell late events, until the stream's time is `forget_after`
+    past the run's last event. `late` events do not change states; they give a row of their own. Numbers rise
+    within a run from step to step, as in a log that is appended to; within a step they may come in any order.
+    Events more than `forget_after` behind the stream's time are left out.
+    """
+    span = parse_span(forget_after)
+    calls = _calls(events.withWatermark("ts", forget_after))
+    calls = calls.select("run_id", F.col("process").alias("node"), "seq", "ts", "call", (F.col("kind") == "final").alias("final"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, held = state.get if state.exists else (None, [])
+        marks = {(c, n): s for c, n, s in held}
+        seen = pd.concat(batches).sort_values("seq")
+        finals = seen.loc[seen["final"], "seq"]
+        ended = last is not None
+        if not ended and len(finals):
+            last = int(finals.min())
+        touched, late = set(), []
+        for r in seen.itertuples():
+            if last is not None and r.seq > last:
+                late.append((key[0], r.node, None, int(r.seq), True, True))
+            elif r.node and r.call in NODE_ACTIONS and not ended:
+                marks[r.call, r.node] = max(marks.get((r.call, r.node), -1), int(r.seq))
+                touched.add(r.node)
+        until = int(seen["ts"].max().timestamp() * 1000)
+        rows = [(key[0], node, *_state_of({c: s for (c, n), s in marks.items() if n == node}), False, last is not None) for node in sorted(touched)]
+        state.update((last, [] if last is not None else [(c, n, s) for (c, n), s in marks.items()]))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + span)
+        yield pd.DataFrame(rows + late, columns=["run_id", "node", "state", "seq", "late", "closed"]).astype({"state": object, "node": object})
+
+    schema = "run_id string, node string, state string, seq long, late boolean, closed boolean"
+    return calls.groupBy("run_id").applyInPandasWithState(run, schema, _RUN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def last_states(rows: DataFrame) -> DataFrame:
+    """(run_id, node, state, seq) from all that `node_marks_final` gave: the row of the highest number of each node."""
+    known = rows.filter("not late")
+    return known.groupBy("run_id", "node").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
+
+
+def parse_span(span: str) -> int:
+    """Milliseconds of a span such as '10 minutes'."""
+    amount, unit = span.split()
+    return int(float(amount) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+def _state_of(marks: dict[str, int]) -> tuple[str, int]:
+    start, complete, stop, clear = (marks.get(a, -1) for a in NODE_ACTIONS)
+    state = "running" if start > max(complete, stop) else "done" if complete > max(start, clear) else "idle"
+    return state, max(start, complete, stop, clear)
+
+
 # Run states in order. A run that is past 'uploaded' refuses another start.
 RUN_STATUSES = ["uploaded", "processing", "error", "completed"]
 

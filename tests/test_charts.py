@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,18 @@ def test_confusion_matrix_has_one_form_for_every_size(spark, labels):
     df = spark.range(labels).select(F.col("id").alias("y"), F.col("id").alias("p"))
     cells = M.confusion_matrix(df, "y", "p")
     assert cells.count() == labels**2 and cells.filter("n > 0").count() == labels
+
+
+def test_resampled_interval(spark):
+    draw = random.Random(1)
+    rows = [(i, "ab"[i % 2], draw.gauss(5, 2)) for i in range(4000)] + [(9000, "c", 1.0), (9001, None, 1.0), (9002, "a", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r["x"]: r for r in V.bar_chart_resampled(df.repartition(7), "g", "v", ["id"], replicates=400).collect()}
+    usual = {r["x"]: r for r in V.bar_chart(df, "g", "v").collect()}
+    for g in "ab":
+        assert got[g]["n"] == 2000 and abs(got[g]["mean"] - usual[g]["mean"]) < 1e-9
+        assert abs(got[g]["low"] - usual[g]["low"]) < 0.03 and abs(got[g]["high"] - usual[g]["high"]) < 0.03
+    assert (got["c"]["low"], got["c"]["high"]) == (1.0, 1.0) and set(got) == {"a", "b", "c"}
+    again = {r["x"]: r["low"] for r in V.bar_chart_resampled(df.repartition(2), "g", "v", ["id"], replicates=400).collect()}
+    assert all(abs(again[g] - got[g]["low"]) < 1e-9 for g in got)
+    assert V.line_chart_resampled(df.limit(0), "g", "v", ["id"]).collect() == []

@@ -103,3 +103,46 @@ def test_csv_keeps_every_text(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     inferred = tables.scan_csv(spark, str(tmp_path / "t"))
     assert dict(inferred.dtypes)["k"] == "int" and inferred.count() == len(texts)
+
+
+def stamped(spark, *rows):
+    """Log lines of (run, seq, minute, node, action); the final event has no node."""
+    made = [(r, i, STAMP + dt.timedelta(minutes=m), n or "", "0", "none" if n else "final", a) for r, i, m, n, a in rows]
+    return spark.createDataFrame(made, SCHEMA.rsplit(",", 1)[0])
+
+
+def test_a_final_event_stops_the_run(spark):
+    events = calls(spark, ("n", "0", "blinkNode"), ("n", "0", "highlightNodeGreen"), ("n", "0", "blinkNode"))
+    end = stamped(spark, ("r", 1, 0, None, "highlightNodeGreen")).withColumn("raw", L.F.lit(None).cast("string"))
+    other = events.withColumn("run_id", L.F.lit("open"))
+    got = {r["run_id"]: (r["state"], r["seq"]) for r in L.node_state_final(events.union(end).union(other)).collect()}
+    assert got == {"r": ("done", 1), "open": ("running", 2)}
+
+
+def test_the_stream_of_a_run_ends_with_its_final_event(spark, tmp_path):
+    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    steps = [
+        [("a", 0, 0, "n", "blinkNode"), ("b", 0, 0, "n", "blinkNode")],
+        # in one step any order is fine
+        [("a", 3, 3, "n", "blinkNode"), ("a", 1, 1, "n", "highlightNodeGreen"), ("a", 2, 2, None, "highlightNodeGreen")],
+        [("a", 4, 4, "n", "stopBlinkNode()"), ("b", 1, 4, "m", "highlightNodeGreen")],
+        # the stream's time moves on by hours: runs are forgotten, and b begins anew
+        [("c", 0, 600, "n", "blinkNode")],
+        [("b", 2, 601, "m", "removeGreenHighlightNode")],
+    ]
+    told = []
+    for rows in steps:
+        G.log_append(stamped(spark, *rows), log)
+        L.stream_marks(L.node_marks_final(L.tail_log(spark, log), "10 minutes"), out, state).awaitTermination()
+        kept = spark.read.parquet(out).select("run_id", "node", "state", "seq", "late", "closed").distinct()
+        told.append(sorted(map(tuple, kept.collect()), key=str))
+    first = [("a", "n", "running", 0, False, False), ("b", "n", "running", 0, False, False)]
+    assert told[0] == first
+    late = ("a", "n", None, 3, True, True)
+    second = [*first, ("a", "n", "done", 1, False, True), late]
+    assert told[1] == sorted(second, key=str)
+    third = [*second, ("a", "n", None, 4, True, True), ("b", "m", "done", 1, False, False)]
+    assert told[2] == sorted(third, key=str)
+    assert told[4] == sorted([*third, ("c", "n", "running", 0, False, False), ("b", "m", "idle", 2, False, False)], key=str)
+    last = {(r["run_id"], r["node"]): r["state"] for r in L.last_states(spark.read.parquet(out)).collect()}
+    assert last == {("a", "n"): "done", ("b", "n"): "running", ("b", "m"): "idle", ("c", "n"): "running"}
