@@ -139,21 +139,64 @@ def _braces_to_lines(block: Column) -> Column:
     return F.regexp_replace(bare, r"(?U),\s*", "\n")
 
 
+def _image_texts(text: Column) -> Column:
+    """An array of (k, t): image names and what is said of them, line by line.
+
+    A text begins behind the first image name of a line. Once it says something, it ends before a line that
+    begins with an image name or with the summary, which may begin another. Only numbers of lines are kept
+    while lines are walked through; texts are cut out at the end.
+    """
+    said = "struct<k: string, rest: string, first: int, last: int>"
+
+    def marked(line: Column) -> Column:
+        name = F.regexp_extract(line, f"(?iU){IMAGE_NAME}", 0)
+        at = F.instr(line, name)
+        behind = F.substring(line, at + F.length(name), F.length(line))
+        ends = ((name != "") & (at == 1)) | line.rlike("(?iU)^summary:")
+        return F.struct(name.alias("name"), behind.alias("rest"), ends.alias("ends"), line.rlike(r"(?U)\S").alias("full"))
+
+    def walk(state: Column, line: Column) -> Column:
+        open_ = state["k"].isNotNull()
+        goes_on = open_ & ~(state["full"] & line["ends"])
+        begins = ~goes_on & (line["name"] != "")
+        now = F.struct(state["k"].alias("k"), state["rest"].alias("rest"), state["first"].alias("first"), (state["at"] - 1).alias("last"))
+        return F.struct(
+            F.when(open_ & ~goes_on, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"),
+            F.when(goes_on, state["k"]).when(begins, line["name"]).alias("k"),
+            F.when(goes_on, state["rest"]).when(begins, line["rest"]).alias("rest"),
+            F.when(goes_on, state["first"]).when(begins, state["at"] + 1).alias("first"),
+            F.when(goes_on, state["full"] | line["full"]).otherwise(begins & line["rest"].rlike(r"(?U)\S")).alias("full"),
+            (state["at"] + 1).alias("at"),
+        )
+
+    none = F.lit(None)
+    start = F.struct(
+        F.array().cast(f"array<{said}>").alias("done"), none.cast("string").alias("k"), none.cast("string").alias("rest"),
+        none.cast("int").alias("first"), F.lit(False).alias("full"), F.lit(1).alias("at"),
+    )
+
+    def end(state: Column) -> Column:
+        """The last text ends with the reply; a name with nothing behind it has none."""
+        last = F.struct(state["k"].alias("k"), state["rest"].alias("rest"), state["first"].alias("first"), (state["at"] - 1).alias("last"))
+        some = state["k"].isNotNull() & ((state["rest"] != "") | (state["first"] < state["at"]))
+        return F.when(some, F.concat(state["done"], F.array(last))).otherwise(state["done"])
+
+    def whole(lines: Column) -> Column:
+        found = F.aggregate(F.transform(lines, marked), start, walk, end)
+
+        def cut(own: Column) -> Column:
+            more = F.slice(lines, own["first"], own["last"] - own["first"] + 1)
+            return F.struct(own["k"].alias("k"), _squeezed(F.array_join(F.concat(F.array(own["rest"]), more), "\n")).alias("t"))
+
+        return F.transform(found, cut)
+
+    # bound once: the lines are walked through and cut from
+    return F.flatten(F.transform(F.array(F.split(text, "\n", -1)), whole))
+
+
 def _text_rows() -> Column:
     """Section rows of a free-text reply."""
     empty = F.array().cast("array<string>")
-    # An image block runs up to the next image name or the summary at the start of a line. The
-    # blocks are found once; name and text are then cut from each block.
-    image = rf"(?iU){IMAGE_NAME}\s*[\s\S]+?(?=\n{IMAGE_NAME}|\nsummary:|\z)"
-    blocks = F.regexp_extract_all("text", F.lit(image), F.lit(0))
-    pairs = F.transform(
-        blocks,
-        lambda b: F.struct(
-            F.regexp_extract(b, rf"(?iU)^({IMAGE_NAME})", 1).alias("k"),
-            _squeezed(F.regexp_replace(b, rf"(?iU)^{IMAGE_NAME}", "")).alias("t"),
-        ),
-    )
-
     def one(pattern: str) -> Column:
         block = F.regexp_extract("text", pattern, 1)
         return F.when(block != "", F.array(_braces_to_lines(block))).otherwise(empty)
@@ -161,7 +204,7 @@ def _text_rows() -> Column:
     overview, summary = one(OVERVIEW_BLOCK), one(SUMMARY_BLOCK)
     return F.concat(
         _section_rows([("overview", _no_names(overview), overview)]),
-        F.transform(pairs, lambda p, i: _section_item("image", p, i)),
+        F.transform(_image_texts(F.col("text")), lambda p, i: _section_item("image", p, i)),
         _section_rows([("summary", _no_names(summary), summary)]),
     )
 

@@ -151,3 +151,12 @@ def test_prompt_sections(spark):
         "Sample Data:\nk, s\n1, x\n2, NaN"
     )
     assert "problem_type:\nregression" in profile_prompt(df, ["k"], approx=True, problem_type="regression").first()["prompt"]
+
+
+def test_image_texts_end_at_lines_that_begin_anew(spark):
+    text = "seen: 1_a.png up\nand 2_b.png down\n\n3_c.png\n4_d.png flat\nSummary: none, see 5_e.png\n6_f.png"
+    got = [(k, t) for s, _, k, t in rows_of(X.parse_insights_text(replies(spark, text))) if s == "image"]
+    # a name that nothing is said of takes the next line, and at the very end it is left out
+    assert got == [("1_a.png", "up and 2_b.png down"), ("3_c.png", "4_d.png flat"), ("5_e.png", "6_f.png")]
+    assert rows_of(X.parse_insights_text(replies(spark, "1_a.png"))) == []
+    assert rows_of(X.parse_insights_text(replies(spark, "1_a.png "))) == [("image", 1, "1_a.png", "")]
