@@ -73,3 +73,13 @@ def test_held_out_accuracy(spark):
     rows = found.filter("held_out").join(labels, "doc_id").collect()
     assert found.count() == table(spark, folder, "documents").count()
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_slices_without_any_term(spark, labelled):
+    """A slice in which no text has a word gives nothing, whatever the others hold."""
+    rows = spark.createDataFrame([("", 1), (" ", 0), ("\n", 1), ("bad word", 1)], "text string, label int").repartition(4)
+    counted = {r["feature"]: (r["toxic"], r["clean"]) for r in T._count(rows, lambda text: text.split(), 1).collect()}
+    assert counted == {"bad": (1, 0), "word": (1, 0)}
+    assert T._count(rows.filter("trim(text) = ''"), T.candidates, 1).collect() == []
+    blank = spark.createDataFrame([("", 0)], "text string, label int")
+    assert T.learn(labelled.union(blank).repartition(700)).terms == T.learn(labelled).terms
