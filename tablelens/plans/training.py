@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -241,10 +241,24 @@ def best_model(board: DataFrame) -> DataFrame:
     return board.filter("rank = 1 and status = 'trained'")
 
 
+def parameters_of(model: Model) -> dict:
+    """All parameters of a fitted model by name; those that are objects themselves are left out."""
+    if isinstance(model, boosted.BoostedModel):
+        return {k: v for k, v in asdict(model.fitted.plan).items() if k not in ("fold", "rounds")} | {"rounds": model.rounds}
+    if isinstance(model, classtrees.ClassTreeModel):
+        return {k: v for k, v in asdict(model.tree.plan).items() if k != "fold"}
+    return {p.name: v for p, v in model.extractParamMap().items() if isinstance(v, bool | int | float | str | list)}
+
+
 def best_params(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
-    """The winning setting of each model as rows (model, param, value)."""
-    rows = [(o.name, p, str(v)) for o in outcomes if o.status == "trained" for p, v in o.setting.items()]
-    return spark.createDataFrame(rows, "model string, param string, value string")
+    """The winning setting of each model and its other parameters as rows (model, param, value, tuned)."""
+    rows = [
+        (o.name, p, str(v), p in o.setting)
+        for o in outcomes
+        if o.status == "trained"
+        for p, v in (parameters_of(o.model) | o.setting).items()
+    ]
+    return spark.createDataFrame(rows, "model string, param string, value string, tuned boolean")
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:

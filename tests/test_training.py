@@ -49,6 +49,20 @@ def test_classification_leaderboard(spark, known):
     params = {(r["model"], r["param"]): r["value"] for r in T.best_params(spark, outcomes).collect()}
     assert params[("DecisionTreeClassifier", "maxDepth")] == "6"
     assert params[("LogisticRegression", "regParam")] == "0.01"
+    # those that were not tuned are told as well
+    assert params[("LogisticRegression", "maxIter")] == "100" and params[("NaiveBayes", "smoothing")] == "1.0"
+    tuned = {(r["model"], r["param"]) for r in T.best_params(spark, outcomes).filter("tuned").collect()}
+    assert tuned == {("DecisionTreeClassifier", "maxDepth"), ("LogisticRegression", "regParam"), ("GBTClassifier", "maxIter")}
+
+
+def test_parameters_of_models_trained_together(known):
+    rows = known.select("id", "a", "b", "price")
+    data = T.prepare(rows, instructions("regression", "price"), ["id"])
+    found = T.parameters_of(T.train_one(data, "XGBRegressor", {"maxIter": [4]}).model)
+    assert found["rounds"] == 4 and found["penalty"] == 1.0 and "fold" not in found
+    data = T.prepare(known.select("id", "a", "b", "size"), instructions("classification", "size"), ["id"])
+    found = T.parameters_of(T.train_one(data, "DecisionTreeClassifier", {"splitter": ["random"]}).model)
+    assert found["splitter"] == "random" and found["impurity"] == "gini" and found["depth"] == 5
 
 
 def test_three_classes_skip_boosting_and_go_on(spark, known):
