@@ -6,6 +6,11 @@ distance have one in common, and each looks up, for every length it may be compa
 substrings that can meet a segment of that length. Candidates whose letters allow it are verified by edit
 distance, with a band of 2 * edits + 1 cells kept in the bits of a number and moved along the diagonal.
 
+A segment with one or two owners gives its candidates in the same join. Lines that meet at a segment of more
+owners make no pairs there: they are cut into 4, 8, 16, ... parts, and meet at all but the parts that hold an
+edit, until few owners are left or the parts are single characters. What is equal but for two characters is
+within two edits, so the earliest owner speaks for all.
+
 What moves are hashes, places and, once, the texts: places of lines, segments and candidates are joined
 back to the texts by document.
 """
@@ -17,44 +22,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import let, whole_text
+from tablelens.session import cut_lineage
 
 #: Letters counted to tell lines apart early.
 LETTERS = "etaonirshd"
 #: A document: its doc_id, null as the least number there is, and the hash of its text.
 KEY = ["doc", "digest"]
 NAMELESS = -(1 << 63)
+#: Owners of a segment up to which all are compared: the least and the greatest id are all of them.
+FEW = 2
 #: Columns added by `dedup_lines`; columns of these names are replaced.
 RESULTS = ("kept", "n_lines", "n_copies", "n_near")
 
 
-def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0) of a line; the last ones take what is left over."""
-    parts = edits + 1
-    short, over = F.floor(length / parts), length % parts
-    start = short * i + F.greatest(F.lit(0), over - (parts - i)) + 1
-    return start.cast("int"), (short + F.when(over >= parts - i, 1).otherwise(0)).cast("int")
-
+def _keys(lines: DataFrame, ways: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """(id, line, n) -> (id, key): for each way (segment i, less, shift) the piece of the line at which segment i of a line
+    `less` characters shorter would stand, moved by `shift`. Pieces reaching beyond the line give nothing.
 
-def _key(i: int, length: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), part)
+    Segments are cut as evenly as can be, the last ones take what is left over.
+    """
+    fields = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in ways))
+    parts, i = edits + 1, F.col("i")
+    spread = lines.select("id", "line", "n", F.explode(fields).alias("x")).select("id", "line", "n", "x.*")
+    cut = spread.withColumn("of", F.col("n") - F.col("less"))
+    cut = cut.withColumns({"short": F.floor(F.col("of") / parts).cast("int"), "even": parts - F.col("of") % parts})
+    cut = cut.withColumn("start", F.col("short") * i + F.greatest(F.lit(0), i - F.col("even")) + F.col("shift") + 1)
+    cut = cut.withColumn("size", F.col("short") + (i >= F.col("even")).cast("int"))
+    inside = cut.filter("start >= 1 and start + size - 1 <= n")
+    return inside.select("id", F.xxhash64("i", "of", F.substr("line", F.col("start"), F.col("size"))).alias("key"))
 
 
-def segments(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the segments of a line of n characters: number, the line's length, and the segment."""
-    cuts = [_cut(n, i, edits) for i in range(edits + 1)]
-    return F.array(*(_key(i, n, F.substr(line, start, size)) for i, (start, size) in enumerate(cuts)))
+def segments(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, key): number, the line's length, and the segment, for each of the edits + 1 segments."""
+    return _keys(lines, [(i, 0, 0) for i in range(edits + 1)], edits)
 
 
-def probes(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings of a line of n characters that can meet a segment of one as long or up to `edits` shorter."""
-    keys = []
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, key): keys of the substrings that can meet a segment of a line as long or up to `edits` shorter."""
+    ways = []
     for less in range(edits + 1):
         for i in range(edits + 1):
-            start, size = _cut(n - less, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                keys.append(F.when(inside, _key(i, n - less, F.substr(line, start + shift, size))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+            ways += [(i, less, shift) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return _keys(lines, ways, edits)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -108,33 +117,110 @@ def _blank(line: Column) -> Column:
 
 
 def line_id(line: Column) -> Column:
-    """A long for a line: in the low bits how often each of LETTERS stands in it, modulo 8, above them a hash."""
-    n = F.length(line)
-    counts = [(n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8 * (1 << 3 * i) for i, c in enumerate(LETTERS)]
-    bag = sum(counts[1:], counts[0]).cast("long")
-    return F.xxhash64(line).bitwiseAND(F.lit(-(1 << 3 * len(LETTERS)))).bitwiseOR(bag)
+    return F.xxhash64(line)
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """By how much the letters of the lines of two ids differ at least; an edit changes that by two at most."""
-    gaps = []
-    for i in range(len(LETTERS)):
-        gap = (F.shiftright(a, 3 * i).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * i)).bitwiseAND(F.lit(7))
-        gaps.append(F.least(gap, 8 - gap))
+    """By how much the counts of LETTERS in two lines differ; an edit changes that by two at most."""
+
+    def count(line: Column, letter: str) -> Column:
+        return F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+
+    gaps = [F.abs(count(a, c) - count(b, c)) for c in LETTERS]
     return sum(gaps[1:], gaps[0])
 
 
-def near_links(lines: DataFrame, edits: int) -> DataFrame:
-    """(id, line, n) of distinct lines of n characters -> distinct candidate pairs of ids (a, b), a < b.
+def near_links(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, line, n) of distinct lines of n characters -> candidates, crowded.
+
+    candidates: distinct pairs of ids (a, b), a < b, that meet at a segment with one or two owners; crowded:
+    ids of the lines that meet at a segment of more. No line gives more than two rows for each of its probes.
+    """
+    owners = segments(lines, edits).groupBy("key").agg(F.count("*").alias("owners"), F.min("id").alias("low"), F.max("id").alias("high"))
+    asked = probes(lines, edits)
+    alone = (F.col("low") == F.col("id")) & (F.col("high") == F.col("id"))
+    met = cut_lineage(asked.join(owners, "key").filter(~alone).select("id", "owners", "low", "high"))
+    few = met.filter(f"owners <= {FEW}").select("id", F.explode(F.array("low", "high")).alias("other")).filter("id != other")
+    pairs = few.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return pairs, met.filter(f"owners > {FEW}").select("id").distinct()
+
+
+def _damage(edits: int) -> Column:
+    """Where and how lines may differ, in four parts: the parts (p, q) that hold edits, shifts behind p and behind q."""
+    whole = range(-edits, edits + 1)
+    one = [(p, p, 0, t) for p in range(4) for t in whole]
+    two = [(p, q, s, t) for p in range(4) for q in range(p + 1, 4) for s in whole for t in whole if abs(s) + abs(t - s) <= edits]
+    return F.array(*(_state(*map(F.lit, x)) for x in one + two))
+
 
-    Lines that share a segment but differ too much in their letters are told apart within the join.
+def _state(p: Column, q: Column, s: Column, t: Column) -> Column:
+    named = {"p": p, "q": q, "s": s, "t": t}
+    return F.struct(*(c.cast("long" if x in "pq" else "int").alias(x) for x, c in named.items()))
+
+
+def _children(x: Column, edits: int) -> Column:
+    """The same with each part halved."""
+    p, q, s, t = (x[c] for c in "pqst")
+    apart = F.array(*(_state(2 * p + i, 2 * q + j, s, t) for i in (0, 1) for j in (0, 1)))
+    both = [(i, i, F.lit(0)) for i in (0, 1)] + [(0, 1, F.lit(e)) for e in range(-edits, edits + 1)]
+    same = F.array(*(_state(2 * p + i, 2 * q + j, e, t) for i, j, e in both))
+    same = F.filter(same, lambda y: (y["p"] == y["q"]) | (F.abs(y["s"]) + F.abs(t - y["s"]) <= edits))
+    return F.when(p == q, same).otherwise(apart)
+
+
+def crowded_links(lines: DataFrame, edits: int) -> DataFrame:
+    """(at, line, n) of distinct lines -> candidate pairs (at_a, at_b), at_a < at_b, for one or two edits.
+
+    Each line that has an earlier one within `edits` edits gets a candidate that is. An owner's parts are cut by
+    its own length, those of the line that asks by the owner's. Only owners that stand earlier are asked. A line
+    makes at most two pairs at what it shares with few owners; of owners in one place that differ in single
+    characters there are no more than pairs of characters. For more than two edits all that share a segment meet.
     """
-    line, n = F.col("line"), F.col("n")
-    owned = lines.select(F.col("id").alias("a"), F.explode(segments(line, n, edits)).alias("key"))
-    asked = lines.select(F.col("id").alias("b"), F.explode(probes(line, n, edits)).alias("key_b"))
-    like = (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= 2 * edits)
-    met = owned.join(asked, (F.col("key") == F.col("key_b")) & like)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if edits > 2:
+        named = lines.select(F.col("at").alias("id"), "line", "n")
+        owned, asked = segments(named, edits).withColumnRenamed("id", "a"), probes(named, edits).withColumnRenamed("id", "b")
+        met = asked.join(owned, "key").filter("a != b")
+        return met.select(F.least("a", "b").alias("at_a"), F.greatest("a", "b").alias("at_b")).distinct()
+    states, parts, found = lines.select("at", F.explode(_damage(edits)).alias("x")), 4, []
+    while True:
+        held = lines.join(states, "at").withColumn("own", F.col("n") - F.col("x.t"))
+        cut = {c: F.floor(F.col("own") * e / parts).cast("int") for c, e in _ends().items()}
+        held = held.select("*", *(c.alias(name) for name, c in cut.items()))
+        p, q, s, t = (F.col(f"x.{c}") for c in "pqst")
+        first = F.when(p == q, t).otherwise(s)
+        fits = (F.col("own") > 0) & (F.col("p1") + first >= F.col("p0")) & (F.col("q1") + t >= F.col("q0") + F.when(p == q, 0).otherwise(s))
+        rest = (
+            F.substr("line", F.lit(1), F.col("p0")),
+            F.when(p < q, F.substr(F.col("line"), F.col("p1") + s + 1, F.col("q0") - F.col("p1"))).otherwise(""),
+            F.substr(F.col("line"), F.col("q1") + t + 1, F.greatest(F.col("own") - F.col("q1"), F.lit(0))),
+        )
+        keyed = held.filter(fits).select("at", "x", "own", F.xxhash64(F.lit(parts), "own", p, q, *rest).alias("key"))
+        keyed = cut_lineage(keyed.withColumn("owner", (F.col("x.s") == 0) & (F.col("x.t") == 0)))
+        owners = keyed.filter("owner").groupBy("key")
+        owners = owners.agg(F.count("*").alias("owners"), F.min("at").alias("low"), F.max("at").alias("high"))
+        met = cut_lineage(keyed.join(owners, "key").filter("low < at or (owner and owners > 1)"))
+        few, many = met.filter(f"owners <= {FEW} and low < at"), met.filter(f"owners > {FEW}")
+        pairs = few.select(F.explode(F.array("low", "high")).alias("at_a"), F.col("at").alias("at_b")).filter("at_a < at_b")
+        single = many.filter(F.col("own") <= parts)
+        stars = single.filter("owner and low < at").select(F.col("low").alias("at_a"), F.col("at").alias("at_b"))
+        named = single.filter("owner").select("key", F.col("at").alias("at_a"))
+        moved = single.filter("not owner").select("key", F.col("at").alias("at_b")).join(named, "key").filter("at_a < at_b")
+        found.append(pairs.union(stars).union(moved.select("at_a", "at_b")))
+        more = many.filter(F.col("own") > parts)
+        if more.isEmpty():
+            break
+        states = more.select("at", F.explode(_children(F.col("x"), edits)).alias("x")).distinct()
+        parts *= 2
+    links = found[0]
+    for x in found[1:]:
+        links = links.union(x)
+    return links.distinct()
+
+
+def _ends() -> dict[str, Column]:
+    """Ends of the parts that hold edits, in parts."""
+    p, q = F.col("x.p"), F.col("x.q")
+    return {"p0": p, "p1": p + 1, "q0": q, "q1": q + 1}
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
@@ -153,13 +239,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = F.struct(*KEY, "place").alias("at")
     hashed = lines.filter(~_blank(F.col("line"))).select(line_id(F.col("line")).alias("id"), F.xxhash64("line", F.lit(1)).alias("more"), at)
-    firsts = hashed.groupBy("id", "more").agg(F.min("at").alias("at")).select("id", "at")
+    firsts = cut_lineage(hashed.groupBy("id", "more").agg(F.min("at").alias("at")).select("id", "at"))
     placed = firsts.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("first"))
     once = W.partitionBy(*KEY).orderBy(*KEY)
     single = _with_places(texts, placed, "first").withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
     fresh = single.select(F.explode(_picked(F.col("first"))).alias("line")).withColumn("n", F.length("line"))
-    pairs = near_links(fresh.filter(F.col("n") >= least).select(line_id(F.col("line")).alias("id"), "line", "n"), edits)
-    near = _verified(pairs, firsts, texts, edits)
+    pairs, crowded = near_links(fresh.filter(F.col("n") >= least).select(line_id(F.col("line")).alias("id"), "line", "n"), edits)
+    a, b = (firsts.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}")) for x in "ab")
+    located = pairs.join(a, "a").join(b, "b").select(F.least("at_a", "at_b").alias("at_a"), F.greatest("at_a", "at_b").alias("at_b"))
+    if not crowded.isEmpty():
+        meeting = _lines_at(texts, firsts.join(crowded, "id").select("at")).withColumn("n", F.length("line"))
+        located = located.union(crowded_links(cut_lineage(meeting), edits)).distinct()
+    near = _verified(located, texts, edits)
     late = near.select("late.*").distinct().groupBy(*KEY).agg(F.collect_list("place").alias("near"))
     nothing = F.array().cast("array<int>")
     told = _with_places(single, late, "near")
@@ -184,17 +275,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, least: int
     return rows.select(*kept, "x.*")
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs of line ids -> late: the place of the later line of each pair within `edits` edits."""
-    a, b = (firsts.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}")) for x in "ab")
-    located = pairs.join(a, "a").join(b, "b").select("at_a", "at_b")
+def _lines_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(at) distinct places -> (at, line)."""
+    once = texts.join(places.select("at", "at.*"), KEY)
+    return once.select("at", F.get(F.split("text", "\n"), F.col("place")).alias("line")).dropDuplicates(["at"])
+
+
+def _verified(located: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Distinct pairs of places, at_a before at_b -> late: at_b of each pair within `edits` edits."""
     sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"at_{x}").alias("at")) for x in "ab"))
     wanted = located.select("at_a", "at_b", F.explode(sides).alias("x")).select("at_a", "at_b", "x.side", "x.at.*")
     found = texts.join(wanted, KEY).select("at_a", "at_b", "side", F.get(F.split("text", "\n"), F.col("place")).alias("line"))
     lines = found.groupBy("at_a", "at_b").agg(*(F.max(F.when(F.col("side") == x, F.col("line"))).alias(x) for x in "ab"))
-    close = F.abs(F.length("a") - F.length("b")) <= edits
+    close = (F.abs(F.length("a") - F.length("b")) <= edits) & (_apart(F.col("a"), F.col("b")) <= 2 * edits)
     near = lines.filter(F.when(close, banded_distance(F.col("a"), F.col("b"), edits) <= edits).otherwise(False))
-    return near.select(F.greatest("at_a", "at_b").alias("late"))
+    return near.select(F.col("at_b").alias("late"))
 
 
 def _with_places(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
