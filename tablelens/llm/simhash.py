@@ -18,7 +18,7 @@ little: sets that share a band of MinHash values are compared themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -305,21 +305,20 @@ def _meetings(crowds: DataFrame, linked: DataFrame, sets: DataFrame, similarity:
     return met.join(sets, "node").groupBy("key", "x", "y").applyInPandas(forest, "a long, b long")
 
 
-def jaccard_links(nodes: DataFrame, sets: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+def jaccard_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, few: int = FEW) -> DataFrame:
     """Links (a, b) with the components of "sets have that Jaccard similarity", among pairs that share a band.
 
-    nodes: (node, size, row, keys), one for each set; sets: (row, words). Each link is verified by the sets
-    themselves. Under bands with up to `few` members all pairs are; under fuller ones the least member and
+    nodes: (node, size, keys), one for each set; sets: distinct (node) -> (node, words), asked for the sets under
+    shared bands only. Each link is verified by the sets themselves. Under bands with up to `few` members all pairs are; under fuller ones the least member and
     each other, and then those in different components meet.
     """
     of_key = W.partitionBy("key")
-    spread = nodes.select("node", "size", "row", F.explode("keys").alias("key"))
+    spread = nodes.select("node", "size", F.explode("keys").alias("key"))
     counted = spread.withColumns(
         {"n": F.count("*").over(of_key), "least": F.min(F.struct("node", "size")).over(of_key)}
     )
     shared = cut_lineage(counted.filter("n > 1"))
-    wanted = shared.select("row", "node").distinct()
-    held = cut_lineage(wanted.join(sets, "row").select("node", "words"))
+    held = cut_lineage(sets(shared.select("node").distinct()).select("node", "words"))
     small, crowds = shared.filter(F.col("n") <= few), shared.filter(F.col("n") > few)
     left = small.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
     right = small.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"))
@@ -341,13 +340,22 @@ def similar_documents(docs: DataFrame, text: str = "text", shingle: int = 5, sim
     and they share a band of MinHash values, as nearly all pairs at 0.8 do. Rows, nulls and empty tables are
     treated as by `near_duplicates`. `node` is a hash of the set.
     """
-    made = docs.select("doc_id", shingle_sets(F.col(text).cast("string"), shingle).alias("made"))
-    made = made.select("doc_id", "made.*").withColumns({"node": F.xxhash64("words"), "row": F.monotonically_increasing_id()})
-    marked = cut_lineage(made)
-    one = F.min_by(F.struct("row", F.size("words").alias("size"), "keys"), "row").alias("one")
-    nodes = marked.select("doc_id", "node", "row", "words", "keys").groupBy("node").agg(F.min("doc_id").alias("first"), one)
-    nodes = cut_lineage(nodes.select("node", "first", "one.*"))
-    links = jaccard_links(nodes, marked.select("row", "words"), similarity)
+    value = F.col(text).cast("string")
+    named = docs.select("doc_id", F.xxhash64(value).alias("digest"), value.alias("text"))
+    made = named.select("doc_id", "digest", shingle_sets(F.col("text"), shingle).alias("made"))
+    made = made.select("doc_id", "digest", F.xxhash64("made.words").alias("node"), F.size("made.words").alias("size"), "made.keys")
+    marked = cut_lineage(made)  # sets themselves are not written: those under shared bands are made again from their texts
+    one = F.min(F.struct("doc_id", "digest", "size", "keys")).alias("one")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), one)
+    nodes = cut_lineage(nodes.select("node", "first", F.col("one.doc_id").alias("of"), "one.digest", "one.size", "one.keys"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        at = cut_lineage(nodes.join(wanted, "node").select("node", "of", F.col("digest").alias("digest_of")))
+        texts = named.join(at, (F.col("digest") == F.col("digest_of")) & F.col("doc_id").eqNullSafe(F.col("of")))
+        texts = texts.select("node", "text").dropDuplicates(["node"])
+        return texts.select("node", shingle_sets(F.col("text"), shingle)["words"].alias("words"))
+
+    links = jaccard_links(nodes, sets, similarity)
     return _grouped(marked.select("doc_id", "node"), nodes.select("node", "first"), links)
 
 
