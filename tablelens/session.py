@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Lists that note the folders cut_lineage writes, innermost scope last.
+_noting: list[list[str]] = []
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tablelens") -> SparkSession:
@@ -66,5 +70,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     What follows neither repeats the work before nor depends on an executor that may be lost.
     """
     folder = work_dir(df.sparkSession, "cut")
+    for noted in _noting[-1:]:
+        noted.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def cut_folders() -> Iterator[list[str]]:
+    """The folders that cut_lineage writes within this scope."""
+    noted: list[str] = []
+    _noting.append(noted)
+    try:
+        yield noted
+    finally:
+        _noting.pop()
+
+
+def discard(spark: SparkSession, folders: Iterable[str], but: DataFrame | None = None) -> list[str]:
+    """Delete folders, save those that `but` still reads; returns the ones that stay. A folder that is gone is no error."""
+    read = but.inputFiles() if but is not None else []
+    stay = [f for f in folders if any(f"/{Path(f).name}/" in x for x in read)]
+    for folder in set(folders) - set(stay):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return stay
