@@ -49,6 +49,23 @@ def chart_replies(s, d):
     )
 
 
+def literal_replies(s, d):
+    """Chart replies in other literal forms: a tuple and a lone text; quoted numbers and a comment; a bad entry; not closed."""
+    lang = F.col("lang")
+    return _documents(s, d).select(
+        "response_id",
+        F.concat(
+            "text",
+            F.lit("\nresult = {\n"),
+            F.when(lang == "en", F.concat(F.lit("  1: {'col': ('"), "source", F.lit("', 'it\\'s {x}'), 'chart': 'bar', 'title': {'a': [1, 2]}},\n")))
+            .when(lang == "fr", F.concat(F.lit("  '7': {\"col\": [\"q\" '"), "source", F.lit("', 3,], # don't\n 'chart': {'pie'}},\n")))
+            .otherwise(F.lit("  1: {'col' ['a'], 'chart': ['bar']},\n")),
+            F.lit("  2: {'chart': ['box', \"line\"]}\n"),
+            F.when(lang == "de", "").otherwise("}\n"),
+        ).alias("text"),
+    )
+
+
 def _labelled(s, d):
     """Documents with a flag: labelled ones reply in JSON, the others in free text."""
     labels = table(s, d, "labels").select(F.col("doc_id").alias("response_id"), "quality")
@@ -115,6 +132,11 @@ def _chart_specs(s, d):
     )
 
 
+def _chart_entries(s, d):
+    entries = X.read_chart_specs(literal_replies(s, d))
+    return entries.withColumns({c: F.array_join(c, "|") for c in ("cols", "charts")})
+
+
 def _image_insights(s, d):
     return X.parse_insights(_all_replies(s, d)).filter("section = 'image'")
 
@@ -138,6 +160,7 @@ QUERIES = {
     "parse_instructions": _instructions,
     "normalize_instructions": _normalized,
     "parse_chart_specs": _chart_specs,
+    "read_chart_specs": _chart_entries,
     "chart_names": lambda s, d: X.chart_names(X.parse_chart_specs(chart_replies(s, d))),
     "parse_insights_json": lambda s, d: X.parse_insights_json(_all_replies(s, d)),
     "parse_insights_text": lambda s, d: X.parse_insights_text(_all_replies(s, d)),
@@ -185,6 +208,25 @@ def _spec_items(name_sql: list[str]) -> str:
     return union_sql([f"SELECT doc_id AS response_id, {n} FROM documents WHERE lang NOT IN ('de', 'es')" for n in name_sql])
 
 
+def _entry(where: str, entry: int | None, chart_id: int | None, cols: str, charts: str, status: str) -> str:
+    numbers = [f"CAST({'NULL' if n is None else n} AS INTEGER)" for n in (entry, chart_id)]
+    return (
+        f"SELECT doc_id AS response_id, {numbers[0]} AS entry, {numbers[1]} AS chart_id, {cols} AS cols, {charts} AS charts, "
+        f"'{status}' AS status FROM documents WHERE {where}"
+    )
+
+
+_LITERAL_ENTRIES = union_sql(
+    [
+        _entry("lang = 'en'", 1, 1, "source || '|it''s {x}'", "'bar'", "read"),
+        _entry("lang = 'fr'", 1, 7, "'q' || source || '|3'", "'pie'", "read"),
+        _entry("lang NOT IN ('en', 'fr', 'de')", 1, 1, _NONE, _NONE, "not understood"),
+        _entry("lang <> 'de'", 2, 2, "''", "'box|line'", "read"),
+        _entry("lang = 'de'", None, None, _NONE, _NONE, "not closed"),
+    ]
+)
+
+
 def _drawn(i: int, chart: str, name: str, label: str, measures: dict[str, str], rest: str) -> str:
     return union_sql(
         [
@@ -290,6 +332,7 @@ FROM documents""",
             "CAST(2 AS INTEGER) AS chart_id, 'n chars, all' AS cols, 'bar|pie' AS charts",
         ]
     ),
+    "read_chart_specs": _LITERAL_ENTRIES,
     "chart_names": _spec_items(
         [
             "CAST(1 AS INTEGER) AS chart_id, 'Boxplot' AS chart, '1_boxplot_' || source || '_' || lang || '.png' AS file_name",

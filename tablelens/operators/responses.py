@@ -43,41 +43,139 @@ def normalize_instructions(parsed: DataFrame) -> DataFrame:
     )
 
 
-# A chart reply is two levels deep: {number: {'col': [...], 'chart': [...]}, ...}.
-_TEXT = r"""(?:'[^'\n]*+'|"[^"\n]*+")"""
-_LIST = rf"\[\s*+(?:{_TEXT}\s*+(?:,\s*+{_TEXT}\s*+)*+(?:,\s*+)?+)?+\]"
-_FIELD = rf"""(?:'(?:col|chart)'|"(?:col|chart)")\s*+:\s*+{_LIST}\s*+"""
-_NUMBER = r"""["']?+\s*+(\d+)\s*+["']?+"""
-_BODY = rf"\{{\s*+(?:{_FIELD}(?:,\s*+{_FIELD})?+(?:,\s*+)?+)?+\}}"
-_ENTRY = rf"{_NUMBER}\s*+:\s*+({_BODY})\s*+"
-_ENTRY_ONLY = _ENTRY.replace(r"(\d+)", r"\d+").replace(f"({_BODY})", _BODY)
-_BLOCK = r"result\s*=\s*\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
+# A chart reply is a literal dictionary: {number: {'col': [...], 'chart': [...]}, ...}. Texts are first written as hex
+# digits between two marks, so that the brackets, commas and colons left are those of the literal itself.
+_QUOTED = "|".join(
+    [
+        r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''",
+        r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""',
+        r"'(?:[^'\\\n]|\\[\s\S])*+'",
+        r'"(?:[^"\\\n]|\\[\s\S])*+"',
+    ]
+)
+_TEXT_OR_COMMENT = rf"{_QUOTED}|#[^\n]*+"
+_OPEN, _CLOSE, _HELD = "\x01", "\x02", "\x03"
+_ATOM = rf"(?:(?:{_OPEN}[0-9A-F]*+{_CLOSE}\s*+)++|[+-]?+\d[\w.+-]*+|True|False|None)"
+_ITEMS = rf"\s*+(?:{_ATOM}\s*+(?:,\s*+{_ATOM}\s*+)*+(?:,\s*+)?+)?+"
+_LIST = rf"(?:\[{_ITEMS}\]|\({_ITEMS}\)|\{{{_ITEMS}\}}|{_ATOM})"
+_NUMBER = rf"^\s*+(?:{_OPEN}([0-9A-F]*+){_CLOSE}|([+-]?+\d++))\s*+:\s*+\{{[\s\S]*\}}\s*+$"
+#: Brackets may stand within brackets this many times.
+LITERAL_DEPTH = 8
+
+
+def _bracketed(depth: int) -> str:
+    """A bracket with what it holds, for `depth` levels of brackets."""
+    pattern = r"[\[({][^\[\](){}]*+[\])}]"
+    for _ in range(depth - 1):
+        pattern = rf"[\[({{](?:[^\[\](){{}}]++|{pattern})*+[\])}}]"
+    return pattern
+
+
+_BRACKETED = _bracketed(LITERAL_DEPTH)
+_PART = rf"(?:[^,\[\](){{}}]++|{_BRACKETED})++"
+
+
+def _hex_texts(literal: Column) -> Column:
+    """The literal with its texts as hex digits between marks, comments left out."""
+    texts = F.regexp_extract_all(literal, F.lit(_TEXT_OR_COMMENT), F.lit(0))
+    between = F.split(literal, _TEXT_OR_COMMENT, -1)
+
+    def coded(found: Column) -> Column:
+        width = F.when(found.rlike(r"^(?:'''|\"\"\")[\s\S]*(?:'''|\"\"\")$") & (F.length(found) >= 6), 3).otherwise(1)
+        inner = F.substr(found, width + 1, F.length(found) - 2 * width)
+        return F.when(found.startswith("#"), F.lit(" ")).otherwise(F.concat(F.lit(_OPEN), F.hex(F.encode(inner, "UTF-8")), F.lit(_CLOSE)))
+
+    return F.array_join(F.zip_with(between, F.transform(texts, coded), lambda b, t: F.concat(b, F.coalesce(t, F.lit("")))), "")
+
+
+def _plain(digits: Column) -> Column:
+    """The text behind hex digits, with backslashes before quotes, backslashes, n, t and line ends undone."""
+    text = F.decode(F.unhex(digits), "UTF-8")
+    for pattern, to in [(r"\\\\", _HELD), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\\n", ""), (r"\\(['\"])", "$1"), (_HELD, r"\\")]:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def _literal_items(value: Column) -> Column:
+    """Items of a list, tuple or set, or the one atom: texts without quotes, anything else as it is written."""
+    atoms = F.regexp_extract_all(value, F.lit(_ATOM), F.lit(0))
+    marks = rf"[{_OPEN}{_CLOSE}\s]"
+    return F.transform(
+        atoms, lambda a: F.when(a.startswith(_OPEN), _plain(F.regexp_replace(a, marks, ""))).otherwise(F.trim(a))
+    )
+
+
+def _chart_entry(part: Column) -> Column:
+    """(chart_id, cols, charts, written) of one `number: {...}`; cols and charts are null if it is not understood."""
+    coded, bare = F.regexp_extract(part, _NUMBER, 1), F.regexp_extract(part, _NUMBER, 2)
+    number = F.trim(F.when(coded != "", _plain(coded)).otherwise(bare)).try_cast("int")
+    body = F.regexp_extract(part, r"\{([\s\S]*)\}\s*$", 1)
+    fields = F.regexp_extract_all(body, F.lit(_PART), F.lit(0))
+    field = rf"^\s*+{_ATOM}\s*+:\s*+(?:{_LIST}|{_BRACKETED})\s*+$"
+    sound = number.isNotNull() & ~F.exists(
+        fields, lambda f: ~f.rlike(field) & (F.trim(F.regexp_replace(f, r"\s", "")) != "")
+    ) & ~F.regexp_replace(body, _BRACKETED, "0").rlike(r"^\s*,|,\s*,")
+
+    def named(name: str) -> Column:
+        key = rf"^\s*+{_OPEN}{name.encode().hex().upper()}{_CLOSE}\s*+:\s*+"
+        last = F.try_element_at(F.filter(fields, lambda f: f.rlike(key)), F.lit(-1))
+        value = F.regexp_replace(last, key, "")
+        items = F.when(value.rlike(rf"^{_LIST}\s*+$"), _literal_items(value))
+        return F.when(sound, F.when(last.isNull(), F.array().cast("array<string>")).otherwise(items))
+
+    return F.struct(number.alias("chart_id"), named("col").alias("cols"), named("chart").alias("charts"), part.alias("written"))
+
+
+def _chart_entries(replies: DataFrame) -> DataFrame:
+    """(response_id, block, entries): the first `result = {...}` of each reply, up to its closing bracket, in parts."""
+    literal = F.regexp_extract("text", r"result\s*=\s*(\{[\s\S]*)", 1)
+    found = replies.select("response_id", F.when(literal != "", literal).alias("literal"))
+    coded = found.select("response_id", "literal", _hex_texts(F.col("literal")).alias("coded"))
+    blocks = coded.select("response_id", "literal", F.regexp_extract("coded", rf"^({_BRACKETED})", 1).alias("block"))
+    parts = F.filter(
+        F.regexp_extract_all(F.regexp_extract("block", r"^\{([\s\S]*)\}$", 1), F.lit(_PART), F.lit(0)),
+        lambda p: F.regexp_replace(p, r"\s", "") != "",
+    )
+    split = blocks.select("response_id", "literal", "block", parts.alias("parts"))
+    return split.select("response_id", "literal", "block", F.transform("parts", _chart_entry).alias("entries"))
+
+
+def _understood(entry: Column) -> Column:
+    return entry["cols"].isNotNull() & entry["charts"].isNotNull()
 
 
 def parse_chart_specs(replies: DataFrame) -> DataFrame:
     """(response_id, chart_id, cols, charts): one row per entry of `result = {...}`.
 
-    A reply whose braces do not balance or whose block is not in the format gives no rows.
+    Lists may be tuples or sets, one text stands for a list of one, other fields are passed over, and of entries
+    with one number the last counts. A reply whose brackets do not balance, or with an entry that is not
+    understood, gives no rows; `read_chart_specs` keeps the others.
     """
-    block = F.regexp_extract("text", _BLOCK, 1)
-    valid = block.rlike(rf"^\s*+(?:{_ENTRY_ONLY}(?:,\s*+{_ENTRY_ONLY})*+(?:,\s*+)?+)?+$")
-    blocks = replies.select("response_id", F.when(valid, block).alias("block"))
-    entries = blocks.select(
+    read = _chart_entries(replies).filter(~F.exists("entries", lambda e: ~_understood(e)))
+    last = F.filter(
+        "entries",
+        lambda e, i: i == F.size("entries") - F.array_position(F.reverse(F.col("entries.chart_id")), e["chart_id"]).cast("int"),
+    )
+    return read.select("response_id", F.explode(last).alias("e")).select("response_id", "e.chart_id", "e.cols", "e.charts")
+
+
+def read_chart_specs(replies: DataFrame) -> DataFrame:
+    """(response_id, entry, chart_id, cols, charts, status): every entry by its place, good or bad.
+
+    Status is `read`, `not understood` (chart_id only if it can be told), or, with no entry, `no result`,
+    `not closed` or `empty` for the whole reply. A bad entry loses itself alone.
+    """
+    status = F.when(F.col("literal").isNull(), "no result").when(F.col("block") == "", "not closed").otherwise("empty")
+    rows = _chart_entries(replies).select("response_id", status.alias("whole"), F.posexplode_outer("entries").alias("entry", "e"))
+    sound = _understood(F.col("e"))
+    return rows.select(
         "response_id",
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all("block", F.lit(_ENTRY), F.lit(1)).alias("chart_id"),
-                F.regexp_extract_all("block", F.lit(_ENTRY), F.lit(2)).alias("body"),
-            )
-        ).alias("entry"),
-    ).select("response_id", F.col("entry.chart_id").cast("int").alias("chart_id"), "entry.body")
-
-    def field(name: str) -> Column:
-        items = F.regexp_extract("body", rf"""["']{name}["']\s*+:\s*+({_LIST})""", 1)
-        quoted_items = F.regexp_extract_all(items, F.lit(_TEXT), F.lit(0))
-        return F.transform(quoted_items, lambda v: v.substr(F.lit(2), F.length(v) - 2))
-
-    return entries.select("response_id", "chart_id", field("col").alias("cols"), field("chart").alias("charts"))
+        (F.col("entry") + 1).alias("entry"),
+        "e.chart_id",
+        F.when(sound, F.col("e.cols")).alias("cols"),
+        F.when(sound, F.col("e.charts")).alias("charts"),
+        F.when(F.col("entry").isNull(), F.col("whole")).when(sound, "read").otherwise("not understood").alias("status"),
+    )
 
 
 def _json_sections(text: Column) -> Column:

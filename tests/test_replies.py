@@ -1,3 +1,4 @@
+import ast
 import json
 
 import pytest
@@ -72,6 +73,37 @@ def test_many_chart_entries(spark):
     assert len(specs(spark, "result = {" + body + "}")) == 500
 
 
+@pytest.mark.parametrize(
+    "literal",
+    [
+        "{1: {'col': ('a', 'b'), 'chart': ['bar']}}",
+        "{'3': {'chart': [\"pie\"], 'col': ['it\\'s {x}', 'a' 'b', '}', '#', ','], 'title': {'deep': [1, (2, {3: 4})]}}}",
+        "{1: {'col': ['a'], # don't stop\n 'chart': ['bar', ],}, # }\n 2: {'col': [], 'chart': ['heatmap']},}",
+        "{ 1 :{'col':[\"\"\"x\ny\"\"\", '''it's'''],'chart':['bar']} , +2 : { 'chart' : [ 'box' ] } }",
+        "{1: {'col': ['tab\\there', 'back\\\\nslash', 'é ü 漢'], 'chart': ['bar']}, ' 4 ': {}}",
+        "{1: {'col': ['old'], 'chart': ['bar']}, 1: {'col': ['new'], 'col': ['newest'], 'chart': ['pie']}}",
+    ],
+)
+def test_chart_replies_of_any_literal_form(spark, literal):
+    wanted = {int(k): v for k, v in ast.literal_eval(literal).items()}
+    got = specs(spark, f"It's this: result = {literal}\nThat's all: }} ] it's done")
+    assert got == [(0, k, list(v.get("col", [])), list(v.get("chart", []))) for k, v in sorted(wanted.items())]
+
+
+def test_a_bad_entry_loses_itself_alone(spark):
+    bad = ["1: {'col' ['a'], 'chart': ['bar']}", "x: {'col': ['a']}", "3: ['bar']", "4: {'col': [['a']], 'chart': ['bar']}",
+           "5: {'col': ['a'],, 'chart': ['bar']}", "6: {'col': [a], 'chart': ['bar']}"]
+    texts = [f"result = {{{b}, 9: {{'col': 'lone', 'chart': ('bar',)}}}}" for b in bad]
+    texts += ["result = {1: {'col': ['a']}", "nothing", "result = {}", None]
+    rows = X.read_chart_specs(replies(spark, *texts)).orderBy("response_id", "entry").collect()
+    by_reply = {i: [(r["entry"], r["status"], r["cols"]) for r in rows if r["response_id"] == i] for i in range(len(texts))}
+    for i in range(len(bad)):
+        assert by_reply[i] == [(1, "not understood", None), (2, "read", ["lone"])]
+    assert [by_reply[i][0][1] for i in range(len(bad), len(texts))] == ["not closed", "no result", "empty", "no result"]
+    assert specs(spark, *texts) == []
+    assert X.read_chart_specs(replies(spark, "x").limit(0)).count() == 0
+
+
 def rows_of(df):
     return [(r["section"], r["item"], r["key"], r["text"]) for r in df.collect()]
 
