@@ -104,7 +104,7 @@ SELECT e.bin, round(low + e.bin * width, 4) AS bin_start, round(low + (e.bin + 1
 FROM (SELECT unnest(range({bins})) AS bin) e CROSS JOIN r LEFT JOIN b ON b.bin = e.bin"""
 
 
-def _density_sql(c: str, group: str | None) -> str:
+def density_sql(c: str, group: str | None) -> str:
     g = f"{group} AS x" if group else "0 AS x"
     x = "x, " if group else ""
     return f"""WITH r AS (SELECT min({c}) AS low, max({c}) AS high FROM lineitem),
@@ -178,8 +178,8 @@ SQL = {
     "scatter_grid": f"SELECT {bin_sql('l_quantity')} AS x_bin, {bin_sql('l_extendedprice')} AS y_bin, count(*) AS n "
     "FROM lineitem GROUP BY 1, 2",
     "histogram": _histogram_sql("l_extendedprice"),
-    "kde_curve": _density_sql("l_extendedprice", None),
-    "violin_stats": _density_sql("l_extendedprice", "l_returnflag"),
+    "kde_curve": density_sql("l_extendedprice", None),
+    "violin_stats": density_sql("l_extendedprice", "l_returnflag"),
     "box_stats": f"WITH {GAPPY_SQL}, one AS (SELECT 0 AS x0, o_totalprice FROM known), {_box_sql('one', 'x0', 'o_totalprice')} "
     f"SELECT {_BOX_COLUMNS} FROM f",
     "box_stats_grouped": f"WITH {_box_sql('events', 'event_type', 'value')} SELECT x, {_BOX_COLUMNS} FROM f GROUP BY x",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablelens.catalog.chart_queries import bin_sql
+from tablelens.catalog.chart_queries import bin_sql, density_sql
 from tablelens.catalog.fixtures import GAPPY_COLUMNS, GAPPY_SQL, orders_gappy, rounded, table, union_sql
 from tablelens.operators import report as R
 from tablelens.operators import responses as X
@@ -152,6 +152,19 @@ DISPATCHED = [
 DISPATCH_COLUMNS = ["l_returnflag", "l_quantity", "l_extendedprice", "l_tax"]
 
 
+TEXT_DISPATCHED = [
+    ChartSpec(1, ("l_returnflag", "l_linestatus"), ("histogram", "scatter", "bar", "line")),
+    ChartSpec(2, ("l_tax", "l_returnflag"), ("box", "scatter", "bar", "line")),
+    ChartSpec(3, ("l_returnflag", "l_tax", "l_quantity"), ("pair-plot",)),
+    ChartSpec(4, ("l_linestatus",), ("boxplot", "pie", "pair-plot")),
+]
+
+
+def _dispatch_text(s, d):
+    columns = ["l_returnflag", "l_linestatus", "l_quantity", "l_tax"]
+    return rounded(chart_dispatch(table(s, d, "lineitem").select(*columns), TEXT_DISPATCHED), {"value": 4})
+
+
 def _dispatch(s, d):
     return rounded(chart_dispatch(table(s, d, "lineitem").select(*DISPATCH_COLUMNS), DISPATCHED), {"value": 4})
 
@@ -167,6 +180,7 @@ QUERIES = {
     "report_image_join": lambda s, d: R.attach_images(_image_insights(s, d), _images(s, d)),
     "report_table": lambda s, d: R.report_table(X.parse_insights(_all_replies(s, d)), _images(s, d)),
     "chart_dispatch": _dispatch,
+    "chart_dispatch_text": _dispatch_text,
     "profile_prompt": lambda s, d: profile_prompt(orders_gappy(s, d), ["o_orderkey"], problem_type="regression"),
 }
 
@@ -244,13 +258,12 @@ def _skipped(i: int, chart: str, name: str, message: str) -> str:
     )
 
 
-_HALF = "1.96::DOUBLE * stddev_samp(l_extendedprice) / sqrt(count(*))"
-_BAR_MEASURES = {
-    "n": "count(*)",
-    "mean": "avg(l_extendedprice)",
-    "low": f"avg(l_extendedprice) - {_HALF}",
-    "high": f"avg(l_extendedprice) + {_HALF}",
-}
+def _bar_measures(y: str) -> dict[str, str]:
+    half = f"1.96::DOUBLE * stddev_samp({y}) / sqrt(count(*))"
+    return {"n": "count(*)", "mean": f"avg({y})", "low": f"avg({y}) - {half}", "high": f"avg({y}) + {half}"}
+
+
+_BAR_MEASURES = _bar_measures("l_extendedprice")
 
 
 def _histogram_parts(c: str) -> str:
@@ -258,26 +271,36 @@ def _histogram_parts(c: str) -> str:
 CROSS JOIN (SELECT min({c}) AS low, (max({c}) - min({c})) / 30::DOUBLE AS width FROM lineitem) r
 LEFT JOIN (SELECT {bin_sql(c)} AS b, count(*) AS n FROM lineitem GROUP BY 1) h ON h.b = e.bin"""
     measures = {"bin_start": "low + e.bin * width", "bin_end": "low + (e.bin + 1) * width", "n": "coalesce(n, 0)"}
-    return _drawn(3, "histogram", f"3_histogram_l_quantity_l_tax_{c}.png", "CAST(e.bin AS VARCHAR)", measures, source)
+    name = f"3_histogram_l_quantity_l_tax_{c}.png"
+    curve = _drawn(3, "histogram", name, "CAST(point AS VARCHAR)", {"density": "density", "density_at": "value"},
+                   f"FROM ({density_sql(c, None)}) k")
+    return union_sql([_drawn(3, "histogram", name, "CAST(e.bin AS VARCHAR)", measures, source), curve])
+
+
+def _box_measures(y: str) -> dict[str, str]:
+    return {
+        "n": "count(*)",
+        "low_whisker": f"min(CASE WHEN inside THEN {y} END)",
+        "p25": "any_value(p25)",
+        "p50": "any_value(p50)",
+        "p75": "any_value(p75)",
+        "high_whisker": f"max(CASE WHEN inside THEN {y} END)",
+        "n_outliers": "count(CASE WHEN NOT inside THEN 1 END)",
+    }
+
+
+def _fenced(y: str) -> str:
+    return f"""q AS (SELECT l_returnflag AS x, quantile_cont({y}, 0.25) AS p25,
+  quantile_cont({y}, 0.5) AS p50, quantile_cont({y}, 0.75) AS p75 FROM lineitem GROUP BY 1),
+f AS (SELECT q.*, {y}, {y} BETWEEN p25 - 1.5::DOUBLE * (p75 - p25) AND p75 + 1.5::DOUBLE * (p75 - p25) AS inside
+  FROM lineitem JOIN q ON x = l_returnflag)
+"""
 
 
-_BOX_MEASURES = {
-    "n": "count(*)",
-    "low_whisker": "min(CASE WHEN inside THEN l_quantity END)",
-    "p25": "any_value(p25)",
-    "p50": "any_value(p50)",
-    "p75": "any_value(p75)",
-    "high_whisker": "max(CASE WHEN inside THEN l_quantity END)",
-    "n_outliers": "count(CASE WHEN NOT inside THEN 1 END)",
-}
 _NUMERIC = ["l_quantity", "l_extendedprice", "l_tax"]
-_DISPATCH = f"""WITH q AS (SELECT l_returnflag AS x, quantile_cont(l_quantity, 0.25) AS p25,
-  quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75 FROM lineitem GROUP BY 1),
-f AS (SELECT q.*, l_quantity, l_quantity BETWEEN p25 - 1.5::DOUBLE * (p75 - p25) AND p75 + 1.5::DOUBLE * (p75 - p25) AS inside
-  FROM lineitem JOIN q ON x = l_returnflag)
-""" + union_sql(
+_DISPATCH = f"WITH {_fenced('l_quantity')}" + union_sql(
     [
-        _drawn(1, "boxplot", "1_boxplot_l_returnflag_l_quantity.png", "x", _BOX_MEASURES, "FROM f GROUP BY x"),
+        _drawn(1, "boxplot", "1_boxplot_l_returnflag_l_quantity.png", "x", _box_measures("l_quantity"), "FROM f GROUP BY x"),
         _drawn(2, "bar", "2_bar_l_returnflag_l_extendedprice.png", "l_returnflag", _BAR_MEASURES, "FROM lineitem GROUP BY l_returnflag"),
         _drawn(2, "line-chart", "2_line-chart_l_returnflag_l_extendedprice.png", "l_returnflag", _BAR_MEASURES,
                "FROM lineitem GROUP BY l_returnflag"),
@@ -293,7 +316,7 @@ f AS (SELECT q.*, l_quantity, l_quantity BETWEEN p25 - 1.5::DOUBLE * (p75 - p25)
         _skipped(5, "bar", "5_bar_no_such_column_l_tax.png", "unknown columns: no such column"),
         _skipped(5, "confusion matrix", "5_confusion matrix_no_such_column_l_tax.png", "confusion matrix needs labels and predictions"),
         _skipped(5, "roc curve", "5_roc curve_no_such_column_l_tax.png", "roc curve needs labels and scores"),
-        _skipped(6, "bar", "6_bar_l_tax_l_returnflag.png", "not numeric: l_returnflag"),
+        _drawn(6, "bar", "6_bar_l_tax_l_returnflag.png", "l_returnflag", _bar_measures("l_tax"), "FROM lineitem GROUP BY l_returnflag"),
     ]
     + [
         _drawn(6, "heatmap", "6_heatmap_l_tax_l_returnflag.png", f"'{x},{y}'", {"r": f"corr({x}, {y})"}, "FROM lineitem")
@@ -303,6 +326,37 @@ f AS (SELECT q.*, l_quantity, l_quantity BETWEEN p25 - 1.5::DOUBLE * (p75 - p25)
 )
 
 
+def _counted(i: int, chart: str, name: str, label: str) -> str:
+    """Rows counted by a label."""
+    return _drawn(i, chart, name, "label", {"n": "count(*)"}, f"FROM (SELECT {label} AS label FROM lineitem) g GROUP BY label")
+
+
+def _panel(a: str, b: str) -> str:
+    label = f"'{a},{b},' || {bin_sql(a)} || ',' || {bin_sql(b)}"
+    return _counted(3, "pair-plot", "3_pair-plot_l_returnflag_l_tax_l_quantity.png", label)
+
+
+_DISPATCH_TEXT = f"WITH {_fenced('l_tax')}" + union_sql(
+    [
+        _counted(1, "histogram", "1_histogram_l_returnflag_l_linestatus_l_returnflag.png", "l_returnflag"),
+        _counted(1, "histogram", "1_histogram_l_returnflag_l_linestatus_l_linestatus.png", "l_linestatus"),
+        _counted(1, "scatter", "1_scatter_l_returnflag_l_linestatus.png", "l_returnflag || ',' || l_linestatus"),
+        _skipped(1, "bar", "1_bar_l_returnflag_l_linestatus.png", "not numeric: l_returnflag, l_linestatus"),
+        _skipped(1, "line", "1_line_l_returnflag_l_linestatus.png", "not numeric: l_linestatus"),
+        _drawn(2, "box", "2_box_l_tax_l_returnflag.png", "x", _box_measures("l_tax"), "FROM f GROUP BY x"),
+        _counted(2, "scatter", "2_scatter_l_tax_l_returnflag.png", f"{bin_sql('l_tax')} || ',' || l_returnflag"),
+        _drawn(2, "bar", "2_bar_l_tax_l_returnflag.png", "l_returnflag", _bar_measures("l_tax"), "FROM lineitem GROUP BY l_returnflag"),
+        _skipped(2, "line", "2_line_l_tax_l_returnflag.png", "not numeric: l_returnflag"),
+        *[_panel(a, b) for a in ("l_tax", "l_quantity") for b in ("l_tax", "l_quantity")],
+        _skipped(4, "boxplot", "4_boxplot_l_linestatus.png", "not numeric: l_linestatus"),
+        _skipped(4, "pair-plot", "4_pair-plot_l_linestatus.png", "not numeric: l_linestatus"),
+        _drawn(4, "pie", "4_pie_l_linestatus_l_linestatus.png", "l_linestatus",
+               {"n": "count(*)", "share": "count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lineitem)"},
+               "FROM lineitem GROUP BY l_linestatus"),
+    ]
+)
+
+
 def _lines(expression) -> str:
     return " || chr(10) || ".join(f"'{c}: ' || {expression(c, k)}" for c, k in GAPPY_COLUMNS)
 
@@ -349,5 +403,6 @@ SELECT response_id, CAST(CASE section WHEN 'overview' THEN 1 WHEN 'image' THEN 2
   CASE section WHEN 'overview' THEN 'EDA Overview' WHEN 'image' THEN 'Image Insights' ELSE 'Summary Insights' END AS section,
   item, key, text, image FROM every""",
     "chart_dispatch": _DISPATCH,
+    "chart_dispatch_text": _DISPATCH_TEXT,
     "profile_prompt": _PROMPT,
 }

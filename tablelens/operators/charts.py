@@ -109,7 +109,7 @@ def _ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]
     }
 
 
-def _bin(value: Column, span: tuple[float, float], bins: int) -> Column:
+def bin_of(value: Column, span: tuple[float, float], bins: int) -> Column:
     """Equal-width bin number; the largest value falls into the last bin. One bin if all are equal.
 
     Null stays null, which `least` alone would not keep.
@@ -129,7 +129,7 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS) -> D
         return df.sparkSession.createDataFrame([], "x_bin bigint, y_bin bigint, n bigint")
     return (
         complete.groupBy(
-            _bin(number(df, x), spans[x], bins).alias("x_bin"), _bin(number(df, y), spans[y], bins).alias("y_bin")
+            bin_of(number(df, x), spans[x], bins).alias("x_bin"), bin_of(number(df, y), spans[y], bins).alias("y_bin")
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -142,7 +142,7 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
         return df.sparkSession.createDataFrame([], "bin bigint, bin_start double, bin_end double, n bigint")
     low, high = span
     counted = (
-        df.select(_bin(number(df, column), span, bins).alias("bin"))
+        df.select(bin_of(number(df, column), span, bins).alias("bin"))
         .filter(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +187,7 @@ def kde_curve(df: DataFrame, column: str, bins: int = DENSITY_BINS, points: int
         return df.sparkSession.createDataFrame([], "point int, value double, density double")
     span = (row["low"], row["high"])
     binned = (
-        df.select(_bin(value, span, bins).alias("bin"))
+        df.select(bin_of(value, span, bins).alias("bin"))
         .filter(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -209,7 +209,7 @@ def violin_stats(
     if span is None or span[0] == span[1]:
         return rows.select("x", F.lit(0).alias("point"), F.lit(0.0).alias("value"), F.lit(0.0).alias("density")).limit(0)
     # Sums per (group, bin) first: what follows has at most `bins` rows per group.
-    cells = rows.groupBy("x", _bin(F.col("y"), span, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy("x", bin_of(F.col("y"), span, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("x").agg(F.count(F.lit(1)).alias("total"), F.stddev_samp("y").alias("std"))
     binned = (
         cells.join(groups.filter("std > 0"), "x")
@@ -239,9 +239,9 @@ def _box_rows(df: DataFrame, y: str, x: str | None) -> tuple[DataFrame, list[str
     return rows.filter(F.col("x").isNotNull() & F.col("value").isNotNull()), ["x"]
 
 
-def _summarize_box(fenced: DataFrame) -> DataFrame:
+def _summarize_box(fenced: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    return fenced.groupBy("x").agg(
+    return fenced.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         *[F.first(c).alias(c) for c in QUARTILES],
         F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
@@ -253,13 +253,28 @@ def _summarize_box(fenced: DataFrame) -> DataFrame:
 def box_stats(df: DataFrame, y: str, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Exact quartiles, the extreme values within 1.5 IQR, and the number of values outside."""
     rows, keys = _box_rows(df, y, None)
-    return _summarize_box(_box(rows, keys, df.count(), single_task_rows)[1]).drop("x")
+    return _summarize_box(_box(rows, keys, df.count(), single_task_rows)[1], keys).drop("x")
 
 
 def box_stats_grouped(df: DataFrame, x: str, y: str, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """The box of y per group x."""
     rows, keys = _box_rows(df, y, x)
-    return _summarize_box(_box(rows, keys, df.count(), single_task_rows)[1])
+    return _summarize_box(_box(rows, keys, df.count(), single_task_rows)[1], keys)
+
+
+def box_stats_many(
+    df: DataFrame, boxes: list[tuple[int, str | None, str]], single_task_rows: int = SINGLE_TASK_ROWS
+) -> DataFrame:
+    """Boxes of several columns from one frequency table: (chart, x, n, p25, ...) for each (chart, x, y); x is text, '' if none."""
+    require_columns(df, [c for _, x, y in boxes for c in (x, y) if c is not None])
+    cells = []
+    for chart, x, y in boxes:
+        group, value = present(df, x).cast("string") if x else F.lit(""), number(df, y)
+        cell = F.struct(F.lit(chart).alias("chart"), group.alias("x"), value.alias("value"))
+        cells.append(F.when(group.isNotNull() & value.isNotNull(), cell))
+    rows = df.select(F.inline(F.array_compact(F.array(*cells))))
+    keys = ["chart", "x"]
+    return _summarize_box(_box(rows, keys, df.count(), single_task_rows)[1], keys)
 
 
 def box_outliers(df: DataFrame, y: str, x: str | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
@@ -302,7 +317,7 @@ def pair_grid(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS) ->
     used = [c for c in columns if spans[c] is not None]
     if not used:
         return df.sparkSession.createDataFrame([], "x_col string, y_col string, x_bin bigint, y_bin bigint, n bigint")
-    binned = df.select(*[_bin(number(df, c), spans[c], bins).alias(f"b{i}") for i, c in enumerate(used)])
+    binned = df.select(*[bin_of(number(df, c), spans[c], bins).alias(f"b{i}") for i, c in enumerate(used)])
 
     def cell(i: int, j: int) -> Column:
         return F.struct(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import numeric_columns
+from tablelens.functions.columns import is_numeric
 from tablelens.operators import charts as V
 from tablelens.operators import evaluate as M
+from tablelens.operators.fused import Part, fused, pies
 
 # Chart types with their other names.
 ALIASES = {"pair-plot": "pairplot", "box": "boxplot", "line-chart": "line"}
@@ -58,71 +60,97 @@ def _long(result: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     return result.select(label.alias("label"), F.inline(F.array(*cells)))
 
 
-def _bar(df: DataFrame, cols: list[str]) -> DataFrame:
-    return _long(V.bar_chart(df, cols[0], cols[1]), ["x"], ["n", "mean", "low", "high"])
+BOX_MEASURES = ["n", "low_whisker", "p25", "p50", "p75", "high_whisker", "n_outliers"]
 
+# Chart type -> least number of columns.
+CHARTS = {
+    "pairplot": 1,
+    "bar": 2,
+    "scatter": 2,
+    "histogram": 1,
+    "boxplot": 1,
+    "heatmap": 0,
+    "line": 2,
+    "pie": 1,
+    "violin": 2,
+}
 
-def _box(df: DataFrame, cols: list[str]) -> DataFrame:
-    measures = ["n", "low_whisker", "p25", "p50", "p75", "high_whisker", "n_outliers"]
-    if len(cols) == 1:
-        return _long(V.box_stats(df, cols[0]), [], measures)
-    return _long(V.box_stats_grouped(df, cols[0], cols[1]), ["x"], measures)
 
+@dataclass
+class _Plan:
+    """What is to be drawn, sorted by the scan that it shares; charts are numbered through."""
 
-# Chart type -> least number of columns, and how to compute it.
-CHARTS: dict[str, tuple[int, Callable[[DataFrame, list[str]], DataFrame]]] = {
-    "pairplot": (1, lambda df, c: _long(V.pair_grid(df, c), ["x_col", "y_col", "x_bin", "y_bin"], ["n"])),
-    "bar": (2, _bar),
-    "scatter": (2, lambda df, c: _long(V.scatter_grid(df, c[0], c[1]), ["x_bin", "y_bin"], ["n"])),
-    "histogram": (1, lambda df, c: _long(V.histogram(df, c[0]), ["bin"], ["bin_start", "bin_end", "n"])),
-    "boxplot": (1, _box),
-    "heatmap": (0, lambda df, c: _long(V.heatmap(df), ["x", "y"], ["r"])),
-    "line": (2, _bar),
-    "pie": (1, lambda df, c: _long(V.pie_chart(df, c[0]), ["level"], ["n", "share"])),
-    "violin": (2, lambda df, c: _long(V.violin_stats(df, c[0], c[1]), ["x", "point"], ["value", "density"])),
-}
+    drawn: list[tuple[ChartSpec, str, str]]
+    parts: list[Part]
+    boxes: list[tuple[int, str | None, str]]
+    pies: list[tuple[int, str]]
+    own: list[tuple[int, Callable[[], DataFrame]]]
 
-# Columns, by place, that must be numeric.
-NUMERIC_PLACES = {
-    "bar": (1,),
-    "line": (1,),
-    "scatter": (0, 1),
-    "histogram": (0,),
-    "violin": (1,),
-}
+
+def _turned(df: DataFrame, x: str, y: str) -> tuple[str, str] | None:
+    """(groups, measured): y is measured per x, or x per y if x alone is a number; None if neither is."""
+    if is_numeric(df, y):
+        return x, y
+    return (y, x) if is_numeric(df, x) else None
 
 
-def _objection(df: DataFrame, kind: str, cols: list[str]) -> str | None:
-    """Why a chart cannot be computed, if so."""
+def _add(df: DataFrame, plan: _Plan, kind: str, cols: list[str]) -> str | None:
+    """Enter a chart into the plan, or say why it cannot be drawn."""
     if kind not in CHARTS:
         return f"unknown chart type: {kind}"
-    needed = CHARTS[kind][0]
-    if len(cols) < needed:
-        return f"{kind} needs {needed} columns, got {len(cols)}"
+    if len(cols) < CHARTS[kind]:
+        return f"{kind} needs {CHARTS[kind]} columns, got {len(cols)}"
+    chart = len(plan.drawn)
     if kind == "heatmap":
+        plan.own.append((chart, lambda: _long(V.heatmap(df), ["x", "y"], ["r"])))
         return None
     unknown = [c for c in cols if c not in df.columns]
     if unknown:
         return f"unknown columns: {', '.join(unknown)}"
-    if kind == "boxplot":
-        wanted = [cols[0] if len(cols) == 1 else cols[1]]
+    numbers = [c for c in dict.fromkeys(cols) if is_numeric(df, c)]
+    if kind == "pie":
+        plan.pies.append((chart, cols[0]))
+    elif kind == "histogram" and numbers:
+        plan.parts += [Part(chart, "bins", cols[0]), Part(chart, "density", cols[0])]
+    elif kind == "histogram":
+        plan.parts.append(Part(chart, "grid", cols[0]))
+    elif kind == "scatter":
+        plan.parts.append(Part(chart, "grid", cols[0], cols[1]))
     elif kind == "pairplot":
-        wanted = cols
+        if not numbers:
+            return f"not numeric: {', '.join(cols)}"
+        plan.parts += [Part(chart, "panel", c) for c in numbers]
+        plan.parts += [Part(chart, "panel", a, b) for a, b in combinations(numbers, 2)]
+    elif kind == "boxplot" and len(cols) == 1:
+        if not numbers:
+            return f"not numeric: {cols[0]}"
+        plan.boxes.append((chart, None, cols[0]))
     else:
-        wanted = [cols[i] for i in NUMERIC_PLACES.get(kind, ())]
-    text = [c for c in wanted if c not in numeric_columns(df)]
-    return f"not numeric: {', '.join(text)}" if text else None
-
-
-def _message(spark, spec: ChartSpec, chart: str, name: str, message: str) -> DataFrame:
-    return spark.createDataFrame([(spec.chart_id, chart, name, "skipped", message, None, None, None)], RESULT)
-
+        turned = _turned(df, cols[0], cols[1]) if kind in ("bar", "boxplot") else (cols[0], cols[1])
+        if turned is None:
+            return f"not numeric: {cols[0]}, {cols[1]}"
+        x, y = turned
+        if not is_numeric(df, y):
+            return f"not numeric: {y}"
+        if kind == "violin":
+            plan.own.append((chart, lambda: _long(V.violin_stats(df, x, y), ["x", "point"], ["value", "density"])))
+        elif kind == "boxplot":
+            plan.boxes.append((chart, x, y))
+        else:
+            plan.parts.append(Part(chart, "mean", x, measured=y))
+    return None
+
+
+def _labelled(result: DataFrame, drawn: list[tuple[ChartSpec, str, str]], chart: Column) -> DataFrame:
+    """Result rows under the names of their charts; `chart` is the number of each row's."""
+
+    def name_of(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), chart + 1)
 
-def _labelled(result: DataFrame, spec: ChartSpec, chart: str, name: str) -> DataFrame:
     return result.select(
-        F.lit(spec.chart_id).alias("chart_id"),
-        F.lit(chart).alias("chart"),
-        F.lit(name).alias("file_name"),
+        name_of([spec.chart_id for spec, _, _ in drawn]).alias("chart_id"),
+        name_of([kind for _, kind, _ in drawn]).alias("chart"),
+        name_of([name for _, _, name in drawn]).alias("file_name"),
         F.lit("drawn").alias("status"),
         F.lit(None).cast("string").alias("message"),
         "label",
@@ -145,34 +173,48 @@ def _evaluation(kind: str, given: Predictions | None) -> DataFrame | str:
 def chart_dispatch(df: DataFrame, specs: list[ChartSpec], predictions: Predictions | None = None) -> DataFrame:
     """Chart data of all specs: one long table, with a message row for each chart left out.
 
-    The loop runs over the specs, on names only; each chart is an aggregate on the cluster.
+    Bars, lines, scatters, histograms with their densities and pair plots share two scans (ranges, then cells), boxes
+    a scan of their own, pies another; heatmaps, violins and evaluations take one each. Text columns are drawn by
+    their levels: a histogram counts them, a scatter has them on its axis, bars and boxes turn if only the first
+    column is a number; a pair plot takes the numbers among its columns. The loop runs over the specs, on names only.
     """
     spark = df.sparkSession
-    parts: list[DataFrame] = []
+    plan = _Plan([], [], [], [], [])
+    messages: list[tuple] = []
     for spec in specs:
         for chart in spec.charts:
             lowered = chart.lower()
             kind = ALIASES.get(lowered, lowered)
-            if kind in PREDICTION_CHARTS:
-                result = _evaluation(kind, predictions)
-                name = _file_name(spec, lowered)
-                parts.append(
-                    _message(spark, spec, lowered, name, result)
-                    if isinstance(result, str)
-                    else _labelled(result, spec, lowered, name)
-                )
-                continue
             split = kind in PER_COLUMN_CHARTS and spec.cols
             for cols, column in [([c], c) for c in spec.cols] if split else [(list(spec.cols), None)]:
                 name = _file_name(spec, lowered, column)
-                objection = _objection(df, kind, cols)
-                if objection:
-                    parts.append(_message(spark, spec, lowered, name, objection))
-                    continue
-                try:
-                    parts.append(_labelled(CHARTS[kind][1](df, cols), spec, lowered, name))
-                except Exception as problem:  # the other charts go on
-                    parts.append(_message(spark, spec, lowered, name, f"failed: {str(problem).splitlines()[0]}"))
-    if not parts:
-        return spark.createDataFrame([], RESULT)
-    return reduce(DataFrame.unionByName, parts)
+                if kind in PREDICTION_CHARTS:
+                    found = _evaluation(kind, predictions)
+                    objection = found if isinstance(found, str) else None
+                    if objection is None:
+                        plan.own.append((len(plan.drawn), lambda found=found: found))
+                else:
+                    objection = _add(df, plan, kind, cols)
+                if objection is None:
+                    plan.drawn.append((spec, lowered, name))
+                else:
+                    messages.append((spec.chart_id, lowered, name, "skipped", objection, None, None, None))
+    results: list[DataFrame] = []
+    if plan.parts:
+        results.append(_labelled(fused(df, plan.parts), plan.drawn, F.col("chart")))
+    if plan.boxes:
+        boxes = V.box_stats_many(df, plan.boxes)
+        cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in BOX_MEASURES])
+        results.append(_labelled(boxes.select("chart", F.col("x").alias("label"), F.inline(cells)), plan.drawn, F.col("chart")))
+    if plan.pies:
+        cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("n", "share")])
+        results.append(_labelled(pies(df, plan.pies).select("chart", "label", F.inline(cells)), plan.drawn, F.col("chart")))
+    for chart, draw in plan.own:
+        spec, kind, name = plan.drawn[chart]
+        try:
+            results.append(_labelled(draw(), plan.drawn, F.lit(chart)))
+        except Exception as problem:  # the other charts go on
+            messages.append((spec.chart_id, kind, name, "skipped", f"failed: {str(problem).splitlines()[0]}", None, None, None))
+    if messages or not results:
+        results.append(spark.createDataFrame(messages, RESULT))
+    return reduce(DataFrame.unionByName, results)

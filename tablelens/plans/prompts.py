@@ -23,11 +23,6 @@ INSTRUCTION_FORMAT = (
     "standard_scalar = ['yes'] or ['no']\n"
     "target_column = ['...']"
 )
-CHART_FORMAT = (
-    "Answer with at least five charts in this form and nothing else:\n"
-    "result = {1: {'col': ['...', '...'], 'chart': ['...']}, 2: {...}}\n"
-    "Chart types: histogram, boxplot, violin, bar, heatmap, line-chart, scatter."
-)
 
 
 def _section(number: int, rows: DataFrame, place: Column, line: Column) -> DataFrame:

@@ -112,7 +112,8 @@ def test_dispatch_goes_on_after_a_bad_spec(points):
     assert status[(1, "nonsense")] == ("skipped", "unknown chart type: nonsense")
     assert status[(1, "scatter")] == ("skipped", "scatter needs 2 columns, got 1")
     assert status[(2, "confusion matrix")][0] == "drawn" and status[(2, "roc curve")][0] == "drawn"
-    assert status[(2, "pair-plot")] == ("skipped", "not numeric: g")
+    assert status[(2, "pair-plot")] == ("drawn", None)
+    assert {r["label"].split(",")[0] for r in rows if r["chart"] == "pair-plot"} == {"v"}
     assert status[(3, "pie")] == ("skipped", "pie needs 1 columns, got 0")
     assert status[(3, "heatmap")][0] == "drawn"
     assert {r["file_name"] for r in rows if r["chart"] == "pie"} == {"3_pie_no_cols.png"}
@@ -140,3 +141,67 @@ def test_resampled_interval(spark):
     again = {r["x"]: r["low"] for r in V.bar_chart_resampled(df.repartition(2), "g", "v", ["id"], replicates=400).collect()}
     assert all(abs(again[g] - got[g]["low"]) < 1e-9 for g in got)
     assert V.line_chart_resampled(df.limit(0), "g", "v", ["id"]).collect() == []
+
+
+def drawn(df, *specs):
+    rows = chart_dispatch(df, [ChartSpec(i, tuple(cols), (chart,)) for i, (chart, *cols) in enumerate(specs)]).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["chart_id"], {})[(r["label"], r["measure"])] = r["message"] if r["status"] == "skipped" else r["value"]
+    return found
+
+
+def test_dispatch_equals_single_charts(spark):
+    """Shared scans give what each chart gives alone, missing values, an empty column and names with blanks included."""
+    draw = random.Random(5)
+    rows = [
+        (draw.choice(["a", "b,c", "", None]), draw.choice([None, float("nan"), 0.0, 1.5, draw.gauss(3, 2)]), draw.randrange(5), None, i % 3 == 0)
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, "`a level` string, v double, k int, none double, yes boolean").repartition(5)
+    got = drawn(
+        df, ("bar", "a level", "v"), ("histogram", "v"), ("scatter", "v", "k"), ("pairplot", "v", "k", "a level", "none"),
+        ("box", "a level", "v"), ("pie", "a level"), ("line", "k", "v"), ("histogram", "none"), ("histogram", "yes"),
+        ("bar", "v", "a level"), ("scatter", "a level", "v"), ("box", "v"), ("scatter", "none", "v"), ("histogram", "a level"),
+    )
+
+    def alone(result, keys, measures):
+        return {(",".join(str(r[k]) for k in keys), m): r[m] for r in result.collect() for m in measures}
+
+    def same(mine, wanted):
+        assert mine.keys() == wanted.keys()
+        assert all(mine[k] == wanted[k] or abs(mine[k] - wanted[k]) < 1e-9 for k in wanted)
+
+    means, box = ["n", "mean", "low", "high"], ["n", "low_whisker", "p25", "p50", "p75", "high_whisker", "n_outliers"]
+    same(got[0], alone(V.bar_chart(df, "a level", "v"), ["x"], means))
+    same(got[9], got[0])
+    bins = alone(V.histogram(df, "v"), ["bin"], ["bin_start", "bin_end", "n"])
+    curve = {(str(r["point"]), m): v for r in V.kde_curve(df, "v").collect() for m, v in (("density", r["density"]), ("density_at", r["value"]))}
+    same(got[1], bins | curve)
+    same(got[2], alone(V.scatter_grid(df, "v", "k"), ["x_bin", "y_bin"], ["n"]))
+    same(got[3], alone(V.pair_grid(df, ["v", "k"]), ["x_col", "y_col", "x_bin", "y_bin"], ["n"]))
+    same(got[4], alone(V.box_stats_grouped(df, "a level", "v"), ["x"], box))
+    same(got[5], alone(V.pie_chart(df, "a level"), ["level"], ["n", "share"]))
+    same(got[6], alone(V.bar_chart(df, "k", "v"), ["x"], means))
+    same(got[11], alone(V.box_stats(df, "v"), [], box))
+    assert 7 not in got and 12 not in got and sum(got[8].values()) == 600 and set(got[8]) == {("true", "n"), ("false", "n")}
+    assert sum(got[10].values()) == df.filter("`a level` is not null and not isnan(v) and v is not null").count()
+    assert sum(got[13].values()) == df.filter("`a level` is not null").count() and ("", "n") in got[13]
+
+
+def test_dispatch_of_an_empty_table_and_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    got = drawn(df, ("bar", "g", "v"), ("histogram", "v"), ("scatter", "g", "v"), ("box", "v"), ("pie", "g"), ("bar", "g", "g"))
+    assert got == {5: {(None, None): "not numeric: g, g"}}
+    assert chart_dispatch(df, []).collect() == []
+
+
+def test_dispatch_scans_do_not_grow_with_the_charts(spark, folder):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet")
+    few = [ChartSpec(1, ("l_returnflag", "l_tax"), ("bar", "box", "scatter"))]
+    many = [ChartSpec(i, (a, "l_tax", "l_quantity"), ("bar", "box", "scatter", "line", "histogram", "pairplot"))
+            for i, a in enumerate(["l_returnflag", "l_linestatus", "l_discount"])]
+    scans = [
+        chart_dispatch(df, specs)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for specs in (few, many)
+    ]
+    assert scans[0] == scans[1]
