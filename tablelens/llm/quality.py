@@ -3,7 +3,7 @@
 The bytes of a text are cut into overlapping chunks that cover all of it. Each filter looks at eight
 bytes in a row, every second byte on, and at whether what stands there stood a few bytes before; its best
 match in each chunk is kept (max-pooling). Over the chunks the greatest and the mean of each are taken and
-combined into one probability. The filters are learned from a bounded sample of labelled texts.
+combined into one probability. The filters are learned from all chunks of a bounded sample of labelled texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ CHUNK, OVERLAP, WIDTH, STEP, FILTERS = 512, 32, 8, 2, 16
 LAGS = range(3, 33)
 #: Chunks scored at a time.
 BATCH = 256
-#: Bounds of learning: rows, chunks of a row (spread over the text), passes, rows a step, and step size.
-ROWS, SHOWN, PASSES, STEP_ROWS, RATE = 3_000, 4, 8, 32, 0.01
+#: Bounds of learning: rows, bytes of their texts together, passes, rows a step, and step size.
+ROWS, BYTES, PASSES, STEP_ROWS, RATE = 3_000, 64 << 20, 8, 32, 0.01
 PLACES = (CHUNK - WIDTH) // STEP + 1
 
 
@@ -82,33 +82,31 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _shown(text: str | None) -> tuple[bytes, bytes]:
-    """Up to SHOWN chunks, spread evenly over the whole text, with their recurrences, for learning."""
-    found: list[np.ndarray] = []
-    same: list[np.ndarray] = []
-    raw = (text or "").encode()
-    n = max(1, -(-(len(raw) - OVERLAP) // (CHUNK - OVERLAP)))
-    wanted = {int(i * n / SHOWN) for i in range(SHOWN)}
-    first = 0
-    for rows, marks in chunks(raw):
-        for i in sorted(w - first for w in wanted if first <= w < first + len(rows)):
-            found.append(rows[i])
-            same.append(marks[i])
-        first += len(rows)
-    return np.concatenate(found).tobytes(), np.concatenate(same).tobytes()
-
-
-def learn(rows: DataFrame, seed: int = 7) -> Network:
-    """A network from (text, label) of a bounded sample; without both labels it gives their share always."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [_shown(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "rows": [m[0] for m in made], "same": [m[1] for m in made]})
-
-    shown = rows.select("doc_id", "label", "text").mapInPandas(cut, "doc_id long, label int, rows binary, same binary")
-    held = shown.toPandas().sort_values(["doc_id", "rows"])  # ROWS * SHOWN chunks at most
-    labels = (held["label"].to_numpy() > 0).astype(np.float32)
+def _sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Chunks, recurrences and label of each row, in the order of a hash of doc_id, a partition at a time.
+
+    A row whose text would bring the bytes taken over `most` is left out of the sample.
+    """
+    ordered = rows.select("label", "text").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "label", "text")
+    texts, same, labels, taken = [], [], [], 0
+    for row in ordered.toLocalIterator():
+        raw = (row["text"] or "").encode()
+        if taken + len(raw) <= most:
+            taken += len(raw)
+            cut = list(chunks(raw))
+            texts.append(np.concatenate([r for r, _ in cut]))
+            same.append(np.concatenate([s for _, s in cut]))
+            labels.append(row["label"] > 0)
+    return texts, same, np.array(labels, np.float32)
+
+
+def learn(rows: DataFrame, seed: int = 7, most: int = BYTES) -> Network:
+    """A network from whole texts, (doc_id, text, label) of a bounded sample; without both labels it gives their share always.
+
+    Rows are those of `learning_labels`, so at most about ROWS; of their texts `most` bytes at most are taken. A null text
+    counts as empty, a row without label as 0; repeated rows count as often as they stand there.
+    """
+    texts, same, labels = _sample(rows.withColumn("label", F.coalesce("label", F.lit(0))), most)
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32),
@@ -120,8 +118,6 @@ def learn(rows: DataFrame, seed: int = 7) -> Network:
     if len(labels) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Network(net.tables, net.repeats, net.bias, 0 * net.weights, float(np.log(share / (1 - share))))
-    texts = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in held["rows"]]
-    same = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in held["same"]]
     values = {"tables": net.tables, "repeats": net.repeats, "bias": net.bias, "weights": net.weights, "offset": np.zeros(1, np.float32)}
     first = {k: np.zeros_like(v) for k, v in values.items()}
     second = {k: np.zeros_like(v) for k, v in values.items()}
@@ -146,7 +142,8 @@ def _gradients(values: dict, rows: np.ndarray, texts: list, same: list, labels:
     net = Network(values["tables"], values["repeats"], values["bias"], values["weights"], float(values["offset"][0]))
     parts, marks = np.concatenate([texts[i] for i in rows]), np.concatenate([same[i] for i in rows])
     owner = np.repeat(np.arange(len(rows)), [len(texts[i]) for i in rows])
-    best, where = net.pooled(parts, marks)
+    groups = [net.pooled(parts[i : i + BATCH], marks[i : i + BATCH]) for i in range(0, len(parts), BATCH)]
+    best, where = (np.concatenate(x) for x in zip(*groups, strict=True))
     starts = np.searchsorted(owner, np.arange(len(rows)))
     counts = np.bincount(owner)[:, None]
     top, mean = np.maximum.reduceat(best, starts), np.add.reduceat(best, starts) / counts

@@ -62,6 +62,32 @@ def test_odd_rows(odd, spark):
     assert alone.score("x") == alone.score("y" * 9999) == 0.5
 
 
+def test_every_chunk_is_learned_from(spark):
+    """What decides stands in one chunk of many, anywhere in the text."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+
+    def text(label):
+        body = [words[i] for i in rng.integers(0, 6, 1200)]
+        if label:
+            body[int(rng.integers(0, 1200))] = "ZQXJ#ZQXJ#ZQXJ#ZQXJ#ZQXJ#ZQXJ"
+        return " ".join(body)
+
+    rows = [(i, i % 2, text(i % 2)) for i in range(400)]
+    net = Q.learn(spark.createDataFrame(rows[:300], "doc_id long, label int, text string"))
+    assert sum((net.score(t) > 0.5) == bool(y) for _, y, t in rows[300:]) >= 95
+
+
+def test_sample_is_bounded_in_bytes_and_whole(spark):
+    rows = [(i, i % 2, "x" * (100 + i)) for i in range(50)] + [(99, 1, "y" * 10_000), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string").withColumn("label", F.coalesce("label", F.lit(0)))
+    texts, same, labels = Q._sample(df, 3_000)
+    held = sum((t > 0).sum() for t in texts)
+    assert len(texts) == len(same) == len(labels) and 2_000 < held <= 3_000 and not any((t == ord("y")).any() for t in texts)
+    again = Q._sample(df.repartition(5), 3_000)[0]
+    assert all((a == b).all() for a, b in zip(texts, again, strict=True))
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op6_quality"](spark, folder)
@@ -69,3 +95,5 @@ def test_held_out_accuracy(spark):
     rows = found.filter("held_out").join(labels, "doc_id").collect()
     assert found.count() == table(spark, folder, "documents").count()
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(bad) >= 5 and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.95
