@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import quoted
 from tablelens.session import cut_lineage
 
 BUCKETS = 1 << 13
@@ -149,13 +150,14 @@ def identify(
     choice by size; otherwise it is joined by host, and AQE splits the hot ones.
     """
     model = learn(docs, text, declared)
-    n, names = len(model.languages), [c for c in docs.columns if c not in ("language", "probability", "accepted")]
+    n, names = len(model.languages), [c for c in docs.columns if c.lower() not in ("language", "probability", "accepted")]
     if n == 0:
         empty = {"language": F.lit(UNKNOWN), "probability": F.lit(0.0), "accepted": F.lit(False)}
-        return docs.select(*names).withColumns(empty)
+        return docs.select(*map(quoted, names), *(c.alias(k) for k, c in empty.items()))
     marks = {"declared": F.lower(F.trim(F.coalesce(F.col(declared), F.lit("")))), **_address(F.col(address))}
-    seen = docs.select(*(c.alias(f"_{k}") for k, c in marks.items()), *names)
-    seen = seen.withColumn("_says", text_evidence(F.col(text), model))
+    # The given columns go by number meanwhile, so that none of them meets a name used here.
+    given = [quoted(c).alias(f"given{i}") for i, c in enumerate(names)]
+    seen = docs.select(*given, *(c.alias(f"_{k}") for k, c in marks.items()), text_evidence(F.col(text), model).alias("_says"))
     guess = F.array_position("_says", F.array_max("_says")) - 1
     keys = ["host", "domain", "suffix", "declared"]
     counted = seen.filter(F.col("_says").isNotNull()).select(*(F.col(f"_{k}").alias(k) for k in keys), guess.alias("guess"))
@@ -174,7 +176,7 @@ def identify(
     heard = F.col("_says").isNotNull()
     probability = F.when(heard, 1.0 / mass).otherwise(0.0)
     return seen.select(
-        *names,
+        *(F.col(f"given{i}").alias(c) for i, c in enumerate(names)),
         F.when(heard, language).otherwise(UNKNOWN).alias("language"),
         probability.alias("probability"),
         (heard & (probability >= least)).alias("accepted"),

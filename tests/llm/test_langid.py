@@ -68,3 +68,14 @@ def test_odd_rows(odd):
     assert L.identify(odd.limit(0)).count() == 0
     silent = odd.withColumn("lang", F.lit(None).cast("string"))
     assert L.identify(silent).filter("accepted").count() == 0
+
+
+def test_given_columns_keep_their_values(documents):
+    taken = ["_says", "_host", "_domain", "_suffix", "_declared", "_sums", "_best", "_host_of", "given0", "a.b", "Language"]
+    docs = documents([(i, "the cat sat on the mat and looked at me") for i in range(8)])
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(taken)})
+    made = L.identify(docs)
+    assert made.columns == [*docs.columns[:-1], "language", "probability", "accepted"]
+    rows = [r.asDict() for r in made.collect()]
+    assert len(rows) == 8 and all(r[c] == i for r in rows for i, c in enumerate(taken[:-1]))
+    assert {r["language"] for r in rows} == {"en"}
