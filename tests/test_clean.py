@@ -130,3 +130,20 @@ def test_encoding_reads_the_table_once_a_column_and_once_more(spark, tmp_path):
 def test_more_classes_than_a_driver_should_list(spark):
     rows = spark.range(12_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("s"))
     assert E.label_index(rows, "s").filter("label != cast(substr(s, 2) as double)").count() == 0
+
+
+def test_long_labels_are_sorted_by_ranges_and_not_sent_to_all_tasks(spark, monkeypatch):
+    """The bytes of labels count, not their number; rows without a label find none wherever they are dealt."""
+    rows = [(i, None if i % 3 == 0 else "x" * 90 + str(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    short = E.label_encode(df, ["s"]).orderBy("id").collect()
+    bounds = []
+    totals = E.running_totals
+    monkeypatch.setattr(E, "running_totals", lambda *a: bounds.append(a[4]) or totals(*a))
+    monkeypatch.setattr(E, "SENT", 0)
+    labels = E.fit_labels(df, "s", single_task_rows=10)
+    assert labels.n_labels == 7 and bounds[0] >= 7 * (91 + 32) // 32 > 10
+    assert E.attach_codes(df, "s", labels).orderBy("id").collect() == short
+    assert [r["s"] for r in short][::3] == [7] * 20
+    sent = E.attach_codes(df, "s", E.LabelTable(labels.rows, 7, 40, 0))
+    assert sent.orderBy("id").collect() == short and "Broadcast" in sent._jdf.queryExecution().toString()

@@ -143,3 +143,11 @@ def test_wide_classification_settings_build(spark, known):
     for name in LINE_UPS[("wide", "classification")]:
         for setting in settings_of(WIDE_GRIDS[name]):
             assert SPECS[name].build(setting, facts) is not None
+
+
+def test_a_tasks_share_of_the_rows_does_not_grow_with_them(spark, known, monkeypatch):
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(T, "MOST_PER_TASK", 50)
+    with T.held(T.prepare(known.drop("size"), instructions("regression", "price"), ["id"])) as data:
+        assert data.facts.n_rows == data.train.count() and data.train.rdd.getNumPartitions() >= data.facts.n_rows / 50 > 8
+        assert max(data.train.rdd.glom().map(len).collect()) <= 60
