@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.functions.columns import number, present, quoted, require_columns
 from tablelens.operators.correlate import corr_matrix
@@ -18,6 +23,7 @@ from tablelens.operators.ranks import (
     quantiles,
     running_totals,
 )
+from tablelens.session import importable
 
 HISTOGRAM_BINS = 30
 DENSITY_BINS = 512
@@ -50,6 +56,41 @@ _POISSON = [f"{int(65536 * sum(exp(-1) / factorial(k) for k in range(n + 1))):04
 _DRAWS = 8
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, draws) -> for each x and part of a batch how often its rows count in each replicate, and the sums of y so counted.
+
+    A draw is two bytes of a hash, the four digits that it is written with; a part is the draws of one hash.
+    """
+    bounds = np.array([int(b, 16) for b in _POISSON])
+    times = np.searchsorted(bounds, np.arange(65536), side="right").astype(float)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, first = _numbered(batch.column(0))
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        y = batch.column(1).to_numpy(zero_copy_only=False)[order]
+        often = times[np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(len(y), -1)[order]]
+        parts = often.shape[1] // _DRAWS
+        n, s = np.add.reduceat(often, starts, axis=0), np.add.reduceat(often * y[:, None], starts, axis=0)
+        own = batch.column(0).take(pa.array(np.repeat(first, parts)))
+        columns = [own, pa.array(np.tile(np.arange(parts, dtype=np.int32), len(first)))]
+        for i in range(_DRAWS):
+            columns += [pa.array(n[:, i::_DRAWS].ravel().astype(np.int64)), pa.array(s[:, i::_DRAWS].ravel())]
+        names = ["x", "part", *(f"{c}{i}" for i in range(_DRAWS) for c in "ns")]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _numbered(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct values of an array from 0, and where each stands first."""
+    try:
+        group = values.dictionary_encode().indices.to_numpy()
+    except pa.ArrowNotImplementedError:  # nested ones
+        seen: dict[str, int] = {}
+        group = np.array([seen.setdefault(repr(v), len(seen)) for v in values.to_pylist()])
+    return group, np.unique(group, return_index=True)[1]
+
+
 def resampled_means(df: DataFrame, x: str, y: str, keys: list[str], replicates: int = 200, percent: float = 95.0) -> DataFrame:
     """Mean of y per x with a bootstrap interval: (x, n, mean, low, high).
 
@@ -63,16 +104,15 @@ def resampled_means(df: DataFrame, x: str, y: str, keys: list[str], replicates:
     key = F.concat_ws(":", *(F.coalesce(quoted(k).cast("string"), F.lit("")) for k in keys))
     known = df.select(present(df, x).alias("x"), number(df, y).alias("y"), key.alias("key"))
     known = known.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    hashes = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // _DRAWS) - 1))).alias("part")
-    drawn = known.select("x", "y", "key", hashes).withColumn("draw", F.md5(F.concat_ws(":", "key", "part").cast("binary")))
-    sums = []
-    for i in range(_DRAWS):
-        digits = F.substring("draw", 4 * i + 1, 4)
-        times = F.lit(len(_POISSON))
-        for n, bound in reversed(list(enumerate(_POISSON))):
-            times = F.when(digits < bound, n).otherwise(times)
-        sums += [F.sum(times).alias(f"n{i}"), F.sum(times * F.col("y")).alias(f"s{i}")]
-    parts = drawn.groupBy("x", "part").agg(*sums)
+    importable(df.sparkSession)
+    sums = [f"{c}{i}" for i in range(_DRAWS) for c in "ns"]
+    schema = T.StructType([known.schema["x"], T.StructField("part", T.IntegerType())])
+    for c in sums:
+        schema = schema.add(c, T.LongType() if c[0] == "n" else T.DoubleType())
+    n_parts = -(-replicates // _DRAWS)
+    draws = F.concat(*(F.unhex(F.md5(F.concat_ws(":", "key", F.lit(str(i))).cast("binary"))) for i in range(n_parts)))
+    drawn = known.select("x", F.col("y").cast("double").alias("y"), draws.alias("draws")).mapInArrow(_drawn, schema)
+    parts = drawn.groupBy("x", "part").agg(*(F.sum(c).alias(c) for c in sums))
     means = parts.select("x", F.explode(F.array(*(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")) for i in range(_DRAWS)))).alias("mean"))
     tail = (100.0 - percent) / 200.0
     bounds = means.groupBy("x").agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("bounds"))

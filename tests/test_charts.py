@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,24 @@ def test_dispatch_scans_do_not_grow_with_the_charts(spark, folder):
         chart_dispatch(df, specs)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for specs in (few, many)
     ]
     assert scans[0] == scans[1]
+
+
+def test_draws_are_added_up_by_batch_and_not_row_by_row(spark):
+    """A task gives a row for each part and value of x of a batch, of any type; sums are those of the hashed digits."""
+    from hashlib import md5
+
+    rows = [(i, "ab"[i % 2], float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v double").coalesce(1)
+    found = {r["x"]: r for r in V.resampled_means(df, "g", "v", ["id"], replicates=8, percent=0.0).collect()}
+    plan = V.resampled_means(df, "g", "v", ["id"])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "sequence(" not in plan
+    for g in "ab":
+        means = []
+        for i in range(8):
+            times = {r[0]: sum(md5(f"{r[0]}:0".encode()).hexdigest()[4 * i : 4 * i + 4] >= b for b in V._POISSON) for r in rows if r[1] == g}
+            means.append(sum(times[r[0]] * r[2] for r in rows if r[1] == g) / sum(times.values()))
+        means.sort()
+        assert found[g]["n"] == 150 and found[g]["low"] == pytest.approx((means[3] + means[4]) / 2)
+    nested = df.withColumn("g", F.struct("g"))
+    assert V._numbered(pa.array([{"g": "a"}, {"g": "b"}, {"g": "a"}]))[0].tolist() == [0, 1, 0]
+    assert {r["x"]["g"] for r in V.resampled_means(nested, "g", "v", ["id"]).collect()} == {"a", "b"}
