@@ -271,3 +271,20 @@ def test_odd_tables(spark):
     assert len(B.BoostedRegressor(PLANS[0]).fit(some).trees) == 6
     with pytest.raises(ValueError):
         B.train(df, PLANS, bins=400)
+
+
+def test_rows_equal_in_all_bins_are_trained_on_as_one(spark, monkeypatch):
+    """The bytes of cells decide how models are trained, not those of rows; what comes out is the same for either way."""
+    rows = [(float(i % 3), float(i % 2), float(i * 37 % 101), i * 7 % 5 % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, label double, fold int").withColumn("features", array_to_vector(F.array("a", "b")))
+    plans = [B.Plan(depth=2, rounds=4, fold=f) for f in (0, -1)]
+    plans.append(B.Plan(depth=2, rounds=4, alike=True, ordered=True, fold=0))
+    spread = B.train(df, plans, score_at=(4,), copied=0)[1]
+    monkeypatch.setattr(B, "Spread", None)
+    merged = B.train(df, plans[:2], score_at=(4,), copied=2000)[1]
+    for one, other in zip(merged, spread[:2], strict=True):
+        assert one.base == pytest.approx(other.base) and one.scores == pytest.approx(other.scores)
+        for t, u in zip(one.trees, other.trees, strict=True):
+            assert t.value.tolist() == pytest.approx(u.value.tolist(), abs=1e-9)
+    kept = [r[2] for r in rows if r[3] != 0]
+    assert merged[0].base == pytest.approx(sum(kept) / len(kept))
