@@ -35,11 +35,12 @@ FEW = 2
 RESULTS = ("kept", "n_lines", "n_copies", "n_near")
 
 
-def _keys(lines: DataFrame, ways: list[tuple[int, int, int]], edits: int) -> DataFrame:
+def _keys(lines: DataFrame, ways: list[tuple[int, int, int]], edits: int, owner: str | None = None) -> DataFrame:
     """(id, line, n) -> (id, key): for each way (segment i, less, shift) the piece of the line at which segment i of a line
     `less` characters shorter would stand, moved by `shift`. Pieces reaching beyond the line give nothing.
 
-    Segments are cut as evenly as can be, the last ones take what is left over.
+    Segments are cut as evenly as can be, the last ones take what is left over. Under the name `owner`, if given, goes
+    whether the piece is a segment of the line itself.
     """
     fields = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in ways))
     parts, i = edits + 1, F.col("i")
@@ -49,7 +50,8 @@ def _keys(lines: DataFrame, ways: list[tuple[int, int, int]], edits: int) -> Dat
     cut = cut.withColumn("start", F.col("short") * i + F.greatest(F.lit(0), i - F.col("even")) + F.col("shift") + 1)
     cut = cut.withColumn("size", F.col("short") + (i >= F.col("even")).cast("int"))
     inside = cut.filter("start >= 1 and start + size - 1 <= n")
-    return inside.select("id", F.xxhash64("i", "of", F.substr("line", F.col("start"), F.col("size"))).alias("key"))
+    key = F.xxhash64("i", "of", F.substr("line", F.col("start"), F.col("size"))).alias("key")
+    return inside.select("id", key, *([((F.col("less") == 0) & (F.col("shift") == 0)).alias(owner)] if owner else []))
 
 
 def segments(lines: DataFrame, edits: int) -> DataFrame:
@@ -57,13 +59,13 @@ def segments(lines: DataFrame, edits: int) -> DataFrame:
     return _keys(lines, [(i, 0, 0) for i in range(edits + 1)], edits)
 
 
-def probes(lines: DataFrame, edits: int) -> DataFrame:
-    """(id, key): keys of the substrings that can meet a segment of a line as long or up to `edits` shorter."""
+def probes(lines: DataFrame, edits: int, owner: str | None = None) -> DataFrame:
+    """(id, key): keys of the substrings that can meet a segment of a line as long or up to `edits` shorter; its own are among them."""
     ways = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             ways += [(i, less, shift) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
-    return _keys(lines, ways, edits)
+    return _keys(lines, ways, edits, owner)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -136,20 +138,27 @@ def near_links(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     candidates: distinct pairs of ids (a, b), a < b, that meet at a segment with one or two owners; crowded:
     ids of the lines that meet at a segment of more. No line gives more than two rows for each of its probes.
     """
-    owners = segments(lines, edits).groupBy("key").agg(F.count("*").alias("owners"), F.min("id").alias("low"), F.max("id").alias("high"))
-    asked = probes(lines, edits)
+    # A segment is the probe for lines as long at its own place, so one shuffle brings owners and those that ask to a key.
+    # `owner` stays in what is written, as both sides read the same shuffle only if they read the same columns.
+    asked = probes(lines, edits, "owner").repartition("key")
+    owner = F.when(F.col("owner"), F.col("id"))
+    owners = asked.groupBy("key").agg(F.count(owner).alias("owners"), F.min(owner).alias("low"), F.max(owner).alias("high")).filter("owners > 0")
     alone = (F.col("low") == F.col("id")) & (F.col("high") == F.col("id"))
-    met = cut_lineage(asked.join(owners, "key").filter(~alone).select("id", "owners", "low", "high"))
+    met = cut_lineage(asked.join(owners, "key").filter(~alone).select("id", "owner", "owners", "low", "high"))
     few = met.filter(f"owners <= {FEW}").select("id", F.explode(F.array("low", "high")).alias("other")).filter("id != other")
     pairs = few.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     return pairs, met.filter(f"owners > {FEW}").select("id").distinct()
 
 
+def _apart_by(edits: int) -> list[tuple[int, int]]:
+    """Shifts behind p and behind q that two parts with one edit each make; what lies in one part needs no second."""
+    return [(s, s + e) for s in (-1, 0, 1) for e in (-1, 0, 1)] if edits > 1 else []
+
+
 def _damage(edits: int) -> Column:
     """Where and how lines may differ, in four parts: the parts (p, q) that hold edits, shifts behind p and behind q."""
-    whole = range(-edits, edits + 1)
-    one = [(p, p, 0, t) for p in range(4) for t in whole]
-    two = [(p, q, s, t) for p in range(4) for q in range(p + 1, 4) for s in whole for t in whole if abs(s) + abs(t - s) <= edits]
+    one = [(p, p, 0, t) for p in range(4) for t in range(-edits, edits + 1)]
+    two = [(p, q, *shifts) for p in range(4) for q in range(p + 1, 4) for shifts in _apart_by(edits)]
     return F.array(*(_state(*map(F.lit, x)) for x in one + two))
 
 
@@ -161,10 +170,10 @@ def _state(p: Column, q: Column, s: Column, t: Column) -> Column:
 def _children(x: Column, edits: int) -> Column:
     """The same with each part halved."""
     p, q, s, t = (x[c] for c in "pqst")
-    apart = F.array(*(_state(2 * p + i, 2 * q + j, s, t) for i in (0, 1) for j in (0, 1)))
-    both = [(i, i, F.lit(0)) for i in (0, 1)] + [(0, 1, F.lit(e)) for e in range(-edits, edits + 1)]
-    same = F.array(*(_state(2 * p + i, 2 * q + j, e, t) for i, j, e in both))
-    same = F.filter(same, lambda y: (y["p"] == y["q"]) | (F.abs(y["s"]) + F.abs(t - y["s"]) <= edits))
+    ways = (0, 1)
+    apart = F.array(*(_state(2 * p + i, 2 * q + j, s, t) for i in ways for j in ways))
+    both = [(i, i, F.lit(0), t) for i in ways] + [(0, 1, F.lit(a), F.lit(b)) for a, b in _apart_by(edits)]
+    same = F.filter(F.array(*(_state(2 * p + i, 2 * q + j, a, b) for i, j, a, b in both)), lambda y: y["t"] == t)
     return F.when(p == q, same).otherwise(apart)
 
 
@@ -194,11 +203,12 @@ def crowded_links(lines: DataFrame, edits: int) -> DataFrame:
             F.when(p < q, F.substr(F.col("line"), F.col("p1") + s + 1, F.col("q0") - F.col("p1"))).otherwise(""),
             F.substr(F.col("line"), F.col("q1") + t + 1, F.greatest(F.col("own") - F.col("q1"), F.lit(0))),
         )
-        keyed = held.filter(fits).select("at", "x", "own", F.xxhash64(F.lit(parts), "own", p, q, *rest).alias("key"))
+        in_p = F.substr(F.col("line"), F.col("p0") + 1, F.col("p1") + first - F.col("p0"))
+        in_q = F.substr(F.col("line"), F.col("q0") + s + 1, F.col("q1") + t - F.col("q0") - s)
+        inside = F.xxhash64(in_p).alias("u"), F.xxhash64(in_q).alias("v")
+        keyed = held.filter(fits).select("at", "x", "own", F.xxhash64(F.lit(parts), "own", p, q, *rest).alias("key"), *inside)
         keyed = cut_lineage(keyed.withColumn("owner", (F.col("x.s") == 0) & (F.col("x.t") == 0)))
-        owners = keyed.filter("owner").groupBy("key")
-        owners = owners.agg(F.count("*").alias("owners"), F.min("at").alias("low"), F.max("at").alias("high"))
-        met = cut_lineage(keyed.join(owners, "key").filter("low < at or (owner and owners > 1)"))
+        met = cut_lineage(_met(keyed))
         few, many = met.filter(f"owners <= {FEW} and low < at"), met.filter(f"owners > {FEW}")
         pairs = few.select(F.explode(F.array("low", "high")).alias("at_a"), F.col("at").alias("at_b")).filter("at_a < at_b")
         single = many.filter(F.col("own") <= parts)
@@ -217,6 +227,27 @@ def crowded_links(lines: DataFrame, edits: int) -> DataFrame:
     return links.distinct()
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """Rows with the owners, low and high of their key, of those that may have an earlier owner there or that others may ask for.
+
+    Of two parts each holds one edit: what has the same in either as all owners asks for nothing, as what differs in one
+    part only meets at that part alone. `u` and `v` are hashes of what stands in the parts.
+    """
+    own = {c: F.when(F.col("owner"), F.col(c)) for c in ("at", "u", "v")}
+    told = keyed.groupBy("key").agg(
+        F.count_if("owner").alias("owners"), F.count_if(~F.col("owner")).alias("others"),
+        F.min(own["at"]).alias("low"), F.max(own["at"]).alias("high"),
+        *(f(own[c]).alias(f"{c}_{name}") for c in "uv" for name, f in (("low", F.min), ("high", F.max))),
+    )
+    u, v = (F.col(f"{c}_low") != F.col(f"{c}_high") for c in "uv")
+    differ = {c: (F.col(c) != F.col(f"{c}_low")) | (F.col(c) != F.col(f"{c}_high")) for c in "uv"}
+    one = F.col("x.p") == F.col("x.q")
+    asks = (F.col("low") < F.col("at")) & (one | differ["u"] & differ["v"])
+    asked = F.col("owner") & (F.col("owners") > FEW) & (one | (F.col("others") > 0) | u & v)
+    met = keyed.join(told.filter("owners > 0"), "key").filter(asks | asked)
+    return met.select("key", "at", "x", "own", "owner", "owners", "low", "high")
+
+
 def _ends() -> dict[str, Column]:
     """Ends of the parts that hold edits, in parts."""
     p, q = F.col("x.p"), F.col("x.q")

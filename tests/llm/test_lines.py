@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,38 @@ def test_short_limit_is_an_error(odd):
 def test_no_python_on_the_way(spark, folder):
     plan = QUERIES["op2_line_dedup"](spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_that_differ_by_a_word_meet_in_few_rows(spark, documents, monkeypatch):
+    rng, rows = random.Random(4), []
+    letters = "abcdefghijklmnop"
+    base = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(20)]
+    lines = set()
+    while len(lines) < 240:
+        own = base[:]
+        own[rng.randrange(20)] = "".join(rng.choice(letters) for _ in range(rng.randint(4, 8)))
+        lines.add(" ".join(own))
+    for line in sorted(lines)[:30]:  # and some that are near one of them, in two places or one
+        for edits in (1, 2):
+            near = list(line)
+            for _ in range(edits):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randint(0, 1)] = rng.choice("xyz")
+            lines.add("".join(near))
+    docs = list(enumerate(sorted(lines, key=lambda x: x[::-1])))
+
+    def counted(df, cut=L.cut_lineage):
+        done = cut(df)
+        if {"owners", "x"} <= set(done.columns):
+            rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(L, "cut_lineage", counted)
+    found = {r["doc_id"]: r["n_near"] for r in L.dedup_lines(documents(docs)).collect()}
+
+    def near(a, b):
+        apart = Counter(a), Counter(b)
+        return (apart[0] - apart[1]).total() + (apart[1] - apart[0]).total() <= 4 and distance(a, b) <= 2
+
+    assert found == {i: int(any(near(x, y) for _, y in docs[:i])) for i, x in docs}
+    assert sum(rows) < 60 * len(docs)
