@@ -43,3 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(sign)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """What `components` gives for the links behind parts and further links (u, v), by the components that the latter join.
+
+    parts: (node, component) as `components` gave them. The links behind them are not walked again.
+    """
+    links = links.select("u", "v").filter("u != v")
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    fresh = nodes.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    named = cut_lineage(parts.select("node", "component").union(fresh))
+    for end in "uv":
+        links = links.join(named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
+    over = components(links.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return named.join(over, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.components import components
+from tablelens.llm.components import components, joined
 from tablelens.llm.simhash import shingle_set_of
 from tablelens.session import cut_lineage
 
@@ -166,13 +166,13 @@ def _meet(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _strays(crowds: DataFrame, linked: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links under crowded keys that still hold several components.
+def _strays(crowds: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links under crowded keys that still hold several components; parts: (node, component) of the links so far.
 
     Under each half-band of such keys the members outside its most common component meet all others, in
     blocks; a meeting gives no more links than it has components.
     """
-    named = crowds.join(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "node", "left")
+    named = crowds.join(parts, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     members = named.join(open_.select("key"), "key", "left_semi").select("half", "node", "component").distinct()
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, perce
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
     sets = cut_lineage(_sets(docs, text, shingle, nodes.join(wanted, "node", "left_semi")))
     links = cut_lineage(_verified(pairs, sets, percent))
-    more = cut_lineage(_strays(crowds.select("key", "half", "node"), links, nodes, sets, percent))
-    linked = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    parts = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    more = cut_lineage(_strays(crowds.select("key", "half", "node"), parts, nodes, sets, percent))
+    linked = joined(parts, more.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     grouped = nodes.select("one", "two", "node", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))

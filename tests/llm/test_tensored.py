@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 from plain import groups_of
 
+from tablelens.llm import components as C
 from tablelens.llm import tensored as T
 from tablelens.llm.queries import QUERIES, SQL
 
@@ -105,3 +106,28 @@ def test_odd_rows(spark, odd, documents):
 
 def test_query_equals_sql(spark, folder):
     assert compare(QUERIES["op11_tensored_minhash"](spark, folder), connect(folder), SQL["op11_tensored_minhash"]) == []
+
+
+def test_links_are_walked_once(spark, documents, monkeypatch):
+    walked = []
+
+    def counted(edges, run=C.components):
+        walked.append(edges.filter("u != v").count())
+        return run(edges)
+
+    monkeypatch.setattr(C, "components", counted)
+    monkeypatch.setattr(T, "components", counted)
+    rows = list(enumerate(near_copies(150, 9, 200, 14)))
+    assert found(T.near_duplicates(documents(rows))) == brute(rows)
+    assert len(walked) == 2 and walked[0] > 100 and walked[1] < walked[0] / 2, walked
+
+
+def test_joined_components_equal_those_of_all_links(spark):
+    draw = random.Random(11)
+    first, more = ([(draw.randint(0, 80), draw.randint(0, 80)) for _ in range(n)] for n in (40, 25))
+    frames = [spark.createDataFrame(x, "u long, v long") for x in (first, more)]
+    whole = {r["node"]: r["component"] for r in C.components(frames[0].union(frames[1])).collect()}
+    rows = C.joined(C.components(frames[0]), frames[1]).collect()
+    assert {r["node"]: r["component"] for r in rows} == whole and len(rows) == len(whole)
+    nothing = frames[1].limit(0)
+    assert {tuple(r) for r in C.joined(C.components(frames[0]), nothing).collect()} == {tuple(r) for r in C.components(frames[0]).collect()}
