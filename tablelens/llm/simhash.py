@@ -12,8 +12,9 @@ Fingerprints that share a key are joined and their bits compared. A key with man
 pairs: its members are written out with all words at one bit, and those that have such a word in common
 are linked to the least of them, which gives the same components for 2 bits in linear work.
 
-Where similarity is given as the Jaccard similarity of shingle sets rather than in bits, bits tell too
-little: sets that share a band of MinHash values are compared themselves.
+Where similarity is given as the Jaccard similarity of shingle sets rather than in bits, fingerprints that
+are linked propose pairs, which the sets themselves confirm. At 0.8 some ten bits differ, so bits tell too
+little there: sets that share a band of MinHash values are compared too.
 """
 
 from __future__ import annotations
@@ -234,6 +235,14 @@ def shingle_set_of(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts).view(np.int64))
 
 
+def majority_of(held: np.ndarray) -> int:
+    """Fingerprint of a set of hashed shingles, each counted once; 0 of an empty one."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(held), WINDOW):
+        ones += np.unpackbits(held[start : start + WINDOW].astype(">i8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(held)).view(">i8")[0])
+
+
 def bands_of(held: np.ndarray) -> np.ndarray:
     """One key for each band: a hash of its MinHash values. An empty set has none."""
     if not len(held):
@@ -247,14 +256,29 @@ def bands_of(held: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(text: Column, shingle: int) -> Column:
-    """struct<words, keys>: the set of hashed shingles of the whole text, and its bands."""
+    """struct<words, keys, fp>: the set of hashed shingles of the whole text, its bands, and its fingerprint."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set_of(t, shingle) for t in texts]
-            yield pd.DataFrame({"words": sets, "keys": [bands_of(x) for x in sets]})
+            yield pd.DataFrame({"words": sets, "keys": [bands_of(x) for x in sets], "fp": [majority_of(x) for x in sets]})
+
+    return F.pandas_udf(run, "words array<long>, keys array<long>, fp long")(text)
 
-    return F.pandas_udf(run, "words array<long>, keys array<long>")(text)
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, size, fp) -> pairs (a, size_a, b, size_b), a < b, whose fingerprints differ in two bits at most.
+
+    The least node of a fingerprint stands for it, and meets the others that have it too.
+    """
+    least = cut_lineage(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("one"), F.count("*").alias("n")))
+    same = nodes.join(least.filter("n > 1").select("fp", "one"), "fp").select(F.col("one").alias("x"), F.struct("node", "size").alias("y"))
+    pairs = fingerprint_links(least.select(F.col("fp").alias("node"), F.array("fp").alias("words")))
+    for fp, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(least.select(F.col("fp").alias(fp), F.col("one").alias(name)), fp)
+    found = same.union(pairs.select("x", "y")).filter("x.node != y.node").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    ends = {"a": "x.node", "size_a": "x.size", "b": "y.node", "size_b": "y.size"}
+    return found.select(*(F.col(c).alias(name) for name, c in ends.items()))
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -306,10 +330,10 @@ def _meetings(crowds: DataFrame, linked: DataFrame, sets: DataFrame, similarity:
 
 
 def jaccard_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, few: int = FEW) -> DataFrame:
-    """Links (a, b) with the components of "sets have that Jaccard similarity", among pairs that share a band.
+    """Links (a, b) with the components of "sets have that Jaccard similarity", among pairs whose fingerprints are linked or that share a band.
 
-    nodes: (node, size, keys), one for each set; sets: distinct (node) -> (node, words), asked for the sets under
-    shared bands only. Each link is verified by the sets themselves. Under bands with up to `few` members all pairs are; under fuller ones the least member and
+    nodes: (node, size, keys, fp), one for each set; sets: distinct (node) -> (node, words), asked for the sets under
+    shared bands and of linked fingerprints only. Each link is verified by the sets themselves. Under bands with up to `few` members all pairs are; under fuller ones the least member and
     each other, and then those in different components meet.
     """
     of_key = W.partitionBy("key")
@@ -318,13 +342,15 @@ def jaccard_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
         {"n": F.count("*").over(of_key), "least": F.min(F.struct("node", "size")).over(of_key)}
     )
     shared = cut_lineage(counted.filter("n > 1"))
-    held = cut_lineage(sets(shared.select("node").distinct()).select("node", "words"))
+    alike = cut_lineage(fingerprint_pairs(nodes.select("node", "size", "fp")))
+    asked = shared.select("node").union(alike.select("a")).union(alike.select("b")).distinct()
+    held = cut_lineage(sets(asked).select("node", "words"))
     small, crowds = shared.filter(F.col("n") <= few), shared.filter(F.col("n") > few)
     left = small.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
     right = small.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"))
     pairs = left.join(right, "key").filter("a < b").select("a", "size_a", "b", "size_b")
     stars = crowds.select(F.col("least.node").alias("a"), F.col("least.size").alias("size_a"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-    pairs = pairs.union(stars.filter("a < b"))
+    pairs = pairs.union(stars.filter("a < b")).union(alike.select("a", "size_a", "b", "size_b"))
     # sets of too different sizes cannot be that similar
     pairs = pairs.filter(F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity)
     links = cut_lineage(_jaccard(pairs.select("a", "b").distinct(), held, similarity))
@@ -336,18 +362,19 @@ def jaccard_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
 def similar_documents(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node, component_id: the smallest doc_id that links of similar shingle sets lead to.
 
-    Documents are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more
-    and they share a band of MinHash values, as nearly all pairs at 0.8 do. Rows, nulls and empty tables are
+    Documents are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more and
+    the fingerprints of the sets differ in two bits at most or they share a band of MinHash values, as nearly all
+    pairs at 0.8 do. Rows, nulls and empty tables are
     treated as by `near_duplicates`. `node` is a hash of the set.
     """
     value = F.col(text).cast("string")
     named = docs.select("doc_id", F.xxhash64(value).alias("digest"), value.alias("text"))
     made = named.select("doc_id", "digest", shingle_sets(F.col("text"), shingle).alias("made"))
-    made = made.select("doc_id", "digest", F.xxhash64("made.words").alias("node"), F.size("made.words").alias("size"), "made.keys")
+    made = made.select("doc_id", "digest", F.xxhash64("made.words").alias("node"), F.size("made.words").alias("size"), "made.keys", "made.fp")
     marked = cut_lineage(made)  # sets themselves are not written: those under shared bands are made again from their texts
-    one = F.min(F.struct("doc_id", "digest", "size", "keys")).alias("one")
+    one = F.min(F.struct("doc_id", "digest", "size", "keys", "fp")).alias("one")
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), one)
-    nodes = cut_lineage(nodes.select("node", "first", F.col("one.doc_id").alias("of"), "one.digest", "one.size", "one.keys"))
+    nodes = cut_lineage(nodes.select("node", "first", F.col("one.doc_id").alias("of"), "one.digest", "one.size", "one.keys", "one.fp"))
 
     def sets(wanted: DataFrame) -> DataFrame:
         at = cut_lineage(nodes.join(wanted, "node").select("node", "of", F.col("digest").alias("digest_of")))

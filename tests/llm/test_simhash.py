@@ -172,3 +172,22 @@ def test_crowded_bands_give_the_same_components(documents, monkeypatch):
         monkeypatch.setattr(S, "MEETING", meeting)
         monkeypatch.setattr(S, "WEIGHT", weight)
         assert components_found(documents(list(texts.items()))) == want
+
+
+def test_linked_fingerprints_propose_pairs_that_sets_confirm(spark):
+    rng = random.Random(13)
+    near = [rng.getrandbits(62) for _ in range(40)]
+    sets = {1: near, 2: [*near[:39], 7], 3: near[:20], 4: [rng.getrandbits(62) for _ in range(40)], 5: near[:38]}
+    fps = {1: 5 << 40, 2: 5 << 40 ^ 1 << 63 ^ 4, 3: 5 << 40 ^ 8, 4: 5 << 40, 5: 5 << 40 ^ 15}
+    signed = {i: (f + (1 << 63)) % (1 << 64) - (1 << 63) for i, f in fps.items()}
+    rows = [(i, len(x), [], signed[i]) for i, x in sets.items()]  # no band is shared
+    nodes = spark.createDataFrame(rows, "node long, size int, keys array<long>, fp long")
+    held = spark.createDataFrame(list(sets.items()), "node long, words array<long>")
+    found = S.jaccard_links(nodes, lambda asked: held.join(asked, "node"), 0.8).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(1, 2)]  # 3 and 4 are near in bits alone, 5 by its set alone
+
+
+def test_fingerprint_of_a_set_is_its_majority():
+    text = " ".join(f"w{i}" for i in range(50))
+    assert S.majority_of(S.shingle_set_of(text, 5)) == S.fingerprint_of(text, 5)[0]
+    assert S.majority_of(S.shingle_set_of("", 5)) == 0
