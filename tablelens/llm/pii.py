@@ -2,7 +2,7 @@
 
 Four base patterns are always redacted. Beyond them generators propose what might be the same things
 written otherwise. Trees judge each candidate by its format and its surroundings. They learn from the
-base matches of a bounded sample, as they stand and rewritten in looser ways, against candidates that
+base matches of all documents, as they stand and rewritten in looser ways, against candidates that
 touch no base match and other cuts of the rewritten ones; each kind's threshold is set on rows the trees have not seen.
 """
 
@@ -17,15 +17,18 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import quoted
-from tablelens.llm.boosting import Trees, fit
+from tablelens.llm.boosting import SHARES, Cells, Grown, Trees, added, codes_of, grow, sums_of, valued
+from tablelens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows learned from, share of them kept for thresholds, and the precision a threshold must reach there.
-ROWS, KEPT, PRECISION = 5_000, 3, 0.95
+#: One in so many documents is kept for thresholds, and the precision a threshold must reach there.
+KEPT, PRECISION = 3, 0.95
 #: Characters of context on each side.
 AROUND = 24
 #: Candidates judged at a time.
@@ -242,45 +245,106 @@ class Model:
     thresholds: dict[str, float]
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The least probability from which on the share of real ones is high enough; over 1 if none is.
-
-    The share is smoothed by one false candidate, so that a few lucky ones do not set it.
-    """
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order])
-    enough = right / (np.arange(len(p)) + 2) >= PRECISION
-    return float(p[order][np.nonzero(enough)[0].max()]) if enough.any() else 1.1
+#: Steps of the probability that are counted apart, and cells that a task should have to be worth its start.
+STEPS, CELLS = 1 << 12, 50_000
 
 
-def learn(docs: DataFrame, rows: int = ROWS) -> Model:
-    """Trees and thresholds for each kind from about `rows` documents, drawn by a hash of the text.
+def _thresholds(judged: DataFrame) -> dict[str, float]:
+    """For each kind the least probability from which on the share of real ones is high enough; over 1 if none is.
 
-    Candidates written as a rewritten match of the sample is may well be personal data: they are neither
-    learned from as negatives nor counted as false.
+    judged: (kind, label, p). The share is smoothed by one false candidate, so that a few lucky ones do not set it.
+    """
+    sums = F.sum("n").alias("n"), F.sum("ones").alias("ones")
+    counted = judged.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+    counted = cut_lineage(counted.withColumn("step", F.floor(F.col("p") * STEPS).cast("int")))
+    # steps are few; within a step its probabilities are put in order by themselves
+    above = W.partitionBy("kind").orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, -1)
+    steps = counted.groupBy("kind", "step").agg(*sums)
+    steps = steps.select("kind", "step", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "ones")))
+    here = W.partitionBy("kind", "step").orderBy(F.desc("p"))
+    told = counted.join(steps, ["kind", "step"])
+    told = told.select("kind", "p", "n", "ones", *((F.sum(c).over(here) + F.col(f"{c}_above")).alias(f"{c}_to") for c in ("n", "ones")))
+    # of equally likely ones the false stand first, so the share is highest at the first or at the last of them
+    n, ones = F.col("n_to") - F.col("n"), F.col("ones_to") - F.col("ones")
+    first = (ones + (F.col("n") == F.col("ones")).cast("int")) / (n + 2)
+    share = F.greatest(first, F.col("ones_to") / (F.col("n_to") + 1))
+    enough = told.filter(share >= PRECISION).groupBy("kind").agg(F.min("p").alias("p"))
+    return dict.fromkeys(KINDS, 1.1) | {r["kind"]: r["p"] for r in enough.collect()}
+
+
+def learn(docs: DataFrame) -> Model:
+    """Trees and thresholds for each kind from all documents.
+
+    Examples, their cells and what a threshold is set by are made and counted by Spark, once each: copies of a document
+    add nothing. The driver sees cuts of features, sums by node, feature and code, and the thresholds.
+    Candidates written as a rewritten match is may well be personal data: they are neither learned from as negatives
+    nor counted as false. Null and empty texts give no examples; without examples no span is added.
     """
-    share = min(1.0, rows / max(1, docs.count()))
-    drawn = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, y, x, f, crc32((t or "").encode()) % KEPT == 0) for t in batch["text"] for k, y, x, f in examples(t or "")]
-            yield pd.DataFrame(found, columns=["kind", "label", "x", "form", "kept"])
-
-    found = drawn.mapInPandas(make, "kind string, label int, x array<double>, form string, kept boolean")
-    # one row of each: copies of a document add nothing
-    held = found.distinct().orderBy("kind", "label", "x", "form", "kept").toPandas()
-    loose = pd.MultiIndex.from_frame(held.loc[(held["label"] == 1) & (held["form"] != ""), ["kind", "form"]].drop_duplicates())
-    doubtful = (held["label"] == 0) & pd.MultiIndex.from_frame(held[["kind", "form"]]).isin(loose)
-    held = held[~doubtful]
-    trees, thresholds = {}, {}
-    for kind in KINDS:
-        part = held[held["kind"] == kind]
-        x = np.array(part["x"].tolist(), float).reshape(len(part), FEATURES)
-        y, kept = part["label"].to_numpy(float), part["kept"].to_numpy(bool)
-        trees[kind] = fit(x[~kept], y[~kept])
-        thresholds[kind] = _threshold(trees[kind].predict(x[kept]), y[kept]) if kept.any() else 1.1
-    return Model(trees, thresholds)
+            for first in range(0, len(batch), 64):
+                texts = batch["text"].iloc[first : first + 64]
+                found = [(k, y, x, f, crc32((t or "").encode()) % KEPT == 0) for t in texts for k, y, x, f in examples(t or "")]
+                yield pd.DataFrame(found, columns=["kind", "label", "x", "form", "kept"])
+
+    schema = "kind string, label int, x array<double>, form string, kept boolean"
+    held = cut_lineage(docs.select("text").mapInPandas(make, schema).distinct())
+    loose = held.filter("label = 1 and form != ''").select("kind", "form").distinct()
+    columns = ["kind", "label", "x", "kept"]
+    sure = held.filter("label = 0").join(loose, ["kind", "form"], "left_anti").select(columns)
+    sure = cut_lineage(sure.unionByName(held.filter("label = 1").select(columns)))
+    trees = _trees(sure.filter("not kept").select("kind", "label", "x"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, part in batch.groupby("kind"):
+                p = trees[kind].predict(np.array(part["x"].tolist(), float))
+                yield pd.DataFrame({"kind": kind, "label": part["label"], "p": p})
+
+    judged = sure.filter("kept").select("kind", "label", "x").mapInPandas(judge, "kind string, label int, p double")
+    return Model(trees, _thresholds(judged))
+
+
+def _trees(rows: DataFrame) -> dict[str, Trees]:
+    """Trees for each kind from (kind, label, x), the rows of all kinds in the same passes over their cells."""
+    quantiles = [F.percentile(F.get("x", F.lit(i)), F.lit(SHARES.tolist())).alias(f"q{i}") for i in range(FEATURES)]
+    shape = rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("label").alias("ones"), *quantiles).collect()
+    cuts = {r["kind"]: [np.unique(r[f"q{i}"]) for i in range(FEATURES)] for r in shape}
+    counts = dict.fromkeys(KINDS, (0, 0)) | {r["kind"]: (r["n"], r["ones"]) for r in shape}
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, part in batch.groupby("kind"):
+                codes = codes_of(np.array(part["x"].tolist(), float), cuts[kind])
+                yield pd.DataFrame({"kind": kind, "label": part["label"], "codes": [c.tobytes() for c in codes]})
+
+    coded = rows.mapInPandas(code, "kind string, label int, codes binary").groupBy("kind", "label", "codes").agg(F.count("*").alias("n"))
+    coded = cut_lineage(coded)
+    blocks = coded.repartition(max(1, -(-coded.count() // CELLS))).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = blocks.getNumPartitions()
+
+    def passed(models: dict[str, Grown]) -> dict[str, np.ndarray]:
+        sums = blocks.map(lambda held: {k: sums_of(held[k], m) for k, m in models.items() if k in held})
+        return sums.treeReduce(lambda a, b: added([a, b]), 2 if tasks > 64 else 1)
+
+    try:
+        grown = grow(counts, passed)
+    finally:
+        blocks.unpersist()
+    return {k: valued(t, cuts.get(k, [])) for k, t in grown.items()}
+
+
+def _blocks(cells: Iterable) -> Iterator[dict[str, Cells]]:
+    """The cells (kind, label, codes, n) of a partition by kind."""
+    by_kind: dict[str, list] = {}
+    for r in cells:
+        by_kind.setdefault(r["kind"], []).append((r["codes"], r["label"], r["n"]))
+    out = {}
+    for kind, rows in by_kind.items():
+        codes, y, n = zip(*sorted(rows), strict=True)
+        out[kind] = Cells(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, FEATURES), np.array(y, float), np.array(n, float))
+    yield out
 
 
 def all_spans(texts: list[str], model: Model) -> list[tuple[list, list]]:

@@ -141,3 +141,36 @@ def test_given_columns_keep_their_values(documents):
     rows = {r["doc_id"]: r.asDict() for r in made.collect()}
     assert all(r[c] == i for r in rows.values() for i, c in enumerate(taken[:-2]))
     assert [s["kind"] for s in rows[1]["base"]] == ["email", "ip"] and rows[2]["base"] == []
+
+
+def test_all_documents_are_learned_from(spark):
+    """Phones stand only in texts that a draw of 5,000 of the 6,000 by hash would leave out."""
+    rng, texts = random.Random(8), []
+    for i in range(6_000):
+        number = "".join(rng.choice("123456789") for _ in range(10))
+        texts.append((f"order {i} of 20{i % 90 + 10}-01-05 ", f"phone +1 ({number[:3]}) {number[3:6]}-{number[6:]} end"))
+    docs = spark.createDataFrame(texts, "a string, b string").withColumn("text", F.concat("a", "b"))
+    left_out = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) >= int(0.84 * (1 << 30))
+    docs = docs.select(F.when(left_out, F.col("text")).otherwise(F.col("a")).alias("text"))
+    model = P.learn(docs)
+    assert model.thresholds["phone"] <= 1 and len(model.trees["phone"].splits)
+
+
+def test_trees_of_spread_cells_equal_those_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(3 * rng.normal(size=(600, P.FEATURES)))
+    y = ((x[:, 0] > 1) & (x[:, 2] < 2) ^ (rng.random(600) < 0.1)).astype(int)
+    kinds = ["card", "phone"]
+    rows = [(kinds[i % 2], int(y[i]), x[i].tolist()) for i in range(600)]
+    trees = P._trees(spark.createDataFrame(rows, "kind string, label int, x array<double>").repartition(5))
+    for i, kind in enumerate(kinds):
+        whole = boosting.fit(x[i::2], y[i::2])
+        assert np.array_equal(trees[kind].splits, whole.splits) and np.allclose(trees[kind].leaves, whole.leaves)
+    assert trees["email"].predict(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_threshold_is_that_of_all_in_order(spark):
+    told = [("ip", p, i < ones) for p, n, ones in ((0.9, 60, 60), (0.8, 40, 36), (0.79999, 3, 0), (0.1, 100, 0)) for i in range(n)]
+    judged = spark.createDataFrame(told, "kind string, p double, label boolean").withColumn("label", F.col("label").cast("int"))
+    assert P._thresholds(judged) == {"email": 1.1, "ip": 0.8, "card": 1.1, "phone": 1.1}
+    assert P._thresholds(judged.limit(0))["ip"] == 1.1
