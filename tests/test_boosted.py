@@ -288,3 +288,28 @@ def test_rows_equal_in_all_bins_are_trained_on_as_one(spark, monkeypatch):
             assert t.value.tolist() == pytest.approx(u.value.tolist(), abs=1e-9)
     kept = [r[2] for r in rows if r[3] != 0]
     assert merged[0].base == pytest.approx(sum(kept) / len(kept))
+
+
+@pytest.mark.parametrize("loss", ["linear", "square", "exponential"])
+def test_adaboost_rows_are_copied_by_their_labels_alone(spark, monkeypatch, loss):
+    """Rows sorted by cell take little more than their labels, so more of them fit a task; the trees are those of rows in partitions."""
+    rows = [(float(i % 3), float(i % 2), float(i * 37 % 997), i * 7 % 5 % 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, label double, fold int").withColumn("features", array_to_vector(F.array("a", "b")))
+    plans = [Plan("adaboost", 2, 4, 0.5, loss, fold=f) for f in (0, -1)]
+    spread = B.train(df.repartition(3), plans, score_at=(2, 4), copied=0)[1]
+    monkeypatch.setattr(B, "Spread", None)
+    held = B.train(df, plans, score_at=(2, 4), copied=2000 * 10)[1]
+    for one, other in zip(held, spread, strict=True):
+        assert one.says == pytest.approx(other.says, rel=1e-9) and one.scores == pytest.approx(other.scores, rel=1e-9)
+        for t, u in zip(one.trees, other.trees, strict=True):
+            assert (t.feature == u.feature).all() and (t.cut == u.cut).all() and t.value == pytest.approx(u.value, rel=1e-9)
+
+
+def test_rows_that_weigh_nothing_are_no_worst_error():
+    piece = B.Piece(np.array([[1, 2, 3]], np.uint8), np.array([2, 1, 1]), np.array([1.0, 50.0, 3.0, 90.0]), 0, np.array([[1.0, 3.0, 90.0], [50.0, 3.0, 90.0]]))
+    B._weighed(piece, 0, np.array([1.0, 0.0, 2.0, 0.0]))
+    held = B.HeldPieces([piece], 0)
+    tree = B.Tree(np.array([-1]), np.array([0]), np.array([False]), np.array([2.0, 0.0]))
+    assert B._worst(held, {0: tree}) == {0: 1.0}
+    loss, weight, rows = B._lost(held, {0: tree}, {0: Plan("adaboost", 1, 1)}, {0: 1.0})[0]
+    assert (loss, weight, rows) == (3.0, 3.0, 2.0)
